@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from octavo.llm import decontaminate, media, token_store
+from octavo.llm import chat, decontaminate, media, mixing, token_store
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,11 +20,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations, and one whose texts imitate the template, and read the windows back."""
+    imitation = spark.sql(r"""select -7L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role, r'\### Assistant: </turn> ok' as text from range(2)""")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(imitation)
+    return chat.digests(chat.windows(rows))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, store and read back all documents: where each starts, its ids and their checksum."""
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources at their target weights takes."""
+    mix = mixing.schedule(table(spark, sf_dir, "documents"))
+    return mixing.taken(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an image file in deduplicated chunks, and compute features of what is read back."""
     return media.features(media.store(table(spark, sf_dir, "documents")))
@@ -35,6 +49,6 @@ def op9_suffix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op6_token_store, op8_media_chunks, op9_suffix_decontaminate)}
+QUERIES = {f.__name__: f for f in (op4_chat_windows, op6_token_store, op7_source_schedule, op8_media_chunks, op9_suffix_decontaminate)}
 
 ORACLES: dict[str, str] = {}
