@@ -216,7 +216,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 new = np.ones(len(place), bool)
                 new[1:] = (which[1:] != which[:-1]) | (place[1:] - offset[1:] != place[:-1] - offset[:-1]) | (offset[1:] != offset[:-1] + 1)
                 at = np.flatnonzero(new)
-                last = np.append(at[1:], len(place)) - 1
+                last = np.append(at[1:], len(place))[: len(at)] - 1
                 for a, z in zip(at.tolist(), last.tolist(), strict=True):
                     d = int(doc[place[a]])
                     items.setdefault(d, set()).add(tests.ids[which[a]])
