@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,9 @@ END_ID = 2
 #: Chunks of about 2 ** BITS ids, between LEAST and MOST.
 BITS, LEAST, MOST = 9, 128, 4096
 #: Distinct text pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED, LATEST = 2_000_000, 100_000
+#: Bytes of text encoded at a time.
+SHARD = 4 << 20
 
 _SAFE = np.zeros(256, bool)
 _SAFE[0x21:0x7F] = True
@@ -60,7 +63,11 @@ def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes columns of texts; ids of pieces seen before are looked up by hash."""
+    """Encodes columns of texts; ids of pieces seen before are looked up by hash.
+
+    What is remembered is held in flat arrays, some 30 bytes a piece: a sorted one, and a small dict of
+    the latest pieces that is merged into it now and then.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,9 +79,43 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.latest: dict[int, int] = {}
         self.pool = np.array([self.end_id], np.uint32)
-        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int32)
+
+    def merge(self) -> None:
+        h = np.concatenate([self.hashes, np.fromiter(self.latest.keys(), np.uint64, len(self.latest))])
+        order = np.argsort(h, kind="stable")
+        self.slots = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int32, len(self.latest))])[order]
+        self.hashes, self.latest = h[order], {}
+
+    def slots_of(self, unique: np.ndarray, text) -> np.ndarray:
+        """The slot of each piece; ``text(k)`` gives the texts of new ones."""
+        if len(self.start) + len(unique) > max(REMEMBERED, 2 * len(unique)):
+            self.clear()
+        elif len(self.latest) > LATEST:
+            self.merge()
+        slot = np.full(len(unique), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, unique), len(self.hashes) - 1)
+            slot = np.where(self.hashes[at] == unique, self.slots[at], -1).astype(np.int64)
+        miss = np.flatnonzero(slot < 0)
+        hashes = unique[miss].tolist()
+        slot[miss] = [self.latest.get(h, -1) for h in hashes]
+        fresh = slot[miss] < 0
+        new = miss[fresh]
+        if len(new):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(text(new), add_special_tokens=False)]
+            length = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+            base = len(self.start)
+            self.start = np.append(self.start, len(self.pool) + np.cumsum(length, dtype=np.int64) - length)
+            self.length = np.append(self.length, length)
+            self.pool = np.append(self.pool, flat)
+            slot[new] = np.arange(base, base + len(new))
+            self.latest.update(zip(unique[new].tolist(), range(base, base + len(new)), strict=True))
+        return slot
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's ids, with the end id at each text's end."""
@@ -84,34 +125,32 @@ class Encoder:
         padded = np.zeros(len(raw) + PAD, np.uint8)
         padded[: len(raw)] = raw
         codes, unique = pd.factorize(span_hash(padded, starts, ends))
-        first = np.full(len(unique), -1, np.int64)
+        first = np.zeros(len(unique), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        if len(self.known) + len(unique) > max(REMEMBERED, len(unique)):
-            self.clear()
-        hashes = unique.tolist()
-        new = [k for k, h in enumerate(hashes) if h not in self.known]
-        if new:
+
+        def text(k: np.ndarray) -> list[str]:
             data = raw.tobytes()
-            at = first[new]
-            texts = [data[a:z].decode() for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-            base = len(self.start)
-            self.start = np.append(self.start, len(self.pool) + np.cumsum(length) - length)
-            self.length = np.append(self.length, length)
-            self.pool = np.append(self.pool, flat)
-            self.known.update(zip((hashes[k] for k in new), range(base, base + len(new)), strict=True))
-        slot = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))
+            return [data[a:z].decode() for a, z in zip(starts[first[k]].tolist(), ends[first[k]].tolist(), strict=True)]
+
+        slot = self.slots_of(unique, text)
         doc = np.searchsorted(offs, starts, side="right") - 1
         count = np.bincount(doc, minlength=n)
         order = np.zeros(len(codes) + n, np.int64)  # slot 0 is the end id
         order[np.arange(len(codes)) + doc] = slot[codes] if len(codes) else 0
         length = self.length[order]
         ids = self.pool[gather_ragged(self.start[order], length)]
-        ends_at = np.cumsum(count + 1)
-        total = np.append(0, np.cumsum(length))
-        return ids, np.append(0, total[ends_at])
+        total = np.append(0, np.cumsum(length, dtype=np.int64))
+        return ids, np.append(0, total[np.cumsum(count + 1)])
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each worker process: what a task has encoded serves the next."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def vocabulary(path: str) -> int:
@@ -126,9 +165,9 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, z, values = Encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=3), gear(1 << 16)
-        for shard in shards(batches, text):
-            ids, offs = encoder.encode(shard.column(1))
+        tokens, z, values = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=3), gear(1 << 16)
+        for shard in shards(batches, text, SHARD):
+            ids, offs = tokens.encode(shard.column(1))
             ends = cuts(ids & np.uint32(0xFFFF), offs, values, BITS, LEAST, MOST)
             data = memoryview(ids.astype(f"<u{width}").tobytes())
             roots, lists, owned = [], [], []
