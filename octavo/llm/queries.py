@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.llm import chat, decontaminate, media, mixing, token_store
+from octavo.llm import chat, decontaminate, interpolation, media, mixing, token_store
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -49,6 +49,11 @@ def op9_suffix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_windows, op6_token_store, op7_source_schedule, op8_media_chunks, op9_suffix_decontaminate)}
+def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all texts with word pairs, words and the uniform distribution, mixed by context frequency."""
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_chat_windows, op6_token_store, op7_source_schedule, op8_media_chunks, op9_suffix_decontaminate, op10_interpolated_lm)}
 
 ORACLES: dict[str, str] = {}
