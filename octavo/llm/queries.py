@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.llm import chat, decontaminate, interpolation, media, mixing, token_store
+from octavo.llm import chat, decontaminate, interpolation, jaccard, langid, media, mixing, pages, quality, token_store
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (langid.fold("doc_id") == langid.HELD).alias("held_out"), "lang_pred", "score")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near duplicates, and its links."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), size="n_chars")
+    found = quality.score(docs, machine, size="n_chars")
+    return found.select("doc_id", (quality.fold("doc_id") == quality.HELD).alias("held_out"), "score", "predicted")
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one whose texts imitate the template, and read the windows back."""
     imitation = spark.sql(r"""select -7L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role, r'\### Assistant: </turn> ok' as text from range(2)""")
@@ -27,6 +47,11 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(rows))
 
 
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, store and read back all documents: where each starts, its ids and their checksum."""
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), tokenizer_path()))
@@ -54,6 +79,20 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_windows, op6_token_store, op7_source_schedule, op8_media_chunks, op9_suffix_decontaminate, op10_interpolated_lm)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_crf,
+        op2_ngram_jaccard,
+        op3_quality_fm,
+        op4_chat_windows,
+        op5_page_differencing,
+        op6_token_store,
+        op7_source_schedule,
+        op8_media_chunks,
+        op9_suffix_decontaminate,
+        op10_interpolated_lm,
+    )
+}
 
 ORACLES: dict[str, str] = {}
