@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octavo.llm import chat, decontaminate, interpolation, jaccard, langid, media, mixing, pages, quality, token_store
+from octavo.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -94,5 +95,3 @@ QUERIES = {
         op10_interpolated_lm,
     )
 }
-
-ORACLES: dict[str, str] = {}
