@@ -9,7 +9,7 @@ distinct n-grams (64-bit hashes, sorted) go in blocks to the buckets of the hash
 of all shards are added up and sent back in the same order. So a frequent n-gram is one entry for each
 shard, and nothing of the corpus is collected or broadcast but the weights and the totals.
 
-A block's shard lies on disk with the blocks made from it, so lost executors change neither.
+Shards are written once and every pass reads them, so lost executors change nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octavo.llm.blocks import NONSPACE, U8, column_bytes, mix, run_starts, shards, span_hash, word_spans
-from octavo.llm.shared import keep, new_path, remove
+from octavo.llm.shared import keep
 
 #: Training documents are those whose crc32(id) mod FOLDS is not HELD; of these, DELETED is the part for EM.
 FOLDS, HELD, DELETED = 7, 2, 5
@@ -82,33 +82,48 @@ def tallied(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[at], np.add.reduceat((part != HELD).astype(np.uint32), at), np.add.reduceat((part == DELETED).astype(np.uint32), at)
 
 
-def spread(docs: DataFrame, text: str, id_col: str, buckets: int, path: str) -> None:
-    """Write shards (kind=0: ids and texts) and blocks (kind=1: for each bucket the shard's n-grams and counts)."""
+def dealt(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """Shards: a name, and the ids and texts of some megabytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for shard in shards(batches, text, SHARD):
-            name = uuid.uuid4().hex
-            tokens, part = Tokens(shard.column(1)), parts_of(shard.column(0))
-            each = part[tokens.doc]
-            keys = np.concatenate([tokens.word, tokens.pair, np.full(len(part), _START | _ONE)])
-            keys, train, deleted = tallied(keys, np.concatenate([each, each, part]))
-            edge = np.searchsorted(keys, bounds(buckets))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, shard.schema) as writer:
                 writer.write_batch(shard)
-            rows = [(name, -1, 0, z.compress(sink.getvalue().to_pybytes()), b"", 0)]
-            for b in range(buckets):
-                a, e = int(edge[b]), int(edge[b + 1])
-                if e > a:
-                    delta = np.diff(keys[a:e], prepend=U8(0))
-                    rows.append((name, b, e - a, deflate(delta, z), deflate(np.concatenate([train[a:e], deleted[a:e]]).astype("<u4"), z), 1))
-            # few blocks in a batch, so that batches stay small
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 64], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["shard", "bucket", "n", "a", "b", "kind"])
+            yield pa.RecordBatch.from_pydict({"shard": [uuid.uuid4().hex], "a": pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())})
+
+    return docs.select(id_col, text).mapInArrow(run, "shard string, a binary")
+
+
+def unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all().combine_chunks().to_batches()[0]
 
-    made = docs.select(id_col, text).mapInArrow(run, "shard string, bucket int, n int, a binary, b binary, kind int")
-    made.write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
+
+def counted(made: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of all shards: for each bucket the shard's n-grams there and their counts in the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = unpacked(data.as_py())
+                tokens, part = Tokens(rows.column(1)), parts_of(rows.column(0))
+                each = part[tokens.doc]
+                keys = np.concatenate([tokens.word, tokens.pair, np.full(len(part), _START | _ONE)])
+                keys, train, deleted = tallied(keys, np.concatenate([each, each, part]))
+                edge = np.searchsorted(keys, bounds(buckets))
+                out = []
+                for b in range(buckets):
+                    a, e = int(edge[b]), int(edge[b + 1])
+                    if e > a:
+                        delta = np.diff(keys[a:e], prepend=U8(0))
+                        out.append((name, b, e - a, deflate(delta, z), deflate(np.concatenate([train[a:e], deleted[a:e]]).astype("<u4"), z)))
+                # few blocks in a batch, so that batches stay small
+                for i in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out[i : i + 64], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "bucket", "n", "a", "b"])
+
+    return made.mapInArrow(run, "shard string, bucket int, n int, a binary, b binary")
 
 
 def bounds(buckets: int) -> np.ndarray:
@@ -150,31 +165,42 @@ def totalled(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(add, "shard string, bucket int, n int, a binary, b binary, n_tokens bigint, n_types bigint, left_tokens bigint, left_types bigint")
 
 
+def gathered(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """A shard's own row, and the total and deleted counts of its n-grams, in their order."""
+    d = zstandard.ZstdDecompressor()
+    bucket = np.array(table.column("bucket").to_pylist())
+    order = np.argsort(bucket).tolist()
+    if bucket[order[0]] != -1 or (bucket[order[1:]] < 0).any():
+        raise ValueError("a shard needs its own row once")
+    n = table.column("n").to_pylist()
+    counts = (np.concatenate([np.zeros(0, "<u8"), *(inflate(table.column(c)[i].as_py(), "<u8", n[i], d) for i in order[1:])]).astype(np.int64) for c in ("a", "b"))
+    return order[0], *counts
+
+
+def before(word: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """Each token's context: the token before it, or the start of its text."""
+    context = np.roll(word, 1)
+    context[np.cumsum(sizes) - sizes] = start
+    return context
+
+
 class Shard:
-    """A shard's tokens with the total and the deleted counts of words, contexts and pairs."""
+    """A shard's tokens with the counts of words, pairs and contexts."""
 
     def __init__(self, table: pa.Table):
-        d = zstandard.ZstdDecompressor()
-        bucket = np.array(table.column("bucket").to_pylist())
-        order = np.argsort(bucket)
-        a, b, n = (table.column(c) for c in ("a", "b", "n"))
-        if bucket[order[0]] != -1 or (bucket[order[1:]] < 0).any():
-            raise ValueError("a shard needs its texts once")
-        self.rows = pa.ipc.open_stream(d.decompress(a[int(order[0])].as_py())).read_all().combine_chunks()
-        total, deleted = (np.concatenate([np.zeros(0, "<u8"), *(inflate(c[int(i)].as_py(), "<u8", n[int(i)].as_py(), d) for i in order[1:])]).astype(np.int64) for c in (a, b))
+        own, total, deleted = gathered(table)
+        self.rows = unpacked(table.column("a")[own].as_py())
         t = Tokens(self.rows.column(1))
         self.part = parts_of(self.rows.column(0))
         size = len(t.word)
-        keys = np.concatenate([t.word, t.pair, np.full(len(self.part), _START | _ONE)])
-        unique, place = np.unique(keys, return_inverse=True)
+        unique, place = np.unique(np.concatenate([t.word, t.pair, [_START | _ONE]]), return_inverse=True)
         if len(unique) != len(total):
             raise ValueError("a shard's n-grams are not those that were counted")
-        word, pair, start = place[:size], place[size : 2 * size], place[2 * size :]
-        context = np.roll(word, 1)
-        context[np.cumsum(t.n) - t.n] = start[0] if len(start) else 0
+        word = place[:size]
         self.doc, self.n = t.doc, t.n
-        self.word, self.pair, self.context = total[word], total[pair], total[context]
-        self.less = tuple(deleted[x] for x in (word, pair, context))
+        places = word, place[size:-1], before(word, t.n, place[-1])
+        self.word, self.pair, self.context = (total[p] for p in places)
+        self.deleted = tuple(deleted[p] for p in places)
 
 
 def level(context: np.ndarray) -> np.ndarray:
@@ -195,7 +221,7 @@ def evidence(tokens: int, types: int):
     def count(table: pa.Table) -> pa.Table:
         s = Shard(table)
         mine = s.part[s.doc] == DELETED
-        word, pair, context = (x[mine] - y[mine] for x, y in zip((s.word, s.pair, s.context), s.less, strict=True))
+        word, pair, context = (x[mine] - y[mine] for x, y in zip((s.word, s.pair, s.context), s.deleted, strict=True))
         r2, r1 = (np.minimum(CELLS - 1, np.rint(STEPS * np.log1p(r))).astype(np.int64) for r in ratios((word, pair, context), tokens, types))
         cell, n = np.unique((level(context) * CELLS + r2) * CELLS + r1, return_counts=True)
         return pa.table({"cell": pa.array(cell), "n": pa.array(n.astype(np.int64))})
@@ -245,19 +271,15 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     is a training document. Repeated rows count as often as they occur. Without training tokens every
     estimate is uniform. Extra columns are ignored.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
-    path = new_path(spark, "ngrams")
-    spread(docs, text, id_col, max(1, -(-int(size) // BUCKET)), path)
-    rows = "shard string, bucket int, n int, a binary, b binary, kind int"
-    blocks = spark.read.schema(rows).parquet(path).where("kind = 1").drop("kind")
-    totals = keep(totalled(blocks), "totals", codec="uncompressed")
-    remove(spark, f"{path}/kind=1")
-    made = spark.read.schema(rows).parquet(path).where("kind = 0").drop("kind")
+    made = keep(dealt(docs, text, id_col), "shards", codec="uncompressed")
+    totals = keep(totalled(counted(made, max(1, -(-int(size) // BUCKET)))), "totals", codec="uncompressed")
     stats = [int(x or 0) for x in totals.where("shard is null").agg(*(F.sum(c) for c in ("n_tokens", "n_types", "left_tokens", "left_types"))).first()]
     tokens, types, left_tokens, left_types = stats
-    whole = made.unionByName(totals.where("shard is not null").select(*made.columns))
+    own = made.select("shard", F.lit(-1).alias("bucket"), F.lit(0).alias("n"), "a", F.lit(None).cast("binary").alias("b"))
+    whole = own.unionByName(totals.where("shard is not null").select("shard", "bucket", "n", "a", "b"))
     cells = whole.groupBy("shard").applyInArrow(evidence(left_tokens, left_types), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = keep(cells, "cells")
     # at most BUCKETS x CELLS x CELLS cells, some thousands in fact: a histogram, whatever the corpus
     found = cells.toPandas()
     w = weights(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64))

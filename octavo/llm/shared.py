@@ -28,11 +28,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/octavo/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark drop a query's shuffle files at its end rather than when their plan is garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write once to the shared folder and read back: cuts the lineage, and survives lost executors.
+
+    What is written needs its shuffles no more, so their files go at once.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
