@@ -144,3 +144,37 @@ def apply_map(field_map: DataFrame, nodes: DataFrame, field: str, dim: int, firs
 def bad_elements(field_map: DataFrame) -> DataFrame:
     """How many mapped points' inversions failed."""
     return field_map.agg(F.count_if("bad").alias("bad"), F.count("*").alias("mapped"))
+
+
+def without_covered(pairs: DataFrame, covered: DataFrame, dim: int) -> DataFrame:
+    """Pairs whose node no propagated child has covered already."""
+    return pairs.join(covered.select(*node_names(dim)).distinct(), node_names(dim), "left_anti")
+
+
+def nodes_in_box(nodes: DataFrame, lo: tuple[int, ...], hi: tuple[int, ...]) -> DataFrame:
+    """Nodes with lo <= index < hi on every axis."""
+    for m, a, b in zip(node_names(len(lo)), lo, hi, strict=True):
+        nodes = nodes.where((F.col(m) >= a) & (F.col(m) < b))
+    return nodes
+
+
+def refined_points(elements: DataFrame, nodes: DataFrame, field: str, dim: int, param: float) -> DataFrame:
+    """Elements' refinement lattices with the field interpolated over each element: axes and the field."""
+    from octavo.operators.mesh import element_boxes, multilinear, refined
+
+    lattice = refined(element_boxes(elements, nodes, dim), dim, param)
+    corners = element_nodes(elements, nodes.select("zone_id", "node_id", F.col(field).alias("_v")))
+    values = corners.groupBy("zone_id", "element_id").agg(F.sort_array(F.collect_list(F.struct("pos", "_v"))).alias("k"))
+    rows = lattice.join(values, ["zone_id", "element_id"])
+    v = multilinear([F.col(f"t_{a}") for a in axes(dim)], [F.get("k", F.lit(i))["_v"] for i in RING[dim]])
+    return rows.select("zone_id", "element_id", *axes(dim), v.alias(field))
+
+
+def write_field_map(field_map: DataFrame, path: str) -> None:
+    """The element to node incidence, kept for all frames; by zone, in order of node."""
+    names = [c for c in field_map.columns if c in node_names(3)]
+    field_map.repartitionByRange("zone_id", *names).sortWithinPartitions("zone_id", *names).write.mode("overwrite").parquet(path)
+
+
+def read_field_map(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

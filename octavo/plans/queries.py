@@ -926,6 +926,96 @@ def nearest_time_frames(spark, d):
     return nearest_time(q, f, "t", "frame")
 
 
+@query(with_views("grid2", body="SELECT ix AS nx, iy AS ny, round(CASE WHEN ix % 2 = 0 THEN v ELSE ix / 16.0 + iy / 8.0 END, 6) AS value FROM grid2"))
+def exact_field_grid2(spark, d):
+    """A linear function where children have no value; theirs (even columns) are kept."""
+    g = grid2(spark, d).select(F.col("ix").alias("nx"), F.col("iy").alias("ny"), "v")
+    covered = g.where("nx % 2 = 0").select("nx", "ny", F.col("v").alias("value"))
+    return fields.exact_field(g.select("nx", "ny"), covered, ["nx", "ny"], F.col("nx") / 16 + F.col("ny") / 8).select("nx", "ny", r6(F.col("value")).alias("value"))
+
+
+@query(with_views("elem2", "grid2", body="""+k AS (SELECT n0 % 17 + CAST(a AS INT) AS x, n0 // 17 + CAST(b AS INT) AS y, CASE WHEN a = 0 AND b = 0 THEN g0.v WHEN b = 0 THEN g1.v WHEN a = 0 THEN g3.v ELSE g2.v END AS v FROM elem2, (SELECT unnest(generate_series(0, 1)) AS a) p, (SELECT unnest(generate_series(0, 1)) AS b) q, grid2 g0, grid2 g1, grid2 g2, grid2 g3 WHERE g0.node_id = n0 AND g1.node_id = n1 AND g2.node_id = n2 AND g3.node_id = n3)
+SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(avg(v), 4) AS v, count(*) AS n FROM k GROUP BY 1, 2"""))
+def refined_values_grid2(spark, d):
+    """Refined elements with the field interpolated; lattice points that elements share agree."""
+    r = interpolate.refined_points(_elements(spark), grid2(spark, d), "v", 2, 1.0)
+    return r.groupBy("x", "y").agg(F.round(F.avg("v"), 4).alias("v"), F.count("*").alias("n"))
+
+
+@query(with_views("grid2", body="SELECT ix AS nx, iy AS ny FROM grid2 WHERE ix >= 3 AND ix < 9 AND iy >= 2 AND iy < 5"))
+def index_box_grid2(spark, d):
+    g = grid2(spark, d).select(F.col("ix").alias("nx"), F.col("iy").alias("ny"))
+    return interpolate.nodes_in_box(g, (3, 2), (9, 5))
+
+
+@query(with_views("elem2", body="SELECT zone_id, element_id, CAST(n0 % 17 + a AS INT) AS nx, CAST(n0 // 17 + b AS INT) AS ny FROM elem2, (SELECT unnest(generate_series(0, 1)) AS a) p, (SELECT unnest(generate_series(0, 1)) AS b) q WHERE n0 % 17 + a >= 8"))
+def uncovered_candidates_grid2(spark, d):
+    """Element to node candidates, without the nodes that a child has covered (the left half)."""
+    e, nodes, cube = _half(spark, d)
+    covered = grid2(spark, d).where("ix < 8").select(F.col("ix").alias("nx"), F.col("iy").alias("ny"))
+    return interpolate.without_covered(interpolate.candidates(e, nodes, cube, 4), covered, 2).select("zone_id", "element_id", "nx", "ny")
+
+
+@query(with_views("grid2", body="""+b AS (SELECT ix AS nx, iy AS ny, CASE WHEN ix < 8 THEN 0 ELSE 1 END AS half, avg(ix - p) AS d FROM grid2, (SELECT unnest([3.5, 10.5]) AS p) q GROUP BY 1, 2, 3),
+s AS (SELECT half, max(CASE WHEN d > 0 THEN d END) AS hi, max(CASE WHEN d < 0 THEN -d END) AS lo FROM b GROUP BY half)
+SELECT half, nx, ny, round(CASE WHEN d > 0 THEN d / hi WHEN d < 0 THEN d / lo ELSE 0 END, 6) AS value FROM b JOIN s USING (half)"""))
+def boundary_shape_grid2(spark, d):
+    """Signed distance of lattice nodes to two walls across x, scaled within each half."""
+    g = grid2(spark, d).select(F.when(F.col("ix") < 8, 0).otherwise(1).alias("half"), F.col("ix").alias("nx"), F.col("iy").alias("ny"), "x", "y")
+    walls = g.select("half", "nx", "ny", F.explode(F.array(F.lit(3.5), F.lit(10.5))).alias("p_x"), F.lit(0.0).alias("p_y"), F.lit(1.0).alias("n_x"), F.lit(0.0).alias("n_y"))
+    out = fields.boundary_shape(walls, g, ["half"], 2)
+    return out.select("half", "nx", "ny", r6(F.col("value")).alias("value"))
+
+
+@query(with_views("rays", body="SELECT x, max(t) AS t FROM (SELECT pixel % 16 AS x, max(v) AS t FROM rays WHERE step % 2 = 0 GROUP BY 1 UNION ALL SELECT pixel % 16, max(v) FROM rays WHERE step % 2 = 1 GROUP BY 1) q GROUP BY x"))
+def assemble_pair_rays(spark, d):
+    """Two partial images of maxima put together."""
+    r = rays(spark, d).withColumn("x", F.col("pixel") % 16)
+    part = lambda k: view.merge_max(r.where(F.col("step") % 2 == k).select("x", F.col("v").alias("t")), ["x"])
+    return view.assemble(part(0), part(1), ["x"], mip=True)
+
+
+@query(ORACLES["adaptive_quality_tele"])
+def adaptive_quality_stream_tele(spark, d):
+    """The quality control as a stream: state in ``applyInPandasWithState``, run to the end of the input."""
+    source = f"{d}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    folder, _, name = source.rpartition("/")
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    order = F.expr("datediff(cast(ts as date), date'1970-01-01') * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L + cast(extract(second from ts) * 1000000 as bigint)")
+    stream = raw.select(F.col("user_id").alias("thread"), (F.col("value") / 100).alias("v"), order.alias("order"))
+    q = stateful.adaptive_quality_stream(stream, "thread", "v").writeStream.outputMode("update").format("memory").queryName("octavo_quality").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table("octavo_quality")
+
+
+def pts3_prepared(spark: SparkSession, d: str):
+    from octavo.plans import prepare
+
+    return prepare.points_problem(pts3(spark, d), 3, "v", 3, 2)
+
+
+@query()
+def points_problem_pts3(spark, d):
+    """The whole preparation of scattered points: tree, stored subtrees, weighted means, roll-up."""
+    return pts3_prepared(spark, d).sparse
+
+
+@query()
+def image_problem_img2(spark, d):
+    from octavo.plans import prepare
+
+    return prepare.image_problem(img2(spark, d), 2, F.col("n") % 2 == 0, ["v"], 2, 4, [16, 16]).sparse
+
+
+@query()
+def exact_problem_waves(spark, d):
+    from octavo.plans import prepare
+
+    config = prepare.ExactConfig.merged('{"cell_count": {"x": 8, "y": 8, "z": 8}}', time_step_count=2, domain={"min": {"x": -1, "y": -1, "z": 0.1}, "max": {"x": 1, "y": 1, "z": 2.1}})
+    return prepare.exact_problem(spark, config, 3, 2, 3).sparse
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Weighted corner means of the 3-D points, each with its subtree's value range."""
     p = pts3(spark, d)
