@@ -6,6 +6,7 @@ for a word. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,29 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def shards(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of text worked on at a time.
+SHARD = 3 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live long and share an executor's allowance with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+_LIBC = _libc()
+
+
+def shards(batches: Iterator[pa.RecordBatch], text: str, limit: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Cut batches by rows so that a shard's texts stay near ``limit`` bytes; a row is never cut."""
     for batch in batches:
         _, offs = column_bytes(batch.column(batch.schema.get_field_index(text)))
@@ -66,6 +89,7 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+            release()
 
 
 def word_spans(raw: np.ndarray, offs: np.ndarray, bytemap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

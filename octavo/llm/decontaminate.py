@@ -162,19 +162,19 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [w[:-1] for w in np.split(words, sep[:-1] + 1)] if len(texts) else []
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> list[Tests]:
+def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[Tests]:
     """The benchmark as blocks of bounded size, read one partition at a time."""
-    out, ids, words, n = [], [], [], 0
+    ids, words, n = [], [], 0
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null").distinct()
     for row in rows.toLocalIterator():
         w = item_words([row.t])[0]
         if n + len(w) > block_words and ids:
-            out.append(Tests(ids, words, window))
+            yield Tests(ids, words, window)
             ids, words, n = [], [], 0
         ids.append(row.i)
         words.append(w)
         n += len(w)
-    return [*out, Tests(ids, words, window)]
+    yield Tests(ids, words, window)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, only_clean: bool = False, prefix: str = "") -> DataFrame:
@@ -206,6 +206,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             runs: dict[int, list[tuple[str, int, int, int]]] = {}
             for b in blocks:
                 tests = b.value
+                if len(blocks) > 1:
+                    vars(b).pop("_value", None)  # a worker holds one block at a time and reads the next from its disk
                 f = Found(words, sep, tests)
                 np.add.at(cover, f.place, 1)
                 np.add.at(cover, f.place + f.need, -1)

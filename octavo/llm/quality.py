@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), *([F.col(size).cast("long").alias("_size")] if size else [])).join(F.broadcast(known), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, "_text", 4 << 20):
+        for shard in shards(batches, "_text"):
             index, values, offs = features(shard.column(1), given(shard, "_size"))
             flat = [pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(x)) for x in (index.astype(np.int32), values)]
             yield pa.RecordBatch.from_arrays([shard.column(0), shard.column(shard.num_columns - 1), *flat], ["_id", "_label", "i", "x"])
@@ -202,7 +202,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", size: str | Non
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, text, 4 << 20):
+        for shard in shards(batches, text):
             s = shared.value.score(*features(shard.column(shard.schema.get_field_index(text)), given(shard, size) if size else None))
             yield pa.RecordBatch.from_arrays([*(shard.column(shard.schema.get_field_index(x)) for x in names), pa.array(s), pa.array((s >= GOOD).astype(np.int32))], [*names, "score", "predicted"])
 
