@@ -34,20 +34,29 @@ END_ID = 2
 #: Chunks of about 2 ** BITS ids, between LEAST and MOST.
 BITS, LEAST, MOST = 9, 128, 4096
 #: Distinct text pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED, LATEST = 2_000_000, 100_000
+REMEMBERED, LATEST = 2_000_000, 50_000
+#: New pieces given to the tokenizer at a time.
+AT_ONCE = 4096
 #: Bytes of text encoded at a time.
-SHARD = 4 << 20
+SHARD = 2 << 20
 
 _SAFE = np.zeros(256, bool)
 _SAFE[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = _SAFE & ~_LETTER
+_SIGN[48:58] = False
 
 
 def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of pieces that a byte-level pre-tokenizer treats independently.
-
-    Such a tokenizer always begins a new token at a single space between two characters that aren't white
-    space. Only spaces between visible ASCII characters or letters of two bytes (first byte 0xC3) are used,
-    so that no Unicode white space is beside them. Pieces cover all bytes in order.
+    """Starts and ends of pieces that a byte-level pre-tokenizer treats independently. They cover all bytes in order.
+
+    Such a tokenizer takes runs of letters, of digits, of other signs (each with one space before it) and of
+    white space. So a new token always begins
+    - at a single space between two characters that aren't white space; only spaces between visible ASCII
+      characters or letters of two bytes (first byte 0xC3) are used, beside which no Unicode white space is,
+    - where a sign or a line feed follows an ASCII letter, or a line feed a sign,
+    - where an ASCII letter follows a single line feed (of several, the last is a token of its own).
     """
     n = len(raw)
     cut = np.zeros(n + 1, bool)
@@ -57,6 +66,9 @@ def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = _SAFE[before] | ((before >= 0x80) & (space > 1) & (raw[space - 2] == 0xC3))
         ok &= _SAFE[after] | (after == 0xC3)
         cut[space[ok]] = True
+        letter, sign, feed = _LETTER[raw], _SIGN[raw], raw == 10
+        cut[1:n] |= letter[:-1] & (sign[1:] | feed[1:]) | sign[:-1] & feed[1:]
+        cut[2:n] |= (letter[:-2] | sign[:-2]) & feed[1:-1] & letter[2:]
     cut[offs[:-1]] = True
     starts = np.flatnonzero(cut[:n])
     return starts, np.append(starts[1:], n)
@@ -76,12 +88,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
         self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.latest: dict[int, int] = {}
-        self.pool = np.array([self.end_id], np.uint32)
+        self.pool = np.array([self.end_id], self.kind)
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int32)
 
     def merge(self) -> None:
@@ -106,13 +119,15 @@ class Encoder:
         fresh = slot[miss] < 0
         new = miss[fresh]
         if len(new):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(text(new), add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
-            base = len(self.start)
+            lengths, flats = [], []
+            for k in range(0, len(new), AT_ONCE):  # an encoding's object is large beside its ids
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(text(new[k : k + AT_ONCE]), add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+                flats.append(np.fromiter(chain.from_iterable(ids), self.kind, int(lengths[-1].sum())))
+            length, base = np.concatenate(lengths), len(self.start)
             self.start = np.append(self.start, len(self.pool) + np.cumsum(length, dtype=np.int64) - length)
             self.length = np.append(self.length, length)
-            self.pool = np.append(self.pool, flat)
+            self.pool = np.concatenate([self.pool, *flats])
             slot[new] = np.arange(base, base + len(new))
             self.latest.update(zip(unique[new].tolist(), range(base, base + len(new)), strict=True))
         return slot
@@ -128,9 +143,10 @@ class Encoder:
         first = np.zeros(len(unique), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
 
+        data = memoryview(raw)
+
         def text(k: np.ndarray) -> list[str]:
-            data = raw.tobytes()
-            return [data[a:z].decode() for a, z in zip(starts[first[k]].tolist(), ends[first[k]].tolist(), strict=True)]
+            return [str(data[a:z], "utf-8") for a, z in zip(starts[first[k]].tolist(), ends[first[k]].tolist(), strict=True)]
 
         slot = self.slots_of(unique, text)
         doc = np.searchsorted(offs, starts, side="right") - 1
@@ -168,7 +184,7 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "
         tokens, z, values = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=3), gear(1 << 16)
         for shard in shards(batches, text, SHARD):
             ids, offs = tokens.encode(shard.column(1))
-            ends = cuts(ids & np.uint32(0xFFFF), offs, values, BITS, LEAST, MOST)
+            ends = cuts(ids & 0xFFFF, offs, values, BITS, LEAST, MOST)
             data = memoryview(ids.astype(f"<u{width}").tobytes())
             roots, lists, owned = [], [], []
             for begin, stops in zip(offs[:-1].tolist(), ends, strict=True):
