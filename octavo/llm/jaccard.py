@@ -122,7 +122,7 @@ def sketched(docs: DataFrame, text: str, id_col: str, words: int, bands: int) ->
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, text, 4 << 20):
+        for shard in shards(batches, text):
             grams, offs = gram_sets(shard.column(1), words)
             c, n = set_hash(grams, offs), np.diff(offs)
             sig = signatures(grams, offs, bands * ROWS)
@@ -139,7 +139,7 @@ def candidates(light: DataFrame, threshold: float, bands: int) -> DataFrame:
     rows = light.where("c is not null").select("c", "bands").dropDuplicates(["c"]).select("c", F.explode("bands").alias("h"))
     rows = keep(rows, "bands", codec="uncompressed")
     buckets = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("least")).where("size > 1")
-    members = keep(rows.join(sized(buckets), "h"), "members")
+    members = keep(rows.join(sized(keep(buckets, "buckets")), "h"), "members")
     stars = members.where(F.col("size") > SMALL).where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b"))
     small = members.where(F.col("size") <= SMALL).groupBy("h").agg(F.sort_array(F.collect_list("c")).alias("all"))
     pairs = small.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b")).distinct()
@@ -283,7 +283,7 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
-        for shard in shards(batches, text, 4 << 20):
+        for shard in shards(batches, text):
             grams, offs = gram_sets(shard.column(0), words)
             blobs = [deflate(np.diff(grams[a:b], prepend=U8(0)), z) if b > a else None for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(set_hash(grams, offs).view(np.int64)), pa.array(blobs, pa.binary())], ["c", "grams"])

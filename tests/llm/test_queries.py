@@ -1,9 +1,17 @@
 """Registered queries against SQL, where it can say them, and the whole pipeline's contract."""
 
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from octavo.llm import queries
+from octavo.llm import langid, queries
+from tests.llm.test_mixing import water
+from tests.llm.test_stores import ids_of as plain_ids
 from tests.oracle import connect, difference
 
 
@@ -12,18 +20,85 @@ def test_matches_sql(spark, sf, name):
     assert difference(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLES[name]) == ""
 
 
-def test_pipeline(spark, sf, docs):
-    out = docs
-    kept = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, out, sf)
-        assert out.columns == docs.columns
-        out = out.localCheckpoint() if False else spark.createDataFrame(out.toPandas(), docs.schema)
-        kept.append({r.doc_id for r in out.select("doc_id").collect()})
-    ids = {r.doc_id for r in docs.collect()}
-    assert kept[0] <= ids and all(b <= a for a, b in zip(kept, kept[1:], strict=False))
-    assert len(kept[0]) >= 0.98 * len(ids)  # clean documents stay
-    last = corpus_pipeline.STAGES[-1][1](spark, out, sf).collect()
-    assert len(last) == out.count()
-    run = corpus_pipeline.run(spark, sf).collect()
-    assert sorted(map(tuple, run)) == sorted(map(tuple, last))
+WORD, SPACED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOW))
+
+
+def brute_duplicates(rows):
+    """One document of each component of similar 5-word sets: the smallest id."""
+    sets = {}
+    for r in rows:
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}
+
+
+def brute_clean(rows, items):
+    windows = set()
+    for t in items:
+        w = words(t)
+        k = min(10, len(w))
+        windows |= {tuple(w[a : a + k]) for a in range(len(w) - k + 1) if k}
+    sizes = {len(x) for x in windows}
+    return {r.doc_id for r in rows if not any(tuple(w[a : a + k]) in windows for w in [words(r.text)] for k in sizes for a in range(len(w) - k + 1))}
+
+
+def brute_mix(rows):
+    """How often each document is in the mix: streams by md5 of the id, read twice at most, up to the targets."""
+    size = {r.doc_id: len(SPACED.findall(r.text or "")) for r in rows}
+    total = collections.Counter()
+    for r in rows:
+        total[r.source] += size[r.doc_id]
+    target = water(total)
+    out = collections.Counter()
+    for source in total:
+        own = sorted((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id) for r in rows if r.source == source)
+        for reading in range(2):
+            at = reading * total[source]
+            for _, i in own:
+                if size[i] and 2 * max(0, min(at + size[i], int(target[source] + 0.5)) - at) >= size[i]:
+                    out[i] += 1
+                at += size[i]
+    return out
+
+
+def test_pipeline_against_brute_force(spark, sf, docs, tokenizer):
+    """Every stage on what the one before kept."""
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    ids = lambda df: collections.Counter(r.doc_id for r in df.select("doc_id").collect())
+    fixed = lambda df: spark.createDataFrame(df.collect(), docs.schema)
+    spoken = fixed(stages[0](spark, docs, sf))
+    model = langid.fit(docs)
+    known = {r.doc_id for r in langid.predict(docs, model).collect() if r.lang_pred != "und" and r.score >= 0.4}
+    assert set(ids(spoken)) == known and len(known) >= 0.98 * docs.count()
+    single = fixed(stages[1](spark, spoken, sf))
+    assert set(ids(single)) == brute_duplicates(spoken.collect())
+    clean = fixed(stages[2](spark, single, sf))
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert set(ids(clean)) == brute_clean(single.collect(), items)
+    mixed = fixed(stages[3](spark, clean, sf))
+    assert ids(mixed) == brute_mix(clean.collect())
+    assert all(df.columns == docs.columns for df in (spoken, single, clean, mixed))
+    last = sorted(map(tuple, stages[4](spark, mixed, sf).collect()), key=lambda r: r[1])
+    start = 0
+    for r, got in zip(sorted(mixed.collect(), key=lambda r: r.doc_id), last, strict=True):
+        want = plain_ids(tokenizer, r.text)
+        assert got == (r.doc_id, start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=lambda r: r[1]) == last

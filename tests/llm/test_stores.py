@@ -1,18 +1,30 @@
+import functools
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from octavo.llm import castore, media, token_store
 
 
-def ids_of(tokenizer, text):
+_ENCODER: dict = {}
+
+
+@functools.cache
+def plain(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer)
+    t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    return t
+
+
+def ids_of(tokenizer, text):
+    t = plain(tokenizer)
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -37,7 +49,7 @@ def test_token_edges(odd, empty, tokenizer):
     assert token_store.read(token_store.write(empty, tokenizer)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a b", " a", "a  b", "a \u00a0b", "\u00a0 a b", "it's we'll", "\n a\n b", "é è", "日本 語", "a\u2003 b c", "x\u0085 y", "\ufeff a", "..  !! ?a 1 2b", "e\u0301 a"])
+@pytest.mark.parametrize("text", ["a b", " a", "a  b", "a \u00a0b", "\u00a0 a b", "it's we'll", "\n a\n b", "é è", "日本 語", "a\u2003 b c", "x\u0085 y", "\ufeff a", "..  !! ?a 1 2b", "e\u0301 a", "a.\nB", "a\n\nb", "a \nb", "a\n b", "it's.'ll x's", "a.b,c", "\n\na", "a'\nre", "x\n1", "1.\na", "a-\n-b", "a\r\nb"])
 def test_pieces_change_no_ids(tokenizer, text):
     e = token_store.Encoder(tokenizer, 2)
     ids, offs = e.encode(pa.array([text, text + " " + text]))
@@ -45,6 +57,13 @@ def test_pieces_change_no_ids(tokenizer, text):
     assert ids[offs[1] :].tolist() == ids_of(tokenizer, text + " " + text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab'sDl1. \n\t\r\u00a0\u00e9\u0301-,", max_size=14))
+def test_pieces_of_any_text(tokenizer, text):
+    e = _ENCODER.setdefault(tokenizer, token_store.Encoder(tokenizer, 2))
+    assert e.encode(pa.array([text]))[0].tolist() == ids_of(tokenizer, text)
+
+
 def test_forgetting_changes_nothing(tokenizer, monkeypatch, docs):
     monkeypatch.setattr(token_store, "REMEMBERED", 50)
     monkeypatch.setattr(token_store, "LATEST", 10)
