@@ -145,7 +145,8 @@ def propagate(own: DataFrame, subtrees: DataFrame, dim: int, max_level: int) ->
         mean = up.groupBy(*keys).agg(F.avg("value").alias("child"))
         whole = up.groupBy(*key_names(dim)).agg(F.countDistinct("oct").alias("n")).where(F.col("n") == 1 << dim).select(*key_names(dim), F.lit(True).alias("whole"))
         mine = own.where(F.col("level") == level).select(*keys, F.col("value").alias("own")).join(whole, key_names(dim), "left").where("whole is null").drop("whole")
-        below = mean.join(mine, keys, "full_outer").select(*keys, F.coalesce("child", "own").alias("value"))
+        # a level is read by the result and by the next one: kept, or each would compute all those below it again
+        below = mean.join(mine, keys, "full_outer").select(*keys, F.coalesce("child", "own").alias("value")).persist()
         done = done.unionByName(below)
     return done
 

@@ -127,13 +127,9 @@ def exact_problem(spark: SparkSession, config: ExactConfig, dim: int = 3, depth:
     step = cube.block_size(F.col("level")) / F.pow(F.lit(2.0), F.col("depth"))
     place = [m + F.col(n) * step for m, n in zip(cube.block_min(F.col("level"), [F.col(i) for i in index_names(dim)]), node_names(dim), strict=True)]
     nodes = nodes.select("*", *(p.alias(a) for p, a in zip(place, axes(dim), strict=True)))
-    frames = [config.init_time + k * config.time_step for k in range(config.time_step_count)]
-    f = FUNCTIONS[config.problemId]
-    sparse = None
-    for k, t in enumerate(frames):
-        v = f(*(F.col(a) for a in axes(dim)), t)
-        one = nodes.select(*key_names(dim), *node_names(dim), F.when(~F.isnan(v), v).alias("value"), F.lit(k).alias("frame"))
-        sparse = one if sparse is None else sparse.unionByName(one)
+    nodes = readers.with_times(nodes, [config.init_time + k * config.time_step for k in range(config.time_step_count)])
+    v = FUNCTIONS[config.problemId](*(F.col(a) for a in axes(dim)), F.col("time"))
+    sparse = nodes.select(*key_names(dim), *node_names(dim), F.when(~F.isnan(v), v).alias("value"), "frame")
     return Prepared(cube, blocks, subtrees, sparse)
 
 

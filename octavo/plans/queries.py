@@ -536,7 +536,7 @@ def alpha_fold_rays(spark, d):
     return view.alpha_volume(rays(spark, d), ["pixel"], 0.2, 0.0, 500.0, 0.5).select("pixel", r6(F.col("r")).alias("c"), r6(F.col("a")).alias("a"))
 
 
-@query()
+@query(with_views("rays", body=FOLD.replace("SELECT pixel, step, least(greatest(v / 500.0, 0), 1) AS rel FROM rays", "SELECT pixel, step, least(greatest(v / 500.0, 0), 1) AS rel, 0.2 + 0.6 * (w / 7) + 0.2 * power(w / 7, 8) AS light FROM rays").replace("{'c': rel, 'a': 1 - power(1 - 0.2 * rel, 0.5)}", "{'c': rel * light, 'a': greatest(1 - power(1 - 0.2 * rel, 0.5), 1e-5)}") + " SELECT pixel, round(r.c, 6) AS r, round(r.c, 6) AS g, round(r.c, 6) AS b, round(r.a, 6) AS a FROM f"))
 def alpha_fold_lit_rays(spark, d):
     """The same, lit: a second field as the cosine of the light."""
     light = colors.blinn([F.lit(0.0), F.lit(0.0), F.col("w") / 7], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], 0.2, 0.6, 0.2, 8.0)
@@ -719,20 +719,28 @@ def odometer(spark, d):
     return mesh.odometer(spark, [5, 4, 3], ["i", "j", "k"])
 
 
-@query()
+NODES12 = "+n AS (SELECT id, id % 12 AS i, id // 12 % 12 AS j, id // 144 AS k FROM (SELECT unnest(generate_series(0, 1727)) AS id) t)"
+
+
+@query(f"""WITH {NODES12[1:]}, p AS (SELECT *, 1 + i / 11.0::DOUBLE * (2 / 3.0::DOUBLE + i / 11.0::DOUBLE * (1 / 3.0::DOUBLE)) AS r, pi() * j / 11 AS th, 2 * pi() * k / 11 AS ph FROM n)
+SELECT 0 AS zone_id, CAST(id AS BIGINT) AS node_id, round(r * sin(th) * cos(ph), 6) AS x, round(r * sin(th) * sin(ph), 6) AS y, round(r * cos(th), 6) AS z, round(sin(2 * pi() / (5 * r)) * sin(8 * pi() * j / 11) * sin(16 * pi() * k / 11), 6) AS F, round(r * sin(th) * cos(ph) * (r * sin(th) * cos(ph)), 6) AS xx FROM p""")
 def sphere_generator(spark, d):
-    return readers.sphere(spark, 3, 12)
+    s = readers.sphere(spark, 3, 12)
+    return s.select("zone_id", "node_id", *(r6(F.col(c)).alias(c) for c in ("x", "y", "z", "F", "xx")))
 
 
-@query()
+@query(f"""WITH {NODES12[1:]}, q AS (SELECT id, (1 - power(power(2.0::DOUBLE, 0.1), i)) / (1 - power(2.0::DOUBLE, 1.1)) AS x, (1 - power(power(2.0::DOUBLE, 0.1), j)) / (1 - power(2.0::DOUBLE, 1.1)) AS y, (1 - power(power(2.0::DOUBLE, 0.1), k)) / (1 - power(2.0::DOUBLE, 1.1)) AS z FROM n)
+SELECT 0 AS zone_id, CAST(id AS BIGINT) AS node_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(x + 2 * y + 3 * z, 6) AS lin FROM q""")
 def cube_generator(spark, d):
-    return readers.cube(spark, 3, 12, 2.0)
+    return readers.cube(spark, 3, 12, 2.0).select("zone_id", "node_id", *(r6(F.col(c)).alias(c) for c in ("x", "y", "z", "lin")))
 
 
-@query()
+@query("""WITH p AS (SELECT id, (id % 8 - 4) / 8.0::DOUBLE AS x, (id // 8 % 8 - 4) / 8.0::DOUBLE AS y, (id // 64 + 1) / 8.0::DOUBLE AS z FROM (SELECT unnest(generate_series(0, 511)) AS id) t),
+t AS (SELECT id, x * cos(pi() * z / 2) - y * sin(pi() * z / 2) AS a, x * sin(pi() * z / 2) + y * cos(pi() * z / 2) AS b, z FROM p)
+SELECT CAST(id AS BIGINT) AS id, round(sin(pi() * a / z) * sin(pi() * b / z) * sin(1 / z) - z, 6) AS value FROM t""")
 def wave_function(spark, d):
     p = mesh.odometer(spark, [8, 8, 8], ["i", "j", "k"])
-    return p.select("id", readers.waves((F.col("i") - 4) / 8, (F.col("j") - 4) / 8, (F.col("k") + 1) / 8, 0.0).alias("value"))
+    return p.select("id", r6(readers.waves((F.col("i") - 4) / 8, (F.col("j") - 4) / 8, (F.col("k") + 1) / 8, 0.0)).alias("value"))
 
 
 # -- telemetry --------------------------------------------------------------------------------
@@ -898,13 +906,17 @@ def session_timeout_tele(spark, d):
     return stateful.sessions(t, "thread", "ts", 4 * 3600).select("thread", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
-@query()
+@query(with_views("tele", body="""+g AS (SELECT thread, list({'last': us // 1000, 'sent': [us // 1000]} ORDER BY us // 1000) AS l FROM tele GROUP BY thread),
+f AS (SELECT thread, list_reduce(l, lambda a, x: CASE WHEN x.last - a.last >= 3600000 THEN {'last': x.last, 'sent': list_concat(a.sent, x.sent)} ELSE a END) AS r FROM g)
+SELECT thread, unnest(r.sent) AS ms FROM f"""))
 def push_throttle_tele(spark, d):
     """At most one frame for each hour and thread."""
     return stateful.throttled(tele(spark, d).withColumn("ms", F.floor(F.col("us") / 1000)), ["thread"], "ms", 3_600_000)
 
 
-@query()
+@query(with_views("tele", body="""+g AS (SELECT thread, list({'o': 0, 'k': 0, 's': 0, 'send': stage <> 'view'} ORDER BY us, n) AS l FROM tele GROUP BY thread),
+f AS (SELECT thread, list_reduce(list_prepend({'o': 0, 'k': 0, 's': 0, 'send': false}, l), lambda a, x: {'o': CASE WHEN x.send AND a.o < 3 THEN a.o + 1 WHEN NOT x.send THEN greatest(a.o - 1, 0) ELSE a.o END, 'k': CASE WHEN x.send AND a.o >= 3 THEN a.k + 1 ELSE a.k END, 's': CASE WHEN x.send AND a.o < 3 THEN a.s + 1 ELSE a.s END, 'send': false}) AS r FROM g)
+SELECT thread, r.s AS sent, r.k AS skipped, r.o AS open FROM f"""))
 def back_pressure_tele(spark, d):
     t = tele(spark, d).withColumn("kind", F.when(F.col("stage") == "view", "ack").otherwise("send"))
     return stateful.pending(t, ["thread"], ["us", "n"], "kind")

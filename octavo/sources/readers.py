@@ -230,7 +230,7 @@ def cube(spark: SparkSession, dim: int, n: int, ratio: float = 1.0, time: float
     return rows.withColumn("F", value).withColumn("lin", linear)
 
 
-def waves(x: Column, y: Column, z: Column, t: float) -> Column:
+def waves(x: Column, y: Column, z: Column, t: float | Column) -> Column:
     """Multiscale waves: sin(pi X / z) sin(pi Y / z) sin(1 / z + pi t) - z, with (X, Y) turned by pi z / 2."""
     a = F.lit(np.pi) * z / 2
     turned = x * F.cos(a) - y * F.sin(a), x * F.sin(a) + y * F.cos(a)
