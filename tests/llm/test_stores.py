@@ -83,6 +83,14 @@ def test_chunks_are_stored_once(spark, tokenizer):
     assert s.borrowed.count() > 0
 
 
+def test_hot_chunks_are_salted(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(castore, "HOT", 3)
+    base = " ".join(f"word{i}" for i in range(3000))
+    texts = {i: base + f" end{i}" for i in range(40)}
+    got = token_store.read(token_store.write(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer), ids=True)
+    assert {r.doc_id: list(r.ids) for r in got.collect()} == {i: ids_of(tokenizer, t) for i, t in texts.items()}
+
+
 def test_damage_is_found():
     import zstandard
 
