@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octavo.functions.cells import axes, bit
+from octavo.functions.cells import axes
 from octavo.functions.prefix import rank_before
 
 # Local node numbers of faces and simplices by element subtype (counter-clockwise, faces outward).
@@ -67,12 +67,12 @@ def with_subtype(elements: DataFrame) -> DataFrame:
 
 
 def _table(local: dict[str, list[tuple[int, ...]]]) -> Column:
-    """The rows of a fixed table for the element's subtype, as arrays of its node numbers."""
-    out = None
-    for name, rows in local.items():
-        arrays = F.array(*(F.array(*(F.get("nodes", F.lit(i)) for i in row)) for row in rows))
-        out = F.when(F.col("subtype") == name, arrays) if out is None else out.when(F.col("subtype") == name, arrays)
-    return out
+    """The rows of a fixed table for the element's subtype, as arrays of its node numbers. The table itself is a literal."""
+    rows = None
+    for name, table in local.items():
+        literal = F.array(*(F.array(*(F.lit(i) for i in row)) for row in table))
+        rows = F.when(F.col("subtype") == name, literal) if rows is None else rows.when(F.col("subtype") == name, literal)
+    return F.transform(rows, lambda row: F.transform(row, lambda i: F.get("nodes", i)))
 
 
 def faces(elements: DataFrame) -> DataFrame:
@@ -109,9 +109,9 @@ def reversed_face(face: Column) -> Column:
 
 def boundary_faces(elements: DataFrame) -> DataFrame:
     """Faces that no other element of the zone has from the other side."""
-    rows = faces(elements).withColumn("_k", F.when(F.size("nodes") > 2, canonical(F.col("nodes"))).otherwise(F.col("nodes")))
-    both = F.array_sort(F.array(F.col("_k"), F.when(F.size("nodes") > 2, reversed_face(F.col("_k"))).otherwise(F.reverse(F.col("_k")))))
-    rows = rows.withColumn("_key", F.element_at(both, 1))
+    rows = faces(elements).withColumn("_k", canonical(F.col("nodes")))
+    # begun at the smallest node, an edge has one form; a face and its reverse are told apart by the second node
+    rows = rows.withColumn("_key", F.least("_k", reversed_face(F.col("_k"))))
     once = rows.groupBy("zone_id", "_key").agg(F.count("*").alias("_n"), F.first("element_id").alias("element_id"), F.first("face").alias("face"), F.first("nodes").alias("nodes")).where("_n = 1")
     return once.select("zone_id", "element_id", "face", "nodes")
 
@@ -244,6 +244,3 @@ def inflated(bounds_rows: DataFrame, points: DataFrame, dim: int, by: float = 1.
     more = moved.agg(*(f(a).alias(f"{n}_{a}") for a in axes(dim) for n, f in (("min", F.min), ("max", F.max))))
     return bounds_rows.unionByName(more).agg(*(f(f"{n}_{a}").alias(f"{n}_{a}") for a in axes(dim) for n, f in (("min", F.min), ("max", F.max))))
 
-
-def corner_of(c: Column, d: int) -> Column:
-    return bit(c, d)
