@@ -780,12 +780,12 @@ def task_duration_tele(spark, d):
 
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
-STATS = ", ".join(f"count(CASE WHEN stage = '{t}' THEN v END) AS {t}_count, coalesce(min(CASE WHEN stage = '{t}' THEN v END), 0) AS {t}_min, coalesce(max(CASE WHEN stage = '{t}' THEN v END), 0) AS {t}_max, round(avg(CASE WHEN stage = '{t}' THEN v END), 4) AS {t}_avg" for t in TYPES)
+STATS = ", ".join(f"count(CASE WHEN stage = '{t}' THEN v END) AS {t}_count, coalesce(min(CASE WHEN stage = '{t}' THEN v END), 0) AS {t}_min, coalesce(max(CASE WHEN stage = '{t}' THEN v END), 0) AS {t}_max, round(avg(CASE WHEN stage = '{t}' THEN v END), 8) AS {t}_avg" for t in TYPES)
 
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:
     s = telemetry.stage_statistics(tele(spark, d), ["level", "frame"], "stage", "v", TYPES)
-    return s.select(*(F.round(c, 4).alias(c) if c.endswith("_avg") else c for c in s.columns))
+    return s.select(*(F.round(c, 8).alias(c) if c.endswith("_avg") else c for c in s.columns))
 
 
 @query(with_views("tele", body=f"SELECT level, frame, {STATS} FROM tele GROUP BY level, frame"))
