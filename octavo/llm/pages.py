@@ -6,9 +6,10 @@ common beginning; their text lines are aligned by longest common subsequence, an
 deleted: they are the site's, not the page's. Pages that share half of their text or more are copies of one
 article and tell nothing about the site; then the other neighbour is taken, or none.
 
-Lines inside an ``article`` or ``main`` element are never deleted for being shared, as an article may quote or
-repeat another; what markup shows to be no article (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, anything not displayed) is dropped by that.
+A line inside an ``article`` or ``main`` element is deleted only if it is the host's as well, that is, on more
+than half of its different texts (of three at least), as an article may quote or repeat another; what markup
+shows to be no article (menus, headers, footers, sidebars, notices, adverts, forms, comments, anything not
+displayed) is dropped by that. Hosts on which no line may go are not put in order.
 """
 
 from __future__ import annotations
@@ -178,7 +179,7 @@ def address(url: str | None) -> tuple[str, str]:
 
 
 def parsed(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
-    """Per page: its row's key (batch, row), id, url, host, path, text blocks, their hashes and sizes, and fixed: whether none may be deleted."""
+    """Per page: its row's key (batch, row), id, url, host, path, text blocks, their hashes and sizes, and whether they are inside an article."""
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +194,30 @@ def parsed(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
                     pa.array([b for b, _ in found], pa.list_(pa.string())),
                     pa.array([np.array([xxhash.xxh3_64_intdigest(x) for x in b], np.uint64).view(np.int64) for b, _ in found], pa.list_(pa.int64())),
                     pa.array([[len(x) for x in b] for b, _ in found], pa.list_(pa.int32())),
-                    pa.array([all(f) for _, f in found]),
+                    pa.array([f for _, f in found], pa.list_(pa.bool_())),
                 ]
-                yield pa.RecordBatch.from_arrays(made, ["batch", "row", id_col, url, "host", "path", "blocks", "hashes", "sizes", "fixed"])
+                yield pa.RecordBatch.from_arrays(made, ["batch", "row", id_col, url, "host", "path", "blocks", "hashes", "sizes", "inside"])
 
-    schema = f"batch string, row int, `{id_col}` {kinds[id_col]}, `{url}` {kinds[url]}, host string, path string, blocks array<string>, hashes array<bigint>, sizes array<int>, fixed boolean"
+    schema = f"batch string, row int, `{id_col}` {kinds[id_col]}, `{url}` {kinds[url]}, host string, path string, blocks array<string>, hashes array<bigint>, sizes array<int>, inside array<boolean>"
     return pages.select(id_col, url, html).mapInArrow(run, schema)
 
 
+def site_lines(light: DataFrame) -> DataFrame:
+    """(host, common): the lines on more than half of a host's different texts, if these are three or more.
+
+    Only hosts with such lines or with lines outside articles are listed: on the others nothing may be deleted.
+    A host has at most twice as many common lines as a text of it has lines on the average.
+    """
+    texts = light.where("size(hashes) > 0").select("host", "hashes").withColumn("text", F.xxhash64("hashes")).dropDuplicates(["host", "text"])
+    lines = texts.select("host", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1")
+    hosts = light.groupBy("host").agg(F.max(F.exists("inside", lambda x: ~x)).alias("open"))
+    hosts = keep(hosts.join(texts.groupBy("host").agg(F.count("*").alias("texts")), "host"), "hosts")
+    many = lines.join(sized(hosts.where("texts > 2")), "host").where(2 * F.col("n") > F.col("texts"))
+    common = many.groupBy("host").agg(F.collect_list("h").alias("common"))
+    out = hosts.join(common, "host", "left").where("open or common is not null")
+    return keep(out.select("host", F.coalesce("common", F.array().cast("array<bigint>")).alias("common")), "sites")
+
+
 def ordered(light: DataFrame, id_col: str) -> DataFrame:
     """Pages by host and path over range partitions, numbered within each (part, idx)."""
     rows = light.repartitionByRange("host", "path", F.col(id_col).asc_nulls_first(), "batch", "row").sortWithinPartitions("host", "path", F.col(id_col).asc_nulls_first(), "batch", "row")
@@ -215,25 +232,25 @@ def neighbours(rows: DataFrame) -> DataFrame:
     edge = rows.groupBy("part").agg(F.min_by(side, "idx").alias("first"), F.max_by(side, "idx").alias("last"))
     order = Window.orderBy("part")  # one small row for each partition
     edge = edge.select("part", F.lag("last").over(order).alias("before_part"), F.lead("first").over(order).alias("after_part"))
-    near = rows.withColumn("before", F.lag(side).over(w)).withColumn("after", F.lead(side).over(w)).where(~F.col("fixed"))
+    near = rows.withColumn("before", F.lag(side).over(w)).withColumn("after", F.lead(side).over(w)).where(F.exists("free", lambda x: x))
     near = near.join(sized(edge), "part")
-    return near.select("batch", "row", "host", "path", "hashes", "sizes", F.coalesce("before", "before_part").alias("before"), F.coalesce("after", "after_part").alias("after"))
+    return near.select("batch", "row", "host", "path", "hashes", "sizes", "free", F.coalesce("before", "before_part").alias("before"), F.coalesce("after", "after_part").alias("after"))
 
 
 def shared_lines(near: DataFrame) -> DataFrame:
     """(batch, row, gone): the numbers of the lines that a page has in common with its nearest page."""
 
-    def choose(host: str, path: str, hashes: list[int], sizes: list[int], sides: list[dict | None]) -> list[int]:
+    def choose(host: str, path: str, hashes: list[int], sizes: list[int], free: list[bool], sides: list[dict | None]) -> list[int]:
         own = [s for s in sides if s and s["host"] == host]
         for s in sorted(own, key=lambda s: -_common(path, s["path"])):
             same = lcs(hashes, s["hashes"])
             if sum(sizes[i] for i in same) < COPY * sum(sizes):
-                return same
+                return [i for i in same if free[i]]
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [choose(r["host"], r["path"], r["hashes"], r["sizes"], [r["before"], r["after"]]) for r in batch.to_pylist()]
+            gone = [choose(r["host"], r["path"], r["hashes"], r["sizes"], r["free"], [r["before"], r["after"]]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["batch", "row", "gone"])
 
     return near.mapInArrow(run, "batch string, row int, gone array<int>").where("size(gone) > 0")
@@ -246,7 +263,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     name. Repeated rows are pages of their own. Extra columns are ignored.
     """
     rows = keep(parsed(pages, id_col, url, html), "blocks")
-    order = ordered(rows.drop("blocks", url), id_col)
+    light = rows.drop("blocks", url)
+    light = light.join(sized(site_lines(light)), "host")
+    free = F.zip_with("hashes", "inside", lambda h, inside: ~inside | F.array_contains("common", h))
+    order = ordered(light.withColumn("free", free).drop("inside", "common"), id_col)
     gone = keep(shared_lines(neighbours(order)), "gone")
     out = rows.select("batch", "row", id_col, url, "blocks").join(sized(gone), ["batch", "row"], "left")
     left = F.filter("blocks", lambda x, i: ~F.array_contains(F.col("gone"), i))

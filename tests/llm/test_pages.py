@@ -33,6 +33,16 @@ def test_shared_lines_of_neighbours_go(spark):
     assert got[99].startswith("Welcome")  # no neighbour on its host
 
 
+def test_lines_of_the_host_inside_articles_go(spark):
+    """A notice on every page goes, a passage that two of the articles have stays."""
+    quote = "A passage that an article quotes from another one"
+    body = lambda i: ["Read our great offers of the week", f"Text {i} " + "word " * 60, *[quote] * (i < 2), f"More of {i} " + "other " * 40]
+    rows = [(i, f"http://h.example/en/{i}", page(body(i)).replace("body>", "main>")) for i in range(5)]
+    got = run(spark, rows)
+    for i in range(5):
+        assert got[i].split("\n") == [" ".join(x.split()) for x in body(i)[1:]]
+
+
 def test_copies_are_not_boilerplate(spark):
     body = [f"Sentence {i} of an article that was copied" for i in range(10)]
     got = run(spark, [(1, "http://h.example/a", page(body)), (2, "http://h.example/b", page(body))])
