@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from octavo.llm.blocks import ALNUM, U8, column_bytes, mix, per_doc, shards, span_hash, word_spans
 from octavo.llm.components import components
@@ -265,13 +266,8 @@ def block_rows(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
     return few.select(*columns), dealt.select(*columns)
 
 
-def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """A row for each document: id_col, class_id (the smallest id of its class), text_id (the smallest id with the same
-    n-gram set), n_links (documents linked to it directly, copies included), n_text_links (linked n-gram sets other than its own).
-
-    Null and wordless texts have no links; their class is their own id. A null id takes part, and is reported as
-    such where no other id is in its class. Repeated rows are copies. Extra columns are ignored.
-    """
+def classified(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of ``join``, with c (the text class, null without words) and class_c: the text class of its class that is kept."""
     bands = banding(threshold, recall)
     light = keep(sketched(docs, text, id_col, words, bands), "sketched")
     edges = keep(candidates(light, threshold, bands), "candidates")
@@ -298,25 +294,63 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
     sums = sums.join(again.withColumnRenamed("id", "c"), "c", "left").select("c", "links", "doc_links", F.coalesce("label", "c").alias("least"))
     links = small.unionByName(sums)
     joined = texts.join(sized(keep(links, "links")), "c", "left").withColumn("least", F.coalesce("least", "c"))
-    rep = joined.groupBy("least").agg(F.min("text_id").alias("class_id"))
-    classes = keep(joined.join(rep, "least").select("c", "class_id", "text_id", (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links")), "classes")
+    first = F.min(F.struct(F.col("text_id").isNull(), "text_id", "c"))
+    rep = joined.groupBy("least").agg(first.alias("first")).select("least", F.col("first.text_id").alias("class_id"), F.col("first.c").alias("class_c"))
+    classes = keep(joined.join(rep, "least").select("c", "class_id", "class_c", "text_id", (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links")), "classes")
     # Documents that are alone are their class; only the others are looked up.
     grouped = classes.where("n_links > 0 or class_id <> text_id")
     out = light.select(id_col, "c").join(sized(grouped), "c", "left")
     alone = F.col("n_links").isNull()
-    return out.select(id_col, F.when(alone, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col(id_col)).otherwise(F.col("text_id")).alias("text_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+    own = F.when(alone, F.col(id_col))
+    return out.select(id_col, own.otherwise(F.col("class_id")).alias("class_id"), own.otherwise(F.col("text_id")).alias("text_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), "c", F.coalesce("class_c", "c").alias("class_c"))
+
+
+def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """A row for each document: id_col, class_id (the smallest id of its class), text_id (the smallest id with the same
+    n-gram set), n_links (documents linked to it directly, copies included), n_text_links (linked n-gram sets other than its own).
+
+    Null and wordless texts have no links; their class is their own id. A null id takes part, and is reported as
+    such where no other id is in its class. Repeated rows are copies. Extra columns are ignored.
+    """
+    return classified(docs, text, id_col, words, threshold, recall).drop("c", "class_c")
+
+
+def with_class(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """The rows with their text class _c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, text):
+            grams, offs = gram_sets(shard.column(shard.schema.get_field_index(text)), words)
+            c = pa.array(set_hash(grams, offs).view(np.int64), mask=np.diff(offs) == 0)
+            yield pa.RecordBatch.from_arrays([*shard.columns, c], [*shard.schema.names, "_c"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_c", LongType())]))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is the smallest of their class, with their columns; repeated rows of it once.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, **options) -> DataFrame:
+    """One document of each class, with its columns: that with the smallest id, of its texts one.
 
-    Documents with a null id stay only if they are alone in their class.
+    It is decided by id and text class, so a null id, or one that several texts have, loses no text that
+    another document doesn't stand for. Null ids stay only if no other id is in their class, and then one of them.
     """
-    found = keep(join(docs, id_col=id_col, **options), "found")
-    drop = found.where(~F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_drop")).distinct()
-    out = docs.join(sized(drop), F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
-    twice = found.where(F.col("class_id").eqNullSafe(F.col(id_col)) & (F.col("n_links") > 0)).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice"))
-    if twice.isEmpty():
+    found = keep(classified(docs, text, id_col, words, **options), "found")
+    same_id = lambda other: F.col(id_col).eqNullSafe(F.col(other))
+    gone = (F.col("n_links") > 0) & ~(same_id("class_id") & (F.col("c") == F.col("class_c")))
+    fates = found.select(id_col, "c", gone.alias("gone"), ((F.col("n_links") > 0) & ~gone).alias("first"))
+    rows = fates.groupBy(id_col).agg(F.max("gone").alias("some"), F.min("gone").alias("all"), F.max("first").alias("first"), F.count("*").alias("rows"))
+    rows = keep(rows.where("some or first and rows > 1"), "fates")
+    drop = rows.where("all").select(F.col(id_col).alias("_drop"))
+    # ids of which some rows stay and others do not, or a row that stays may be repeated
+    mixed = rows.where("not all").select(F.col(id_col).alias("_mixed"))
+    out = docs.join(sized(drop), same_id("_drop"), "left_anti")
+    if mixed.isEmpty():
         return out
-    again = out.join(sized(twice), F.col(id_col).eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates([id_col])
-    return out.join(sized(twice), F.col(id_col).eqNullSafe(F.col("_twice")), "left_anti").unionByName(again)
+    part = with_class(out.join(sized(mixed), same_id("_mixed"), "left_semi"), text, words)
+    of_mixed = fates.join(sized(mixed), same_id("_mixed"), "left_semi")
+    row = same_id("_id") & F.col("_c").eqNullSafe(F.col("_class"))
+    less = of_mixed.where("gone").select(F.col(id_col).alias("_id"), F.col("c").alias("_class")).distinct()
+    once = of_mixed.where("first").select(F.col(id_col).alias("_id"), F.col("c").alias("_class")).distinct()
+    part = part.join(sized(less), row, "left_anti")
+    again = part.join(sized(once), row, "left_semi").dropDuplicates([id_col, "_c"])
+    part = part.join(sized(once), row, "left_anti").unionByName(again).drop("_c")
+    return out.join(sized(mixed), same_id("_mixed"), "left_anti").unionByName(part)

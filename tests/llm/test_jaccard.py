@@ -106,6 +106,17 @@ def test_edges(odd, empty):
     assert jaccard.one_of_each(empty).count() == 0
 
 
+def test_rows_not_ids_are_removed(spark):
+    """Null ids and ids with several texts lose only what another document stands for."""
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (None, None), (None, ""), (2, d), (2, a), (3, e), (3, e), (3, None), (4, b + " x"), (4, b + " x")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (None, c), (None, None), (None, ""), (2, d), (3, e), (3, None), (4, b + " x")], key=str)
+    alone = [(None, b), (None, b), (None, c), (None, d), (None, d)]
+    kept = jaccard.one_of_each(spark.createDataFrame(alone, "doc_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == [b, c, d]
+
+
 def test_matrix_of_links():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4], [9], [1, 2, 3, 4, 5, 6])]
     m = jaccard.matched(sets, np.arange(4), np.arange(4), 0.8)
