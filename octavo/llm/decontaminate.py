@@ -43,7 +43,7 @@ def _gram(words: np.ndarray, q: int) -> np.ndarray:
 class Tests:
     """One block of benchmark items: words, and the suffixes that can begin a match, with their least length."""
 
-    def __init__(self, ids: list[str], words: list[np.ndarray], window: int):
+    def __init__(self, ids: list[str | None], words: list[np.ndarray], window: int):
         ids, words = zip(*[(i, w) for i, w in zip(ids, words, strict=True) if len(w)], strict=True) if any(map(len, words)) else ((), ())
         self.ids, self.window = list(ids), window
         size = np.array([len(w) for w in words], np.int64)
@@ -162,10 +162,11 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [w[:-1] for w in np.split(words, sep[:-1] + 1)] if len(texts) else []
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[Tests]:
+def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_words: int, unnamed: bool = False) -> Iterator[Tests]:
     """The benchmark as blocks of bounded size, read one partition at a time."""
     ids, words, n = [], [], 0
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null").distinct()
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).distinct()
+    rows = rows if unnamed else rows.where("i is not null")
     for row in rows.toLocalIterator():
         w = item_words([row.t])[0]
         if n + len(w) > block_words and ids:
@@ -177,19 +178,21 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_wor
     yield Tests(ids, words, window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, only_clean: bool = False, prefix: str = "") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, only_clean: bool = False, prefix: str = "", unnamed: bool = False) -> DataFrame:
     """Match every document against every benchmark item.
 
     Returns all columns of ``docs`` but the text, and: n_words, n_hit (words inside any matched window),
     n_items, items_sha256, contaminated, matches (longest verbatim matches: item_id, item_start, doc_start,
     n_words, in words). With ``only_clean``, the documents without a hit instead, with their own columns alone.
 
-    Null and empty texts have no words and no hits. Items with null id or without words match nothing;
-    repeated items count once. Repeated documents are each reported. A column of docs with the name of a
+    Null and empty texts have no words and no hits. Items without words match nothing; repeated items count once.
+    With ``unnamed``, items with a null id are searched for like others: all of them together count as one in
+    n_items, and items_sha256 leaves them out, as SQL's count of distinct rows and string_agg do. Else they match
+    nothing. Repeated documents are each reported. A column of docs with the name of a
     new one gives way to it; ``prefix`` before the new names keeps both.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item, item_text, window, block_words)]
+    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item, item_text, window, block_words, unnamed)]
     made_names = [f"{prefix}{x}" for x in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches")]
     kept = [f for f in docs.schema.fields if only_clean or f.name.lower() not in (text.lower(), *made_names)]
     match = "array<struct<item_id:string,item_start:int,doc_start:int,n_words:int>>"
@@ -202,8 +205,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             column = shard.column(shard.schema.get_field_index(text))
             words, sep, doc, count = shard_words(column)
             cover = np.zeros(len(words) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            runs: dict[int, list[tuple[str, int, int, int]]] = {}
+            items: dict[int, set[str | None]] = {}
+            runs: dict[int, list[tuple[str | None, int, int, int]]] = {}
             for b in blocks:
                 tests = b.value
                 if len(blocks) > 1:
@@ -231,14 +234,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(n_hit == 0))
                 continue
             n = len(count)
-            listed = [sorted(items.get(d, ())) for d in range(n)]
+            listed = [items.get(d, ()) for d in range(n)]
             made = [
                 pa.array(count, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in listed], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()),
+                pa.array([hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in listed], pa.string()),
                 pa.array(n_hit > 0, pa.bool_()),
-                pa.array([[dict(zip(("item_id", "item_start", "doc_start", "n_words"), m, strict=True)) for m in sorted(runs.get(d, ()))] for d in range(n)], pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))),
+                pa.array([[dict(zip(("item_id", "item_start", "doc_start", "n_words"), m, strict=True)) for m in sorted(runs.get(d, ()), key=lambda m: (m[0] is not None, m[0] or "", m[1:]))] for d in range(n)], pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))),
             ]
             yield pa.RecordBatch.from_arrays([*columns.values(), *made], [*names, *made_names])
 

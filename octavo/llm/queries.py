@@ -71,7 +71,7 @@ def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in benchmark passages, and the items they come from."""
-    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

@@ -67,3 +67,25 @@ def test_edges(spark, odd, empty):
     kept = dc.remove_affected(odd, items)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "7", "8", "None"]
     assert "p_n_words" in dc.scan(odd, items, prefix="p_").columns and "n_words" in dc.scan(odd, items, prefix="p_").columns
+
+
+def test_items_without_id(spark, tmp_path):
+    """What the query's SQL says of items with a null id; the pipeline removes the documents that quote them."""
+    import duckdb
+
+    import corpus_pipeline
+    from octavo.llm import queries
+
+    long = " ".join(f"b{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, f"z {long} z"), (3, "one two three four five"), (4, "clean"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "one two three"), (None, "four five"), (None, long), (None, None)], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = queries.QUERIES["op9_suffix_decontaminate"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(queries.ORACLES["op9_suffix_decontaminate"]).fetchall())
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (3, 1, True), 2: (14, 1, True), 3: (5, 2, True), 4: (0, 0, False), 5: (0, 0, False)}
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [4, 5]
+    assert [m.item_id for m in dc.scan(docs, items, unnamed=True).where("doc_id = 3").first().matches] == [None, "0"]
