@@ -35,7 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the content-addressed store, read back."""
-    return token_store.read(token_store.write(docs, tokenizer_path()))
+    return token_store.read(token_store.write(docs, tokenizer_path(), special=True))
 
 
 STAGES = [

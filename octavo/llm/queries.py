@@ -55,7 +55,7 @@ def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, store and read back all documents: where each starts, its ids and their checksum."""
-    return token_store.read(token_store.write(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return token_store.read(token_store.write(table(spark, sf_dir, "documents"), tokenizer_path(), special=True))
 
 
 def op7_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

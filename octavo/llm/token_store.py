@@ -8,6 +8,9 @@ end id) has at most 65,536 ids, else 4. Recipes lie in ascending order of the do
 number ``part`` of its file and its ids' count; ``manifest`` has for each part its documents, ids and the
 Merkle-style root over the recipes' roots in order.
 
+With ``special``, a text's added tokens (such as <|endoftext|>) have their own ids, as in the tokenizer's
+encoding of the whole text by its defaults; else they are encoded as any other text.
+
 Nulls and empty texts give the end id alone. Null document ids come first. Repeated rows each have a
 recipe, and share one payload. Extra columns are ignored.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -48,7 +51,7 @@ _SIGN = _SAFE & ~_LETTER
 _SIGN[48:58] = False
 
 
-def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces(raw: np.ndarray, offs: np.ndarray, added: Iterable[tuple[bytes, bool]] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pieces that a byte-level pre-tokenizer treats independently. They cover all bytes in order.
 
     Such a tokenizer takes runs of letters, of digits, of other signs (each with one space before it) and of
@@ -57,6 +60,9 @@ def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
       characters or letters of two bytes (first byte 0xC3) are used, beside which no Unicode white space is,
     - where a sign or a line feed follows an ASCII letter, or a line feed a sign,
     - where an ASCII letter follows a single line feed (of several, the last is a token of its own).
+
+    Added tokens are not cut; where their second value is true, what is beside them counts too, and their whole
+    text is one piece.
     """
     n = len(raw)
     cut = np.zeros(n + 1, bool)
@@ -69,6 +75,13 @@ def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         letter, sign, feed = _LETTER[raw], _SIGN[raw], raw == 10
         cut[1:n] |= letter[:-1] & (sign[1:] | feed[1:]) | sign[:-1] & feed[1:]
         cut[2:n] |= (letter[:-2] | sign[:-2]) & feed[1:-1] & letter[2:]
+    data = raw.tobytes() if added else b""
+    for token, beside in added:
+        a = data.find(token)
+        while a >= 0:
+            k = int(np.searchsorted(offs, a, side="right"))
+            cut[offs[k - 1] + 1 if beside else a + 1 : offs[k] if beside else a + len(token)] = False
+            a = data.find(token, a + 1)
     cut[offs[:-1]] = True
     starts = np.flatnonzero(cut[:n])
     return starts, np.append(starts[1:], n)
@@ -81,12 +94,14 @@ class Encoder:
     the latest pieces that is merged into it now and then.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        known = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [(t.content.encode(), t.lstrip or t.rstrip or t.single_word) for t in known if special or not t.special]
         self.end_id = end_id
         self.kind = np.uint16 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         self.clear()
@@ -136,7 +151,7 @@ class Encoder:
         """All ids, and the offsets of each text's ids, with the end id at each text's end."""
         raw, offs = column_bytes(column)
         n = len(offs) - 1
-        starts, ends = pieces(raw, offs)
+        starts, ends = pieces(raw, offs, self.added)
         padded = np.zeros(len(raw) + PAD, np.uint8)
         padded[: len(raw)] = raw
         codes, unique = pd.factorize(span_hash(padded, starts, ends))
@@ -159,14 +174,15 @@ class Encoder:
         return ids, np.append(0, total[np.cumsum(count + 1)])
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, special: bool = False) -> Encoder:
     """One for each worker process: what a task has encoded serves the next."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    key = (path, end_id, special)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def vocabulary(path: str) -> int:
@@ -175,13 +191,13 @@ def vocabulary(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def encoded(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID, special: bool = False) -> DataFrame:
     """Per document: id, n_tokens, root, digests of its chunks in order, and own: its distinct chunks with their bytes."""
     width = 2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, z, values = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=3), gear(1 << 16)
+        tokens, z, values = encoder(tokenizer, end_id, special), zstandard.ZstdCompressor(level=3), gear(1 << 16)
         for shard in shards(batches, text, SHARD):
             ids, offs = tokens.encode(shard.column(1))
             ends = cuts(ids & 0xFFFF, offs, values, BITS, LEAST, MOST)
@@ -212,9 +228,9 @@ def part_roots(recipes: DataFrame, id_col: str) -> DataFrame:
     return recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(row, lambda r: F.hex(r["root"])), ","), 256).alias("part_root"))
 
 
-def write(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID) -> TokenStore:
+def write(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID, special: bool = False) -> TokenStore:
     """Encode once into the shared folder, then recipes in document order, unique chunks and the manifest."""
-    staged = keep(encoded(docs, tokenizer, text, id_col, end_id), "encoded", codec="uncompressed")
+    staged = keep(encoded(docs, tokenizer, text, id_col, end_id, special), "encoded", codec="uncompressed")
     light = staged.drop("own").repartitionByRange(F.col(id_col).asc_nulls_first(), F.col("root"))
     light = light.sortWithinPartitions(F.col(id_col).asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
     store = build(light, staged, id_col)

@@ -131,3 +131,23 @@ def test_media(docs, odd, empty):
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
             assert media.from_pgm(bytes(r.media))[2] == payload and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
     assert media.features(media.store(empty)).count() == 0
+
+
+def test_added_tokens_have_their_ids(spark, tokenizer, tmp_path):
+    """The query and the pipeline's stage encode as the tokenizer does by its defaults."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from octavo.llm import queries
+
+    default = Tokenizer.from_file(tokenizer)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"a\n{end}\nb", f"x. {end}'s y", f"a  {end}  b", "<|endo", "ftext|> a", f"<|endoftext{end}|>", f"caf\u00e9 {end} \u00e9", "<|endoftext |>", "no such token", None]
+    want = [[*default.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    ids, offs = token_store.Encoder(tokenizer, 2, special=True).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op6_token_store(spark, str(tmp_path)), corpus_pipeline.token_ids(spark, docs, str(tmp_path))):
+        assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got.collect()) == [(i, len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)]
