@@ -4,9 +4,11 @@
    by it and take no further part. Each class has BANDS x ROWS MinHash values. Two sets of similarity s share
    a band with probability 1 - (1 - s ** ROWS) ** BANDS; rows and bands are chosen for the recall asked for at
    the threshold (see ``banding``).
-2. Band hashes are shuffled. Buckets of up to SMALL classes give pairs, kept if the MinHash bytes of the two
-   agree often enough (seven standard deviations below the threshold). Larger buckets give one edge per
-   member, to the smallest. Components of these edges are clusters: no pair that shares a band is apart.
+2. Band hashes are shuffled, what one task reads of a large bucket as one row. Buckets of more than SMALL classes
+   give one edge per member, to the smallest; these are contracted first. In the other buckets, pairs that lie
+   in different components are kept if the MinHash bytes of the two agree often enough (seven standard
+   deviations below the threshold). Components of all these edges are clusters: no pair that shares a band
+   and may reach the threshold is apart.
 3. The n-gram sets of clustered texts are brought together once per cluster, in blocks by set size where a
    cluster is large; all pairs of sets whose sizes allow it are counted there as matrix products, so hot
    groups neither emit pairs nor meet in one task. Only counts of links and a spanning forest leave a block.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from octavo.llm.blocks import ALNUM, U8, column_bytes, mix, per_doc, shards, span_hash, word_spans
+from octavo.llm.blocks import ALNUM, U8, column_bytes, mix, per_doc, run_starts, shards, span_hash, word_spans
 from octavo.llm.components import components
 from octavo.llm.interpolation import deflate, inflate
 from octavo.llm.shared import keep, sized
@@ -37,6 +39,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 ROWS = 8
 #: Classes in a bucket up to which pairs are made; larger buckets are joined through their smallest member.
 SMALL = 32
+#: Texts whose band hashes are sorted at once in a worker before they are shuffled.
+CLASSES = 1 << 14
 #: Classes and n-grams of a block in which all pairs are counted at once.
 BLOCK, BLOCK_GRAMS = 1200, 2_000_000
 _A = U8(0x9E3779B97F4A7C15)
@@ -135,31 +139,136 @@ def sketched(docs: DataFrame, text: str, id_col: str, words: int, bands: int) ->
     return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, c bigint, n bigint, bands array<bigint>, sig binary")
 
 
-def candidates(light: DataFrame, threshold: float, bands: int) -> DataFrame:
-    """Edges (a, b) between classes, whose components hold every pair of classes that shares a band and may be similar."""
-    rows = light.where("c is not null").select("c", "bands").dropDuplicates(["c"]).select("c", F.explode("bands").alias("h"))
-    rows = keep(rows, "bands", codec="uncompressed")
-    buckets = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("c").alias("least")).where("size > 1")
-    members = keep(rows.join(sized(keep(buckets, "buckets")), "h"), "members")
-    stars = members.where(F.col("size") > SMALL).where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b"))
-    small = members.where(F.col("size") <= SMALL).groupBy("h").agg(F.sort_array(F.collect_list("c")).alias("all"))
-    pairs = small.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b")).distinct()
-    sigs = light.select("c", "sig", "n").dropDuplicates(["c"])
-    sigs = keep(sigs.join(members.select("c").distinct(), "c", "left_semi"), "sigs", codec="uncompressed")
+def dealt(light: DataFrame) -> DataFrame:
+    """Rows (h, c, n) for the shuffle on band hashes, repeated classes and large buckets reduced where they are read.
+
+    n >= 1: class c is in bucket h and stands for n of its classes, which are linked to it by rows with n = 0:
+    an edge (h, c) between classes, keyed by the larger one. So a bucket sends at most SMALL rows for each
+    ``CLASSES`` texts read, whatever share of all classes it holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            c, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            c, one = np.unique(c, return_index=True)
+            h, c = h[one].ravel(), np.repeat(c, h.shape[1])
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            at = run_starts(h)
+            size = np.diff(np.append(at, len(h)))
+            first = np.repeat(at, size)
+            large = np.repeat(size > SMALL, size)
+            edge = large & (first != np.arange(len(h)))
+            n = np.where(edge, 0, np.where(large, np.repeat(size, size), 1)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.where(edge, c, h)), pa.array(np.where(edge, c[first], c)), pa.array(n)], ["h", "c", "n"])
+
+        held, rows = [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(zero_copy_only=False), flat.reshape(batch.num_rows, -1)))
+                rows += batch.num_rows
+            if rows >= CLASSES:
+                yield flush()
+                rows = 0
+        if held:
+            yield flush()
+
+    return light.where("c is not null").select("c", "bands").mapInArrow(run, "h bigint, c bigint, n int")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of the buckets of two classes or more, a the bucket's smallest class; h and size only if size is at most SMALL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            given = n == 0
+            x, y = h[given], c[given]
+            h, c, n = h[~given], c[~given], n[~given]
+            order = np.lexsort((c, h))
+            h, c, n = h[order], c[order], n[order]
+            at = run_starts(h, c)  # a class that several tasks read
+            n = np.maximum.reduceat(n, at) if len(at) else n
+            h, c = h[at], c[at]
+            at = run_starts(h)
+            size = np.diff(np.append(at, len(h)))
+            many = np.add.reduceat(n, at) > SMALL if len(at) else np.zeros(0, bool)
+            first = np.repeat(at, size)
+            rest = first != np.arange(len(h))
+            small = np.repeat(~many, size)[rest]
+            h, a, b, size = h[rest], c[first][rest], c[rest], np.repeat(size, size)[rest]
+            key = pa.array(np.concatenate([h, x]), mask=np.concatenate([~small, np.ones(len(x), bool)]))
+            return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([a, y])), pa.array(np.concatenate([b, x])), pa.array(np.concatenate([size, np.zeros(len(x), np.int64)]).astype(np.int32))], ["h", "a", "b", "size"])
+
+        last: list[np.ndarray] = []  # the rows of the bucket that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if last:
+                now = [np.concatenate(x) for x in zip(last, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            last = [x[cut:] for x in now]
+            if cut:
+                yield edges(*(x[:cut] for x in now))
+        if last:
+            yield edges(*last)
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, a bigint, b bigint, size int")
+
+
+def near(pairs: DataFrame, sigs: DataFrame, threshold: float, count: int) -> DataFrame:
+    """(a, b, ok): whether sizes and MinHash bytes leave it possible that the pair reaches the threshold."""
     both = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
     both = both.join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
-    both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    count = bands * ROWS
     least = count * threshold - 7 * math.sqrt(count * threshold * (1 - threshold))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(column_bytes(batch.column(i))[0], np.uint8).reshape(batch.num_rows, count) for i in (2, 3))
-                yield batch.filter(pa.array((x == y).sum(1) >= least)).select([0, 1])
+                ok = ((x == y).sum(1) >= least) & batch.column(4).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "ok"])
+
+    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    return both.select("a", "b", "sa", "sb", fits.alias("fits")).mapInArrow(agree, "a bigint, b bigint, ok boolean")
 
-    near = both.select("a", "b", "sa", "sb").mapInArrow(agree, "a bigint, b bigint")
-    return near.unionByName(stars)
+
+def candidates(light: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """Edges (a, b) between classes, whose components hold every pair of classes that shares a band and may be similar.
+
+    Buckets of more than SMALL classes are joined through their smallest class and contracted first. Of the others
+    only what lies in different components of those is looked at: the pairs with the bucket's smallest class, and
+    all pairs of a bucket in which one of these is no candidate. So a class has some edges, not one for each band
+    and partner.
+    """
+    made = keep(buckets(dealt(light)), "buckets", codec="uncompressed")
+    large = keep(components(made.where("h is null")), "large")
+    label = lambda name: large.select(F.col("id").alias(f"id_{name}"), F.col("label").alias(f"label_{name}"))
+    n_large = large.count()
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        out = pairs.distinct()
+        for x in ("a", "b"):
+            out = out.join(sized(label(x), n_large), F.col(x) == F.col(f"id_{x}"), "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+        return out.where("label_a <> label_b").select("a", "b")
+
+    small = made.where("h is not null")
+    first = keep(apart(small.select("a", "b")), "pairs")
+    named = small.select("a").unionByName(small.select(F.col("b").alias("a"))).distinct()
+    sigs = light.select("c", "sig", "n").where("c is not null").join(named.select(F.col("a").alias("c")), "c", "left_semi").dropDuplicates(["c"])
+    sigs = keep(sigs, "sigs", codec="uncompressed")
+    count = bands * ROWS
+    checked = keep(near(first, sigs, threshold, count), "near")
+    # buckets of three or more in which a class has not shown to be near the smallest one
+    broken = small.where("size > 2").join(checked.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("h").distinct()
+    members = small.join(broken, "h", "left_semi").groupBy("h").agg(F.sort_array(F.collect_list("b")).alias("all"))  # SMALL - 1 at most
+    pairs = members.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
+    second = near(apart(pairs), sigs, threshold, count).where("ok")
+    stars = large.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
+    return stars.unionByName(checked.where("ok").select("a", "b")).unionByName(second.select("a", "b"))
 
 
 def matched(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -237,19 +346,20 @@ def counted(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, "c bigint, links bigint, doc_links bigint, least bigint")
 
 
-def block_rows(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def block_rows(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Rows for ``counted``: of small clusters (many in a task) and of pairs of blocks of large ones.
 
-    Blocks of a large cluster are ranges of set sizes by powers of 1.25 (similar sets lie in one range or two
-    adjacent ones), split by a hash. members: cluster, c, n, copies.
+    Blocks of a large cluster are ranges of set sizes by powers of 1 / threshold (similar sets lie in one range or
+    two adjacent ones), split by a hash. members: cluster, c, n, copies.
     """
+    base = max(1.01, 1 / threshold * (1 + 1e-9))  # a little more, so that rounding puts no similar pair two ranges apart
     size = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("grams_n"))
     large = size.where((F.col("classes") > BLOCK) | (F.col("grams_n") > BLOCK_GRAMS)).select("cluster")
     m = members.join(sets, "c")
     total = size.agg(F.sum("grams_n")).first()[0] or 0
     tasks = max(1, int(total) // (BLOCK_GRAMS // 4))
     few = m.join(sized(large), "cluster", "left_anti").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("string"))).withColumn("side", F.lit(0))
-    many = members.join(sized(large), "cluster", "left_semi").withColumn("r", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int"))
+    many = members.join(sized(large), "cluster", "left_semi").withColumn("r", F.floor(F.log(F.col("n").cast("double")) / math.log(base)).cast("int"))
     ranges = many.groupBy("cluster", "r").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("k"))
     ranges = keep(ranges, "ranges")
     blocks = ranges.select("cluster", "r", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
@@ -286,7 +396,7 @@ def classified(docs: DataFrame, text: str = "text", id_col: str = "doc_id", word
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text).alias(text)).join(sized(chosen), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select(text)
     sets = keep(own.mapInArrow(run, "c bigint, grams binary").where("grams is not null").dropDuplicates(["c"]), "sets", codec="uncompressed")
-    few, many = block_rows(members.select("cluster", "c", "n", "copies"), sets)
+    few, many = block_rows(members.select("cluster", "c", "n", "copies"), sets, threshold)
     small = keep(counted(few, threshold), "links")
     large = keep(counted(many, threshold), "links")
     again = components(large.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")))
