@@ -1,58 +1,5 @@
-"""Where operators keep what several jobs read, and checks of a size before a broadcast."""
+"""Where operators keep what several jobs read, and checks of a size before a broadcast: those of the engine."""
 
-from __future__ import annotations
+from octavo.storage import BROADCAST_ROWS, cleared, keep, new_path, remove, scratch, shared_dir, sized
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows that may be collected or broadcast to all executors; more go through a shuffle join.
-BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a local one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='octavo-')}"
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/octavo/{name}-{uuid.uuid4().hex}"
-
-
-#: Lets Spark drop a query's shuffle files at its end rather than when their plan is garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, and survives lost executors.
-
-    What is written needs its shuffles no more, so their files go at once.
-    """
-    spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only for a side whose counted rows are within the limit; else the plain side, for a shuffle join."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= limit else df
+__all__ = ["BROADCAST_ROWS", "cleared", "keep", "new_path", "remove", "scratch", "shared_dir", "sized"]
