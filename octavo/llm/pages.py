@@ -319,8 +319,10 @@ def neighbours(rows: DataFrame) -> DataFrame:
     new = F.coalesce((F.lag("mark").over(w) != F.col("mark")) | (F.lag("host").over(w) != F.col("host")), F.lit(False))
     end = F.coalesce((F.lead("mark").over(w) != F.col("mark")) | (F.lead("host").over(w) != F.col("host")), F.lit(False))
     rows = rows.withColumn("_b", F.when(new, F.lag(side).over(w))).withColumn("_a", F.when(end, F.lead(side).over(w)))
-    rows = rows.withColumn("before", F.last("_b", ignorenulls=True).over(w))
-    rows = rows.withColumn("after", F.first("_a", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    rows = rows.withColumn("before", F.last("_b", ignorenulls=True).over(w)).drop("_b")
+    # from the end: a frame that reaches forward to it would be gone through anew for each row
+    back = Window.partitionBy("part").orderBy(F.col("idx").desc())
+    rows = keep(rows.withColumn("after", F.last("_a", ignorenulls=True).over(back)).drop("_a"), "sides")
     edge = rows.groupBy("part").agg(F.min_by(side, "idx").alias("first"), F.max_by(side, "idx").alias("last"), F.min_by("after", "idx").alias("second"), F.max_by("before", "idx").alias("previous"))
     order = Window.orderBy("part")  # one small row for each partition
     edge = edge.select("part", *(f(c).over(order).alias(n) for f, c, n in ((F.lag, "last", "_p1"), (F.lag, "previous", "_p2"), (F.lead, "first", "_n1"), (F.lead, "second", "_n2"))))
