@@ -1,19 +1,23 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of word triples, pairs, words and the uniform distribution.
 
-p(w | v) = l2(b) c(vw) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the context's
-count c(v) (its binary logarithm). The weights of each bucket are learned by expectation-maximisation on
-a deleted part of the training documents, whose counts are taken out of the estimates for it.
+p2(w | v) = l2(b) c(vw) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the context's count c(v)
+(its binary logarithm), and p(w | uv) = l3(b) c(uvw) / c(uv) + (1 - l3(b)) p2(w | v) with the bucket of c(uv). The
+weights of each bucket are learned by expectation-maximisation on a deleted part of the training documents, whose
+counts are taken out of the estimates for it: first those of p2, then l3.
 
-Counting and looking up are exchanges of blocks, not of rows. Texts are dealt into shards; a shard's
-distinct n-grams (64-bit hashes, sorted) go in blocks to the buckets of the hash space, where the counts
-of all shards are added up and sent back in the same order. So a frequent n-gram is one entry for each
-shard, and nothing of the corpus is collected or broadcast but the weights and the totals.
+Counting and looking up are exchanges of blocks, not of rows. Texts are dealt into shards; a shard's distinct n-grams
+(hashes, sorted) go in blocks to ranges of the hash space, where the counts of all shards are added up and sent back
+in the same order. So a frequent n-gram is one entry for each shard, and nothing of the corpus is collected or
+broadcast but the weights and the totals. More than ``FAN`` ranges are reached in several hops: a hop merges the blocks
+of a group of tasks and cuts the result into at most ``FAN`` ranges for the next one, and the totals come back the same
+way. So the number of blocks grows with the corpus (and the logarithm of its size), not with its square.
 
 Shards are written once and every pass reads them, so lost executors change nothing.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,13 +34,15 @@ from octavo.llm.shared import keep
 #: Training documents are those whose crc32(id) mod FOLDS is not HELD; of these, DELETED is the part for EM.
 FOLDS, HELD, DELETED = 7, 2, 5
 SHARD = 6 << 20
-#: Bytes of text whose n-grams are counted in one bucket.
-BUCKET = 16 << 20
+#: Bytes of text whose n-grams are counted in one range, and ranges that one task sends blocks to.
+BUCKET, FAN = 8 << 20, 128
+#: Pairs and triples are known by hashes with so many bits more than their number has: one in a million collides.
+SPARE = 20
 _END, _START = U8(0x243F6A8885A308D3), U8(0x13198A2E03707345)
 _A, _B = U8(0x9E3779B97F4A7C15), U8(0xC2B2AE3D27D4EB4F)
-_ONE = U8(1)
-#: Ratios of estimates to the uniform one are kept to 1 / STEPS in the natural logarithm for EM: at most CELLS each.
-STEPS, CELLS, BUCKETS = 8, 512, 64
+#: Ratios of estimates are kept to 1 / STEPS in the natural logarithm for EM: at most CELLS each.
+STEPS, CELLS, BUCKETS = 16, 512, 64
+ORDER = 3
 
 
 def deflate(values: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
@@ -50,10 +56,15 @@ def inflate(data: bytes, kind: str, n: int, z: zstandard.ZstdDecompressor) -> np
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
+def key_bits(size: int) -> int:
+    """Bits of the hashes of pairs and triples for a corpus of so many bytes."""
+    return min(64, SPARE + max(1, int(size) // 2).bit_length())
+
+
 class Tokens:
-    """A shard's tokens: hashes with each text's end, contexts, and both kinds of n-gram as 64-bit keys (words odd, pairs even)."""
+    """A shard's tokens: each text's words and its end, and the n-grams' keys (words: 64 bits, longer ones: ``bits``)."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, bits: int = 64, order: int = ORDER):
         raw, offs = column_bytes(column)
         m, starts, ends, doc = word_spans(raw, offs, NONSPACE)
         n = len(offs) - 1
@@ -61,146 +72,274 @@ class Tokens:
         self.doc = np.repeat(np.arange(n), count + 1)
         word = np.full(len(self.doc), _END)
         word[np.arange(len(starts)) + doc] = span_hash(m, starts, ends)
-        context = np.roll(word, 1)
-        context[np.cumsum(count + 1) - count - 1] = _START
         self.n = count + 1
-        self.word = word | _ONE
-        self.pair = mix(word * _A + mix(context * _B)) & ~_ONE
+        drop = U8(64 - bits)
+        pair = mix(word * _A + mix(previous(word, self.n, _START) * _B))
+        self.grams = [word, pair >> drop]
+        if order > 2:
+            self.grams.append(mix(word * _B + mix(previous(pair, self.n, _START) * _A)) >> drop)
 
 
-def parts_of(ids: pa.Array) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % FOLDS if i is not None else 0 for i in ids.to_pylist()], np.int64)
+def previous(values: np.ndarray, sizes: np.ndarray, start) -> np.ndarray:
+    """The value at the token before, or ``start`` at the first of a text."""
+    out = np.roll(values, 1)
+    out[np.cumsum(sizes) - sizes] = start
+    return out
 
 
-def tallied(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their counts in training documents and in the deleted part of these."""
-    order = np.argsort(keys)
-    keys, part = keys[order], part[order]
-    at = run_starts(keys)
-    if not len(at):
-        return keys, np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    return keys[at], np.add.reduceat((part != HELD).astype(np.uint32), at), np.add.reduceat((part == DELETED).astype(np.uint32), at)
+def parts_of(ids: pa.Array) -> np.ndarray:
+    return np.array([zlib.crc32(str(i).encode()) % FOLDS if i is not None else 0 for i in ids.to_pylist()], np.int64)
 
 
 def dealt(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """Shards: a name, and the ids and texts of some megabytes, compressed."""
+    """Shards: a number, whether they are of the deleted part, and the ids and texts of some megabytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for shard in shards(batches, text, SHARD):
+
+        def packed(rows: pa.RecordBatch | pa.Table, deleted: bool) -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, shard.schema) as writer:
-                writer.write_batch(shard)
-            yield pa.RecordBatch.from_pydict({"shard": [uuid.uuid4().hex], "a": pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())})
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write(rows)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([deleted]), pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())], ["shard", "deleted", "a"])
+
+        held: list[pa.RecordBatch] = []  # rows of the deleted part, until there are as many as in other shards
+        for shard in shards(batches, text, SHARD):
+            own = parts_of(shard.column(0)) == DELETED
+            if not own.all():
+                yield packed(shard.filter(pa.array(~own)), False)
+            if own.any():
+                held.append(shard.filter(pa.array(own)))
+                if sum(x.nbytes for x in held) > SHARD:
+                    yield packed(pa.Table.from_batches(held), True)
+                    held.clear()
+        if held:
+            yield packed(pa.Table.from_batches(held), True)
 
-    return docs.select(id_col, text).mapInArrow(run, "shard string, a binary")
+    return docs.select(id_col, text).mapInArrow(run, "shard bigint, deleted boolean, a binary")
 
 
 def unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all().combine_chunks().to_batches()[0]
 
 
-def counted(made: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of all shards: for each bucket the shard's n-grams there and their counts in the shard."""
+class Network:
+    """The hops between shards and ranges: ``fan`` ranges of each, ``fan_in`` tasks to a group.
+
+    After hop l there are fan ** l ranges and groups / fan_in ** (l - 1) groups; after the last, one group.
+    """
+
+    def __init__(self, n_shards: int, ranges: int, fan: int = FAN):
+        self.hops = max(1, math.ceil(math.log(max(1, ranges)) / math.log(fan) - 1e-9))
+        self.fan = max(1, math.ceil(ranges ** (1 / self.hops) - 1e-9))
+        fan_in = max(1, math.ceil(max(1, n_shards) ** (1 / self.hops) - 1e-9))
+        self.groups = [max(1, math.ceil(n_shards / fan_in**hop)) for hop in range(1, self.hops)] + [1]
+
+    def bounds(self, hop: int, parent: int, bits: int) -> list[int]:
+        """Edges of the ranges of this hop inside a range of the hop before, in the space of keys of so many bits."""
+        count = self.fan**hop
+        return [(i << bits) // count for i in range(parent * self.fan, (parent + 1) * self.fan + 1)]
+
+
+def cut_up(keys: list[np.ndarray], network: Network, hop: int, parent: int, bits: int) -> list[np.ndarray]:
+    """For each kind of sorted keys the places where the ranges of a hop begin, and the end."""
+    out = []
+    for k, b in zip(keys, (64, bits, bits), strict=False):
+        edges = network.bounds(hop, parent, b)
+        out.append(np.append(np.searchsorted(k, np.array(edges[:-1], np.uint64)), len(k)))
+    return out
+
+
+#: Blocks on their way: node (group and range) they go to, src and the range there that they are of, sizes by kind, keys, counts.
+BLOCK = "node string, src string, part bigint, n array<int>, a binary, b binary, deleted boolean"
+_BLOCK = [("node", pa.string()), ("src", pa.string()), ("part", pa.int64()), ("n", pa.list_(pa.int32())), ("a", pa.binary()), ("b", pa.binary()), ("deleted", pa.bool_())]
+
+
+def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return pa.Table.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _name(hop: int, group: int, part: int) -> str:
+    return f"{hop}:{group}:{part}"
+
+
+def _sent(src: str, group: int, keys: list[np.ndarray], counts: list[np.ndarray], network: Network, hop: int, parent: int, bits: int, deleted: bool, z) -> Iterator[tuple]:
+    """The blocks of a node for a hop: one for each range that it has keys of. counts: one or two (all, deleted) rows."""
+    at = cut_up(keys, network, hop, parent, bits)
+    for i in range(network.fan):
+        n = [int(e[i + 1] - e[i]) for e in at]
+        if sum(n):
+            own = [slice(int(e[i]), int(e[i + 1])) for e in at]
+            delta = np.concatenate([np.diff(k[o], prepend=U8(0)) for k, o in zip(keys, own, strict=True)])
+            count = np.concatenate([c[:, o] for c, o in zip(counts, own, strict=True)], axis=1).ravel()
+            part = parent * network.fan + i
+            yield _name(hop, group, part), src, part, n, deflate(delta, z), deflate(count.astype("<u4" if hop == 1 else "<u8"), z), deleted
+
+
+def counted(made: DataFrame, network: Network, bits: int, order: int) -> DataFrame:
+    """Blocks of all shards for the first hop: the shard's n-grams in a range and their training counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, deleted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 rows = unpacked(data.as_py())
-                tokens, part = Tokens(rows.column(1)), parts_of(rows.column(0))
-                each = part[tokens.doc]
-                keys = np.concatenate([tokens.word, tokens.pair, np.full(len(part), _START | _ONE)])
-                keys, train, deleted = tallied(keys, np.concatenate([each, each, part]))
-                edge = np.searchsorted(keys, bounds(buckets))
-                out = []
-                for b in range(buckets):
-                    a, e = int(edge[b]), int(edge[b + 1])
-                    if e > a:
-                        delta = np.diff(keys[a:e], prepend=U8(0))
-                        out.append((name, b, e - a, deflate(delta, z), deflate(np.concatenate([train[a:e], deleted[a:e]]).astype("<u4"), z)))
-                # few blocks in a batch, so that batches stay small
-                for i in range(0, len(out), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out[i : i + 64], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "bucket", "n", "a", "b"])
+                tokens, train = Tokens(rows.column(1), bits, order), parts_of(rows.column(0)) != HELD
+                keys, counts = [], []
+                for i, grams in enumerate(tokens.grams):
+                    each = train[tokens.doc]
+                    if i == 0:  # the start of a text is a context
+                        grams, each = np.append(grams, np.full(len(train), _START)), np.append(each, train)
+                    place = np.argsort(grams)
+                    grams = grams[place]
+                    at = run_starts(grams)
+                    keys.append(grams[at])
+                    counts.append(np.add.reduceat(each[place].astype(np.int64), at)[None] if len(at) else np.zeros((1, 0), np.int64))
+                out = list(_sent(str(name), name % network.groups[0], keys, counts, network, 1, 0, bits, deleted, z))
+                for i in range(0, len(out), 64):  # few blocks in a batch, so that batches stay small
+                    yield _table(out[i : i + 64], _BLOCK).combine_chunks().to_batches()[0]
+
+    return made.mapInArrow(run, BLOCK)
+
+
+class Merged:
+    """The blocks of a node put together: distinct keys by kind with their counts, and where each block's keys are among them."""
+
+    def __init__(self, table: pa.Table, hop: int):
+        d = zstandard.ZstdDecompressor()
+        self.src, self.part, self.deleted = (table.column(c).to_pylist() for c in ("src", "part", "deleted"))
+        self.sizes = table.column("n").to_pylist()
+        kinds = len(self.sizes[0])
+        keys, counts = [[] for _ in range(kinds)], [[] for _ in range(kinds)]
+        rows = 1 if hop == 1 else 2
+        for a, b, n, deleted in zip(table.column("a"), table.column("b"), self.sizes, self.deleted, strict=True):
+            delta = inflate(a.as_py(), "<u8", sum(n), d)
+            count = inflate(b.as_py(), "<u4" if hop == 1 else "<u8", rows * sum(n), d).reshape(rows, -1).astype(np.int64)
+            if hop == 1:
+                count = np.concatenate([count, count if deleted else np.zeros_like(count)])
+            edge = np.append(0, np.cumsum(n))
+            for k in range(kinds):
+                keys[k].append(np.cumsum(delta[edge[k] : edge[k + 1]], dtype=U8))
+                counts[k].append(count[:, edge[k] : edge[k + 1]])
+        self.keys, self.sums, self.back = [], [], []
+        for k in range(kinds):
+            all_, c = np.concatenate(keys[k]), np.concatenate(counts[k], axis=1)
+            place = np.argsort(all_, kind="stable")
+            at = run_starts(all_[place])
+            group = np.zeros(len(all_), np.int64)
+            group[at[1:]] = 1
+            back = np.empty(len(all_), np.int64)
+            back[place] = np.cumsum(group)
+            self.keys.append(all_[place][at])
+            self.sums.append(np.add.reduceat(c[:, place], at, axis=1) if len(at) else np.zeros((2, 0), np.int64))
+            self.back.append(np.split(back, np.cumsum([n[k] for n in self.sizes])[:-1]))
+
+
+#: What a hop gives out: blocks for the next one, and for the way back where each block's keys are.
+HOP = f"{BLOCK}, kind string"
+#: Totals on their way back: the node, the range that they are of, sizes by kind, total and deleted counts; and sums of words.
+BACK = "node string, part bigint, n array<int>, a binary, b binary, n_tokens bigint, n_types bigint, left_tokens bigint, left_types bigint"
+_BACK = [("node", pa.string()), ("part", pa.int64()), ("n", pa.list_(pa.int32())), ("a", pa.binary()), ("b", pa.binary()), *((c, pa.int64()) for c in ("n_tokens", "n_types", "left_tokens", "left_types"))]
+
+
+def hopped(blocks: DataFrame, network: Network, hop: int, bits: int) -> DataFrame:
+    """A hop that is not the last: merge what came to each node, send it on, and note the way back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        z = zstandard.ZstdCompressor(level=1)
+        node = table.column("node")[0].as_py()
+        _, group, part = map(int, node.split(":"))
+        m = Merged(table, hop)
+        out = [(*r, "block") for r in _sent(node, group % network.groups[hop], m.keys, m.sums, network, hop + 1, part, bits, False, z)]
+        for i, (src, n) in enumerate(zip(m.src, m.sizes, strict=True)):
+            back = np.concatenate([np.diff(b[i], prepend=0) for b in m.back])
+            out.append((node, src, part, n, deflate(back.astype("<u4"), z), b"", False, "back"))
+        return _table(out, [*_BLOCK, ("kind", pa.string())])
+
+    return blocks.groupBy("node").applyInArrow(run, HOP)
 
-    return made.mapInArrow(run, "shard string, bucket int, n int, a binary, b binary")
 
+def totalled(blocks: DataFrame, hop: int) -> DataFrame:
+    """The last hop: for every block the total counts of its n-grams, in its order; and for each range (node null) the words' sums."""
 
-def bounds(buckets: int) -> np.ndarray:
-    """Edges of equal ranges of the 64-bit space; the last is its top."""
-    edge = [(i << 64) // buckets for i in range(buckets)]
-    return np.array([*edge, (1 << 64) - 1], np.uint64)
+    def add(table: pa.Table) -> pa.Table:
+        z = zstandard.ZstdCompressor(level=1)
+        m = Merged(table, hop)
+        rows = [_returned(src, m.part[0], n, [[s[:, b[i]] for s, b in zip(m.sums, m.back, strict=True)]], z) for i, (src, n) in enumerate(zip(m.src, m.sizes, strict=True))]
+        word = m.keys[0] != _START
+        total, deleted = m.sums[0][0][word], m.sums[0][1][word]
+        rows.append((None, m.part[0], [], b"", b"", int(total.sum()), int((total > 0).sum()), int((total - deleted).sum()), int((total > deleted).sum())))
+        return _table(rows, _BACK)
 
+    return blocks.groupBy("node").applyInArrow(add, BACK)
 
-def totalled(blocks: DataFrame) -> DataFrame:
-    """For every block the total counts of its n-grams, in its order; and for each bucket (shard null) the words' totals."""
 
-    def add(table: pa.Table) -> pa.Table:
-        d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        names, bucket = table.column("shard").to_pylist(), table.column("bucket")[0].as_py()
-        sizes = table.column("n").to_pylist()
-        keys = np.concatenate([np.cumsum(inflate(a.as_py(), "<u8", n, d), dtype=U8) for a, n in zip(table.column("a"), sizes, strict=True)])
-        counts = [inflate(b.as_py(), "<u4", 2 * n, d).reshape(2, n) for b, n in zip(table.column("b"), sizes, strict=True)]
-        counts = np.concatenate(counts, axis=1)
-        order = np.argsort(keys, kind="stable")
-        at = run_starts(keys[order])
-        group = np.zeros(len(keys), np.int64)
-        group[at[1:]] = 1
-        group = np.cumsum(group)
-        sums = [np.add.reduceat(c[order].astype(np.int64), at) for c in counts]
-        back = np.empty(len(keys), np.int64)
-        back[order] = group
-        odd = (keys[order][at] & _ONE).astype(bool) & (keys[order][at] != (_START | _ONE))
-        rows, begin = [], 0
-        for name, n in zip(names, sizes, strict=True):
-            mine = back[begin : begin + n]
-            begin += n
-            rows.append((name, bucket, n, deflate(sums[0][mine].astype("<u8"), z), deflate(sums[1][mine].astype("<u8"), z), 0, 0, 0, 0))
-        live = odd & (sums[0] > 0)
-        left = odd & (sums[0] > sums[1])
-        rows.append((None, bucket, 0, b"", b"", int(sums[0][odd].sum()), int(live.sum()), int((sums[0] - sums[1])[odd].sum()), int(left.sum())))
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "bucket", "n", "a", "b", "n_tokens", "n_types", "left_tokens", "left_types"])
-
-    return blocks.groupBy("bucket").applyInArrow(add, "shard string, bucket int, n int, a binary, b binary, n_tokens bigint, n_types bigint, left_tokens bigint, left_types bigint")
-
-
-def gathered(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    """A shard's own row, and the total and deleted counts of its n-grams, in their order."""
-    d = zstandard.ZstdDecompressor()
-    bucket = np.array(table.column("bucket").to_pylist())
-    order = np.argsort(bucket).tolist()
-    if bucket[order[0]] != -1 or (bucket[order[1:]] < 0).any():
-        raise ValueError("a shard needs its own row once")
-    n = table.column("n").to_pylist()
-    counts = (np.concatenate([np.zeros(0, "<u8"), *(inflate(table.column(c)[i].as_py(), "<u8", n[i], d) for i in order[1:])]).astype(np.int64) for c in ("a", "b"))
-    return order[0], *counts
+def _returned(node: str, part: int, n: list[int], sums: list[list[np.ndarray]], z) -> tuple:
+    both = [np.concatenate(x, axis=1) for x in sums][0]
+    return node, part, n, deflate(both[0].astype("<u8"), z), deflate(both[1].astype("<u8"), z), 0, 0, 0, 0
 
 
-def before(word: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    """Each token's context: the token before it, or the start of its text."""
-    context = np.roll(word, 1)
-    context[np.cumsum(sizes) - sizes] = start
-    return context
+def collected(part: list[int], sizes: list[list[int]], a: list[bytes], b: list[bytes]) -> list[np.ndarray]:
+    """What came back to a node from its ranges, in their order: (2, n) total and deleted counts for each kind."""
+    d = zstandard.ZstdDecompressor()
+    kinds: list[list[np.ndarray]] = [[] for _ in range(max(map(len, sizes), default=0))]
+    for i in sorted(range(len(part)), key=part.__getitem__):
+        count = np.stack([inflate(x[i], "<u8", sum(sizes[i]), d) for x in (a, b)]).astype(np.int64)
+        edge = np.append(0, np.cumsum(sizes[i]))
+        for k in range(len(kinds)):
+            kinds[k].append(count[:, edge[k] : edge[k + 1]])
+    return [np.concatenate(x, axis=1) for x in kinds]
+
+
+def back_down(totals: DataFrame, ways: DataFrame) -> DataFrame:
+    """Totals that came back to a hop's nodes, sent on to those that the nodes' blocks were of."""
+
+    def run(table: pa.Table) -> pa.Table:
+        z, d = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        rows = table.to_pylist()
+        came, went = [r for r in rows if r["src"] is None], [r for r in rows if r["src"] is not None]
+        sums = collected(*([r[c] for r in came] for c in ("part", "n", "a", "b")))
+        out = []
+        for r in went:
+            place = inflate(r["a"], "<u4", sum(r["n"]), d).astype(np.int64)
+            edge = np.append(0, np.cumsum(r["n"]))
+            own = [s[:, np.cumsum(place[edge[k] : edge[k + 1]])] for k, s in enumerate(sums)]
+            out.append(_returned(r["src"], r["part"], r["n"], [own], z))
+        return _table(out, _BACK)
+
+    here = totals.where("node is not null").select("node", F.lit(None).cast("string").alias("src"), "part", "n", "a", "b")
+    return here.unionByName(ways.select("node", "src", "part", "n", "a", "b")).groupBy("node").applyInArrow(run, BACK)
 
 
 class Shard:
-    """A shard's tokens with the counts of words, pairs and contexts."""
-
-    def __init__(self, table: pa.Table):
-        own, total, deleted = gathered(table)
-        self.rows = unpacked(table.column("a")[own].as_py())
-        t = Tokens(self.rows.column(1))
-        self.part = parts_of(self.rows.column(0))
-        size = len(t.word)
-        unique, place = np.unique(np.concatenate([t.word, t.pair, [_START | _ONE]]), return_inverse=True)
-        if len(unique) != len(total):
-            raise ValueError("a shard's n-grams are not those that were counted")
-        word = place[:size]
-        self.doc, self.n = t.doc, t.n
-        places = word, place[size:-1], before(word, t.n, place[-1])
-        self.word, self.pair, self.context = (total[p] for p in places)
-        self.deleted = tuple(deleted[p] for p in places)
+    """A shard's tokens with the counts of its n-grams and of their contexts, all or without the deleted part."""
+
+    def __init__(self, table: pa.Table, bits: int, order: int):
+        part, sizes = table.column("part").to_pylist(), table.column("n").to_pylist()
+        own = [i for i, p in enumerate(part) if p < 0]
+        if len(own) != 1:
+            raise ValueError("a shard needs its own row once")
+        a, b = (table.column(c) for c in ("a", "b"))
+        self.rows = unpacked(a[own[0]].as_py())
+        rest = [i for i in range(len(part)) if i != own[0]]
+        sums = collected([part[i] for i in rest], [sizes[i] for i in rest], [a[i].as_py() for i in rest], [b[i].as_py() for i in rest])
+        t = Tokens(self.rows.column(1), bits, order)
+        self.part, self.doc, self.n = parts_of(self.rows.column(0)), t.doc, t.n
+        self.counts = []  # (2, tokens) of each order
+        for k, grams in enumerate(t.grams):
+            unique, place = np.unique(np.append(grams, _START) if k == 0 else grams, return_inverse=True)
+            if len(unique) != sums[k].shape[1]:
+                raise ValueError("a shard's n-grams are not those that were counted")
+            if k == 0:
+                self.start, place = sums[0][:, place[-1]], place[:-1]
+            self.counts.append(sums[k][:, place])
+
+    def of(self, left: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Counts of words, pairs (and triples), and of the contexts of all but words; ``left``: without the deleted part."""
+        minus = lambda c: c[0] - c[1] if left else c[0]
+        counts = [minus(c) for c in self.counts]
+        return counts, [previous(c, self.n, minus(self.start)) for c in counts[:-1]]
 
 
 def level(context: np.ndarray) -> np.ndarray:
@@ -208,22 +347,45 @@ def level(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
 
 
-def ratios(shard_counts: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: int, types: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pair and word estimates as multiples of the uniform one."""
-    word, pair, context = shard_counts
-    uniform = 1.0 / (types + 1)
-    return np.where(context > 0, pair / np.maximum(context, 1), 0.0) / uniform, word / max(1, tokens) / uniform
+def share(count: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return np.where(context > 0, count / np.maximum(context, 1), 0.0)
+
+
+def rounded(ratio: np.ndarray) -> np.ndarray:
+    return np.minimum(CELLS - 1, np.rint(STEPS * np.log1p(ratio))).astype(np.int64)
 
 
-def evidence(tokens: int, types: int):
-    """EM's events of a shard: how many tokens of the deleted part have which bucket and (rounded) ratios."""
+def pairs_part(counts: list[np.ndarray], contexts: list[np.ndarray], tokens: int, types: int, w: np.ndarray) -> np.ndarray:
+    """p2: words and pairs mixed by the weights of the context's bucket; without a context's count the others take the pairs' weight."""
+    lam = w[np.minimum(level(contexts[0]), BUCKETS - 1)]
+    known = contexts[0] > 0
+    rest = np.where(known, 1.0, lam[:, 1] + lam[:, 2])
+    return (np.where(known, lam[:, 0], 0.0) * share(counts[1], contexts[0]) + lam[:, 1] * counts[0] / max(1, tokens) + lam[:, 2] / (types + 1)) / rest
+
+
+def probability(counts: list[np.ndarray], contexts: list[np.ndarray], tokens: int, types: int, w: np.ndarray, w3: np.ndarray | None) -> np.ndarray:
+    p = pairs_part(counts, contexts, tokens, types, w)
+    if w3 is None:
+        return p
+    lam = np.where(contexts[1] > 0, w3[np.minimum(level(contexts[1]), BUCKETS - 1)], 0.0)
+    return lam * share(counts[2], contexts[1]) + (1 - lam) * p
+
+
+def evidence(tokens: int, types: int, bits: int, order: int, w: np.ndarray | None = None):
+    """EM's events of a shard of the deleted part: how many of its tokens have which bucket and (rounded) ratios.
+
+    Without weights: pairs and words against the uniform estimate; with those of p2: triples against p2.
+    """
 
     def count(table: pa.Table) -> pa.Table:
-        s = Shard(table)
-        mine = s.part[s.doc] == DELETED
-        word, pair, context = (x[mine] - y[mine] for x, y in zip((s.word, s.pair, s.context), s.deleted, strict=True))
-        r2, r1 = (np.minimum(CELLS - 1, np.rint(STEPS * np.log1p(r))).astype(np.int64) for r in ratios((word, pair, context), tokens, types))
-        cell, n = np.unique((level(context) * CELLS + r2) * CELLS + r1, return_counts=True)
+        s = Shard(table, bits, order)
+        counts, contexts = s.of(left=True)
+        if w is None:
+            r2, r1 = share(counts[1], contexts[0]) * (types + 1), counts[0] / max(1, tokens) * (types + 1)
+            cells = (level(contexts[0]) * CELLS + rounded(r2)) * CELLS + rounded(r1)
+        else:
+            cells = level(contexts[1]) * CELLS + rounded(share(counts[2], contexts[1]) / pairs_part(counts, contexts, tokens, types, w))
+        cell, n = np.unique(cells, return_counts=True)
         return pa.table({"cell": pa.array(cell), "n": pa.array(n.astype(np.int64))})
 
     return count
@@ -241,57 +403,79 @@ def weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarr
             continue
         x, n, w = r[:, own], counts[own].astype(float), np.full(3, 1 / 3)
         for _ in range(rounds):
-            share = w[:, None] * x
-            w = (share / share.sum(0)) @ n + 1.0
+            part = w[:, None] * x
+            w = (part / part.sum(0)) @ n + 1.0
             w /= w.sum()
         out[b] = w
     return out
 
 
-def scored(shard: Shard, tokens: int, types: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: known tokens, base score and score."""
-    n = len(shard.n)
-    b = level(shard.context)
-    r2, r1 = ratios((shard.word, shard.pair, shard.context), tokens, types)
-    lam = w[np.minimum(b, BUCKETS - 1)]
-    # without a context's count the pair estimate is void: its weight goes to the others
-    void = shard.context == 0
-    rest = np.where(void, lam[:, 1] + lam[:, 2], 1.0)
-    p = (np.where(void, 0.0, lam[:, 0]) * r2 + lam[:, 1] * r1 + lam[:, 2]) / rest / (types + 1)
-    base = np.log10((shard.word + 1) / (tokens + types + 1))
-    add = lambda x: np.bincount(shard.doc, weights=x, minlength=n)
-    return add(shard.word > 0).astype(np.int64), add(base), add(np.log10(p))
+def longer_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """For each bucket of a longer context's count its weight against the shorter ones: 0 without a count; EM with two pseudo-events."""
+    out = np.zeros(BUCKETS)
+    bucket, r = cells // CELLS, np.expm1(cells % CELLS / STEPS)
+    for b in range(1, BUCKETS):
+        own = bucket == b
+        if not own.any():
+            out[b] = out[b - 1] if b > 1 else 0.5
+            continue
+        x, n, w = r[own], counts[own].astype(float), 0.5
+        for _ in range(rounds):
+            w = (float((w * x / (w * x + 1 - w)) @ n) + 1) / (n.sum() + 2)
+        out[b] = w
+    return out
 
 
-def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Score all documents with a model of those outside the held-out part.
+def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """Score all documents with a model of those outside the held-out part, of words and pairs (order 2) or triples too (3).
 
     Returns id_col, held_out, n_tokens (with the end), n_known, train_tokens, base_score (add-one unigram) and
     score, both as log10 of the text's probability. Nulls and empty texts have the end token alone. A null id
     is a training document. Repeated rows count as often as they occur. Without training tokens every
     estimate is uniform. Extra columns are ignored.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
+    size = int(docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0)
+    bits = key_bits(size)
     made = keep(dealt(docs, text, id_col), "shards", codec="uncompressed")
-    totals = keep(totalled(counted(made, max(1, -(-int(size) // BUCKET)))), "totals", codec="uncompressed")
-    stats = [int(x or 0) for x in totals.where("shard is null").agg(*(F.sum(c) for c in ("n_tokens", "n_types", "left_tokens", "left_types"))).first()]
+    network = Network(made.count(), max(1, -(-size // BUCKET)), FAN)
+    blocks, ways = counted(made, network, bits, order), []
+    for hop in range(1, network.hops):
+        gone = keep(hopped(blocks, network, hop, bits), "hop", codec="uncompressed")
+        ways.append(gone.where("kind = 'back'"))
+        blocks = gone.where("kind = 'block'").drop("kind")
+    totals = keep(totalled(blocks, network.hops), "totals", codec="uncompressed")
+    stats = [int(x or 0) for x in totals.where("node is null").agg(*(F.sum(c) for c in ("n_tokens", "n_types", "left_tokens", "left_types"))).first()]
     tokens, types, left_tokens, left_types = stats
-    own = made.select("shard", F.lit(-1).alias("bucket"), F.lit(0).alias("n"), "a", F.lit(None).cast("binary").alias("b"))
-    whole = own.unionByName(totals.where("shard is not null").select("shard", "bucket", "n", "a", "b"))
-    cells = whole.groupBy("shard").applyInArrow(evidence(left_tokens, left_types), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    cells = keep(cells, "cells")
-    # at most BUCKETS x CELLS x CELLS cells, some thousands in fact: a histogram, whatever the corpus
-    found = cells.toPandas()
-    w = weights(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    for way in reversed(ways):
+        totals = keep(back_down(totals, way), "totals", codec="uncompressed")
+    came = totals.where("node is not null").select(F.col("node").cast("bigint").alias("shard"), "part", "n", "a", "b")
+    own = made.select("shard", F.lit(-1).cast("long").alias("part"), F.array().cast("array<int>").alias("n"), "a", F.lit(None).cast("binary").alias("b"))
+
+    def learned(w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """EM's events, a histogram of some thousand cells whatever the corpus (at most BUCKETS x CELLS x CELLS)."""
+        mine = made.where("deleted").select("shard")
+        deleted = own.join(mine, "shard", "left_semi").unionByName(came.join(mine, "shard", "left_semi"))
+        cells = deleted.groupBy("shard").applyInArrow(evidence(left_tokens, left_types, bits, order, w), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        found = keep(cells, "cells").toPandas()
+        return found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+    w = weights(*learned(None))
+    w3 = longer_weights(*learned(w)) if order > 2 else None
     kind = dict(docs.dtypes)[id_col]
 
     def finish(table: pa.Table) -> pa.Table:
-        s = Shard(table)
-        known, base, p = scored(s, tokens, types, w)
+        s = Shard(table, bits, order)
+        counts, contexts = s.of(left=False)
         n = len(s.n)
+        add = lambda x: np.bincount(s.doc, weights=x, minlength=n)
+        p = probability(counts, contexts, tokens, types, w, w3)
+        base = np.log10((counts[0] + 1) / (tokens + types + 1))
         return pa.Table.from_arrays(
-            [s.rows.column(0), pa.array(s.part == HELD), pa.array(s.n.astype(np.int64)), pa.array(known), pa.array(np.full(n, tokens, np.int64)), pa.array(base), pa.array(p)],
+            [s.rows.column(0), pa.array(s.part == HELD), pa.array(s.n.astype(np.int64)), pa.array(add(counts[0] > 0).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))],
             [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
+    whole = own.unionByName(came)
     return whole.groupBy("shard").applyInArrow(finish, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

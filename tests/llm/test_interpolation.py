@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from octavo.llm import interpolation as lm
 
@@ -11,27 +12,43 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(rows):
-    """Counts, weights by plain EM over every deleted token, and scores."""
+def brute(rows, order=3, exact=False):
+    """Counts, weights by plain EM over every deleted token (ratios rounded as in the operator, or exact), and scores."""
     toks = [(i, zlib.crc32(str(i).encode()) % 7 if i is not None else 0, [*WORD.findall((t or "").translate(LOW)), None]) for i, t in rows]
-    uni, bi, duni, dbi = (collections.Counter() for _ in range(4))
+    counts, deleted = collections.Counter(), collections.Counter()
     for _, part, w in toks:
-        seq = ["<s>", *w]
-        for on, u, b in ((part != 2, uni, bi), (part == 5, duni, dbi)):
+        for on, c in ((part != 2, counts), (part == 5, deleted)):
             if on:
-                u.update(seq)
-                b.update(zip(seq, w, strict=False))
-    types = [x for x in uni if x != "<s>"]
-    n, v = sum(uni[x] for x in types), len(types)
-    left = {x: uni[x] - duni[x] for x in types}
-    ln, lv = sum(left.values()), sum(x > 0 for x in left.values())
+                seq = ["<s>", "<s>", *w]
+                c["<s>",] += 1
+                for i in range(2, len(seq)):
+                    c.update([(seq[i],), tuple(seq[i - 1 : i + 1]), tuple(seq[i - 2 : i + 1])])
+    words = [x for x in counts if len(x) == 1 and x != ("<s>",)]
+    left = {x: counts[x] - deleted[x] for x in counts}
+    size = lambda c: (sum(c[x] for x in words), sum(c[x] > 0 for x in words))
     level = lambda c: int(math.log2(c)) + 1 if c else 0
-    events = collections.defaultdict(list)
+    near = lambda r: r if exact else math.expm1(min(lm.CELLS - 1, round(lm.STEPS * math.log1p(r))) / lm.STEPS)
+    get = lambda c, k: c.get(k, 0)
+
+    def parts(c, seq, i):
+        """Contexts' counts, and the three estimates."""
+        n, v = size_of[id(c)]
+        one, two = get(c, (seq[i - 1],)), get(c, (seq[i - 2], seq[i - 1])) if i > 2 else get(c, ("<s>",))
+        return one, two, get(c, (seq[i],)) / n, get(c, tuple(seq[i - 1 : i + 1])) / one if one else 0.0, get(c, tuple(seq[i - 2 : i + 1])) / two if two else 0.0, v
+
+    size_of = {id(counts): size(counts), id(left): size(left)}
+
+    def p2(one, r1, r2, v):
+        q = weights[level(one)]
+        return q[0] * r2 + q[1] * r1 + q[2] / (v + 1) if one else (q[1] * r1 + q[2] / (v + 1)) / (q[1] + q[2])
+
+    events, longer = collections.defaultdict(list), collections.defaultdict(list)
     for _, part, w in toks:
         if part == 5:
-            for c, x in zip(["<s>", *w], w, strict=False):
-                k = uni[c] - duni[c]
-                events[level(k)].append(((bi[c, x] - dbi[c, x]) / k * (lv + 1) if k else 0.0, (uni[x] - duni[x]) / ln * (lv + 1), 1.0))
+            seq = ["<s>", "<s>", *w]
+            for i in range(2, len(seq)):
+                one, _, r1, r2, _, v = parts(left, seq, i)
+                events[level(one)].append((near(r2 * (v + 1)), near(r1 * (v + 1)), 1.0))
     weights = {}
     for b in range(lm.BUCKETS):
         if b in events:
@@ -43,28 +60,64 @@ def brute(rows):
             weights[b] = q
         else:
             weights[b] = weights[b - 1] if b > 1 else np.array([1e-9, 0.5, 0.5]) if b == 0 else np.full(3, 1 / 3)
+    for _, part, w in toks:
+        if part == 5:
+            seq = ["<s>", "<s>", *w]
+            for i in range(2, len(seq)):
+                one, two, r1, r2, r3, v = parts(left, seq, i)
+                longer[level(two)].append(near(r3 / p2(one, r1, r2, v)))
+    lam = {0: 0.0}
+    for b in range(1, lm.BUCKETS):
+        if b in longer:
+            x, q = np.array(longer[b]), 0.5
+            for _ in range(60):
+                q = ((q * x / (q * x + 1 - q)).sum() + 1) / (len(x) + 2)
+            lam[b] = q
+        else:
+            lam[b] = lam[b - 1] if b > 1 else 0.5
+    n, v = size_of[id(counts)]
     out = []
     for i, part, w in toks:
-        score = base = 0.0
-        for c, x in zip(["<s>", *w], w, strict=False):
-            q, k = weights[level(uni[c])], uni[c]
-            base += math.log10((uni[x] + 1) / (n + v + 1))
-            p = q[1] * uni[x] / n + q[2] / (v + 1)
-            p = p + q[0] * bi[c, x] / k if k else p / (q[1] + q[2])
+        seq, score, base = ["<s>", "<s>", *w], 0.0, 0.0
+        for k in range(2, len(seq)):
+            one, two, r1, r2, r3, _ = parts(counts, seq, k)
+            p = p2(one, r1, r2, v)
+            if order > 2 and two:
+                p = lam[level(two)] * r3 + (1 - lam[level(two)]) * p
             score += math.log10(p)
-        out.append((i, part == 2, len(w), sum(uni[x] > 0 for x in w), n, base, score))
+            base += math.log10((get(counts, (seq[k],)) + 1) / (n + v + 1))
+        out.append((i, part == 2, len(w), sum(get(counts, (x,)) > 0 for x in w), n, base, score))
     return out
 
 
-def test_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(lm, "SHARD", 20_000)  # many shards and buckets
+@pytest.mark.parametrize(("order", "fan"), [(3, 128), (2, 128), (3, 4)])
+def test_brute_force(docs, monkeypatch, order, fan):
+    monkeypatch.setattr(lm, "SHARD", 20_000)  # many shards and ranges, reached in one hop or in several
     monkeypatch.setattr(lm, "BUCKET", 50_000)
-    got = {r.doc_id: tuple(r) for r in lm.score(docs).collect()}
-    for want in brute([(r.doc_id, r.text) for r in docs.collect()]):
+    monkeypatch.setattr(lm, "FAN", fan)
+    got = {r.doc_id: tuple(r) for r in lm.score(docs, order=order).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for want in brute(rows, order):
         have = got[want[0]]
         assert have[:5] == want[:5]
-        assert math.isclose(have[5], want[5], rel_tol=1e-9)
-        assert math.isclose(have[6], want[6], rel_tol=0.02)  # EM's ratios are rounded
+        assert math.isclose(have[5], want[5], rel_tol=1e-9) and math.isclose(have[6], want[6], rel_tol=1e-7)
+    if fan == 128:  # EM's ratios are rounded: that hardly matters
+        assert all(math.isclose(got[w[0]][6], w[6], rel_tol=0.005) for w in brute(rows, order, exact=True))
+
+
+def test_blocks_grow_with_the_corpus():
+    """At most fan blocks for each task of every hop, and tasks in proportion to the corpus; one hop alone would need the square."""
+    shards_ = [1_000, 10_000, 100_000, 1_000_000]
+    found = []
+    for n in shards_:
+        net = lm.Network(n, n, 128)
+        nodes, blocks = n, 0
+        for hop in range(1, net.hops + 1):
+            blocks += nodes * net.fan
+            nodes = net.groups[hop - 1] * net.fan**hop
+        assert net.fan <= 128 and net.groups[-1] == 1 and net.fan**net.hops >= n
+        found.append(blocks / n)
+    assert max(found) <= 4 * 128 and shards_[-1] > 1000 * max(found)
 
 
 def test_better_than_the_base(docs):
