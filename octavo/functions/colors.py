@@ -104,10 +104,47 @@ def central_gradient(before: list[Column], after: list[Column], step: float) ->
     return [(b - a) / (2 * step) for a, b in zip(before, after, strict=True)]
 
 
-def blinn(normal: list[Column], light: list[Column], eye: list[Column], ambient: float, diffuse: float, specular: float, shininess: float) -> Column:
-    """Intensity by half-vector shading of unit vectors; both sides of a surface are lit."""
-    half = [a + b for a, b in zip(light, eye, strict=True)]
-    dot = lambda a, b: reduce(lambda p, q: p + q, [x * y for x, y in zip(a, b, strict=True)])
-    length = F.sqrt(dot(half, half))
-    h = F.coalesce(F.try_divide(dot(normal, half), length), F.lit(0.0))
-    return F.lit(ambient) + diffuse * F.abs(dot(normal, light)) + specular * F.pow(F.abs(h), F.lit(shininess))
+# Factors of the ambient and specular light, shininess, and least opacity of a lit step.
+AMBIENT, SPECULAR, SHININESS = 1.0, 0.5, 100.0
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return reduce(lambda p, q: p + q, [x * y for x, y in zip(a, b, strict=True)])
+
+
+def unit(v: list[Column]) -> list[Column]:
+    """The vector at length 1 (0 stays 0)."""
+    length = F.sqrt(_dot(v, v))
+    return [F.coalesce(F.try_divide(x, length), F.lit(0.0)) for x in v]
+
+
+def facing(normal: list[Column], light: list[Column]) -> list[Column]:
+    """The normal on the side of the light."""
+    away = _dot(light, normal) < 0
+    return [F.when(away, -x).otherwise(x) for x in normal]
+
+
+def blinn(normal: list[Column], light: list[Column], eye: list[Column], ambient: Column | float, diffuse: Column | float, specular: Column | float, shininess: float = SHININESS) -> Column:
+    """Intensity by half-vector shading of unit vectors: a surface that the light does not reach has no highlight.
+
+    For two-sided surfaces turn the normal to the light first (``facing``).
+    """
+    reached = F.greatest(_dot(light, normal), F.lit(0.0))
+    half = unit([a + b for a, b in zip(light, eye, strict=True)])
+    shine = F.when(reached > 0, F.pow(F.greatest(_dot(half, normal), F.lit(0.0)), F.lit(shininess))).otherwise(0.0)
+    return ambient + diffuse * reached + specular * shine
+
+
+def shaded(normal: list[Column], eye: list[Column], surface: list[Column], diffuse: list[Column], lights: list[dict]) -> list[Column]:
+    """r, g, b in [0, 1] of a two-sided surface under several lights (each: pos, ambient, diffuse, specular as triples).
+
+    The normal is turned to each light in order, and stays so for the next.
+    """
+    view = unit([e - s for e, s in zip(eye, surface, strict=True)])
+    total = [F.lit(0.0)] * 3
+    for light in lights:
+        to = unit([F.lit(float(p)) - s for p, s in zip(light["pos"], surface, strict=True)])
+        normal = facing(normal, to)
+        parts = (blinn(normal, to, view, AMBIENT * a, d * k, SPECULAR * s) for d, a, k, s in zip(diffuse, light["ambient"], light["diffuse"], light["specular"], strict=True))
+        total = [t + p for t, p in zip(total, parts, strict=True)]
+    return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) for t in total]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from octavo.functions.cells import Cube, axes, bit, corner_bits, image_position, index_names, key_names, left, node_names, octant, right
 from octavo.functions.vectors import signed_shift_right
+from octavo.operators.tree import deepest_block
+from octavo.storage import keep
 
 #: Fixed values of the weighted mean: the least weight of a corner, and the least sum that counts.
 LEAST_WEIGHT, LEAST_SUM = 2e-5, 1e-5
@@ -46,23 +48,44 @@ def corner_mean(points: DataFrame, cube: Cube, level: int, value: str, compat_ax
     return weighted_mean(rows.select(*node, "v", "w"), node_names(dim))
 
 
-def subtree_mean(located: DataFrame, subtrees: DataFrame, cube: Cube, value: str) -> DataFrame:
+def _root_node(dim: int, level: Column, index: list[Column]) -> list[Column]:
+    """The corner ``c`` of a block in the lattice of the subtree s_* of depth ``depth``."""
+    shift = F.col("depth") - (level - F.col("s_level"))
+    mask = left(F.lit(1), F.col("depth")) - 1
+    return [(left(i, shift).bitwiseAND(mask) + left(bit(F.col("c"), d), shift)).alias(m) for d, (i, m) in enumerate(zip(index, node_names(dim), strict=True))]
+
+
+def _to_roots(rows: DataFrame, subtrees: DataFrame, dim: int) -> DataFrame:
+    """Rows of a block at ``cut`` (b_ix, ...), ``own`` if it is the deepest one there, with every stored subtree that they count in:
+    one that the block is in, at the subtree's depth if it is not the deepest. A block meets the roots up to the largest
+    depth above it only, so no root meets more than its lattice."""
+    reach = subtrees.agg(F.max("depth")).first()[0] or 0
+    keys = [f"s_{k}" for k in key_names(dim)]
+    rows = rows.withColumn("s_level", F.explode(F.sequence(F.greatest(F.col("cut") - reach, F.lit(0)), F.col("cut"))))
+    rows = rows.select("*", *(right(F.col(f"b_{n}"), F.col("cut") - F.col("s_level")).alias(f"s_{n}") for n in index_names(dim)))
+    roots = subtrees.select(*(F.col(k).alias(f"s_{k}") for k in key_names(dim)), "depth")
+    below = F.col("cut") - F.col("s_level")
+    return rows.join(roots, keys).where((F.col("own") & (below <= F.col("depth"))) | (below == F.col("depth")))
+
+
+def subtree_mean(located: DataFrame, subtrees: DataFrame, cube: Cube, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """The field of points with their deepest block, per stored subtree: each point counts in the blocks of every subtree
-    above it, at the subtree's depth or its own block's."""
+    above it, at the subtree's depth or its own block's.
+
+    Points are summed per block and corner first; only those sums meet the subtrees. ``by``: more columns to keep apart.
+    """
     dim = cube.dim
-    rows = located.withColumn("s_level", F.explode(F.sequence(F.lit(0), F.col("level"))))
-    keys = ["s_level", *(f"s_{n}" for n in index_names(dim))]
-    rows = rows.select("*", *(right(F.col(n), F.col("level") - F.col("s_level")).alias(f"s_{n}") for n in index_names(dim)))
-    roots = subtrees.select(F.col("level").alias("s_level"), *(F.col(n).alias(f"s_{n}") for n in index_names(dim)), "depth")
-    rows = rows.join(roots, keys)
-    cut = F.least(F.col("level"), F.col("s_level") + F.col("depth"))
-    rows = rows.select(*(c for c in rows.columns if c not in key_names(dim)), cut.alias("level"), *(right(F.col(n), F.col("level") - cut).alias(n) for n in index_names(dim)))
-    rows = corner_weights(rows, cube, value)
-    shift = F.col("depth") - (F.col("level") - F.col("s_level"))
-    mask = left(F.lit(1), F.col("depth")) - 1
-    node = [(left(F.col(n), shift).bitwiseAND(mask) + left(bit(F.col("c"), d), shift)).alias(m) for d, (n, m) in enumerate(zip(index_names(dim), node_names(dim), strict=True))]
-    mean = weighted_mean(rows.select(*keys, *node, "v", "w"), [*keys, *node_names(dim)])
-    return mean.select(*(F.col(f"s_{k}").alias(k) for k in key_names(dim)), *node_names(dim), "value")
+    rows = located.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumn("own", F.col("cut") == F.col("level"))
+    rows = rows.select(*(c for c in rows.columns if c not in key_names(dim)), F.col("cut").alias("level"), *(right(F.col(n), F.col("level") - F.col("cut")).alias(n) for n in index_names(dim)))
+    rows = corner_weights(rows, cube, value).where(F.col("v").isNotNull())
+    block = [F.col(n).alias(f"b_{n}") for n in index_names(dim)]
+    sums = rows.groupBy(*by, "cut", "own", *block, "c").agg(F.sum(F.col("v") * F.col("w")).alias("vw"), F.sum("w").alias("sw"))
+    rows = _to_roots(sums, subtrees, dim)
+    node = _root_node(dim, F.col("cut"), [F.col(f"b_{n}") for n in index_names(dim)])
+    keys = [f"s_{k}" for k in key_names(dim)]
+    total = rows.select(*by, *keys, *node, "vw", "sw").groupBy(*by, *keys, *node_names(dim)).agg(F.sum("vw").alias("vw"), F.sum("sw").alias("sw"))
+    mean = F.when(F.col("sw") >= LEAST_SUM, F.col("vw") / F.col("sw"))
+    return total.select(*by, *(F.col(k).alias(k.removeprefix("s_")) for k in keys), *node_names(dim), mean.alias("value"))
 
 
 def function_field(corners: DataFrame, f: Column) -> DataFrame:
@@ -113,55 +136,91 @@ def missing_fields(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return wanted.join(existing, ["field", "frame"], "left_anti")
 
 
-def to_parent(children: DataFrame, subtrees: DataFrame, dim: int) -> DataFrame:
+def to_parent(children: DataFrame, subtrees: DataFrame, dim: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Nodes of child subtrees that coincide with nodes of the parent subtree: parent's key and node, and the value.
 
     children: subtree key, depth, node, value; subtrees: key, depth. With shift = child depth + 1 - parent depth, a
     node counts if shift < 1 or all its coordinates are even.
     """
     index = [F.col(n) for n in index_names(dim)]
-    up = children.where("level > 0").select((F.col("level") - 1).alias("p_level"), *(right(i, 1).alias(f"p_{n}") for i, n in zip(index, index_names(dim), strict=True)), octant(index).alias("oct"), F.col("depth").alias("cd"), *node_names(dim), "value")
+    up = children.where("level > 0").select(*by, (F.col("level") - 1).alias("p_level"), *(right(i, 1).alias(f"p_{n}") for i, n in zip(index, index_names(dim), strict=True)), octant(index).alias("oct"), F.col("depth").alias("cd"), *node_names(dim), "value")
     roots = subtrees.select(F.col("level").alias("p_level"), *(F.col(n).alias(f"p_{n}") for n in index_names(dim)), F.col("depth").alias("pd"))
     up = up.join(roots, ["p_level", *(f"p_{n}" for n in index_names(dim))])
     shift = F.col("cd") + 1 - F.col("pd")
     even = reduce(lambda p, q: p & q, [F.col(m).bitwiseAND(F.lit(1)) == 0 for m in node_names(dim)])
     node = [(signed_shift_right(F.col(m), shift) + left(bit(F.col("oct"), d), F.greatest(F.col("pd") - 1, F.lit(0)))).alias(m) for d, m in enumerate(node_names(dim))]
     up = up.where((shift < 1) | even)
-    return up.select(F.col("p_level").alias("level"), *(F.col(f"p_{n}").alias(n) for n in index_names(dim)), F.col("pd").alias("depth"), *node, "value", F.col("oct"))
+    return up.select(*by, F.col("p_level").alias("level"), *(F.col(f"p_{n}").alias(n) for n in index_names(dim)), F.col("pd").alias("depth"), *node, "value", F.col("oct"))
 
 
-def propagate(own: DataFrame, subtrees: DataFrame, dim: int, max_level: int) -> DataFrame:
+def propagate(own: DataFrame, subtrees: DataFrame, dim: int, max_level: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Fields of all subtrees by levels from the deepest to the root.
 
     own: the subtrees' generated values (key, depth, node, value). A parent's node is the mean of the coinciding
     children's values where they have any; a parent with all 2^dim children has nothing else; other parents keep
     their own values at nodes that no child covers. One pass for each level; levels are at most some twenty.
+    A level is read by the result and by the next one, so it is written once. ``by``: fields, frames kept apart.
     """
-    keys = [*key_names(dim), "depth", *node_names(dim)]
+    keys = [*by, *key_names(dim), "depth", *node_names(dim)]
     done = own.where(F.col("level") == max_level).select(*keys, "value")
     below = done
     for level in range(max_level - 1, -1, -1):
-        up = to_parent(below, subtrees.where(F.col("level") == level), dim)
+        up = to_parent(below, subtrees.where(F.col("level") == level), dim, by)
         mean = up.groupBy(*keys).agg(F.avg("value").alias("child"))
-        whole = up.groupBy(*key_names(dim)).agg(F.countDistinct("oct").alias("n")).where(F.col("n") == 1 << dim).select(*key_names(dim), F.lit(True).alias("whole"))
-        mine = own.where(F.col("level") == level).select(*keys, F.col("value").alias("own")).join(whole, key_names(dim), "left").where("whole is null").drop("whole")
-        # a level is read by the result and by the next one: kept, or each would compute all those below it again
-        below = mean.join(mine, keys, "full_outer").select(*keys, F.coalesce("child", "own").alias("value")).persist()
+        key = [*by, *key_names(dim)]
+        whole = up.groupBy(*key).agg(F.countDistinct("oct").alias("n")).where(F.col("n") == 1 << dim).select(*key, F.lit(True).alias("whole"))
+        mine = own.where(F.col("level") == level).select(*keys, F.col("value").alias("own")).join(whole, key, "left").where("whole is null").drop("whole")
+        below = keep(mean.join(mine, keys, "full_outer").select(*keys, F.coalesce("child", "own").alias("value")), "level")
         done = done.unionByName(below)
     return done
 
 
+def boundary_field(points: DataFrame, blocks: DataFrame, subtrees: DataFrame, cube: Cube, max_level: int) -> DataFrame:
+    """The signed distance to the boundary at the nodes of stored subtrees, scaled to [-1, 1] within each where it has both signs.
+
+    points: boundary points (axes, unit normal n_*, size). A point counts, by its normal, at the corners of the blocks
+    that hold it and the places one size before and behind it, each block once. Points of faces without a normal don't.
+    """
+    dim = cube.dim
+    names = axes(dim)
+    moved = points.where(reduce(lambda p, q: p | q, [F.col(f"n_{a}") != 0 for a in names]))
+    moved = moved.select(*(F.col(a).alias(f"p_{a}") for a in names), *(f"n_{a}" for a in names), "size", F.monotonically_increasing_id().alias("point"))
+    moved = keep(moved, "boundary").withColumn("_s", F.explode(F.array(*(F.lit(s) for s in (-1.0, 0.0, 1.0)))))
+    moved = moved.select("*", *((F.col(f"p_{a}") + F.col("_s") * F.col("size") * F.col(f"n_{a}")).alias(a) for a in names))
+    rows = deepest_block(cube_points(moved, cube), blocks, cube, max_level)
+    rows = rows.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumn("own", F.col("cut") == F.col("level"))
+    place = [f"p_{a}" for a in names] + [f"n_{a}" for a in names]
+    block = [right(F.col(n), F.col("level") - F.col("cut")).alias(f"b_{n}") for n in index_names(dim)]
+    # of one point, a block counts once, whether it is the deepest for one of its places or cut for another
+    once = rows.select("point", *place, "cut", *block, "own").groupBy("point", *place, "cut", *(f"b_{n}" for n in index_names(dim))).agg(F.max("own").alias("own"), F.min("own").alias("all_own"))
+    once = once.withColumn("c", F.explode(corner_bits(dim)))
+    size = cube.block_size(F.col("cut"))
+    corner = [m + bit(F.col("c"), d) * size for d, m in enumerate(cube.block_min(F.col("cut"), [F.col(f"b_{n}") for n in index_names(dim)]))]
+    distance = reduce(lambda p, q: p + q, [F.col(f"n_{a}") * (k - F.col(f"p_{a}")) for a, k in zip(names, corner, strict=True)])
+    sums = once.groupBy("cut", "own", "all_own", *(f"b_{n}" for n in index_names(dim)), "c").agg(F.sum(distance).alias("vw"), F.count("*").alias("sw"))
+    rows = _to_roots(sums, subtrees, dim)
+    keys = [f"s_{k}" for k in key_names(dim)]
+    total = rows.select(*keys, *_root_node(dim, F.col("cut"), [F.col(f"b_{n}") for n in index_names(dim)]), "vw", "sw").groupBy(*keys, *node_names(dim)).agg((F.sum("vw") / F.sum("sw")).alias("d"))
+    total = total.select(*(F.col(k).alias(k.removeprefix("s_")) for k in keys), *node_names(dim), "d")
+    return _scaled(total, key_names(dim), dim)
+
+
+def _scaled(mean: DataFrame, keys: list[str], dim: int) -> DataFrame:
+    """Distances d over the largest one of their sign in each group; as they are where there is one sign only."""
+    span = mean.groupBy(*keys).agg(F.greatest(F.max("d"), F.lit(0.0)).alias("plus"), F.greatest(-F.min("d"), F.lit(0.0)).alias("minus"))
+    both = (F.col("plus") > 0) & (F.col("minus") > 0)
+    scaled = F.when(~both, F.col("d")).when(F.col("d") > 0, F.col("d") / F.col("plus")).otherwise(F.col("d") / F.col("minus"))
+    return mean.join(span, keys).select(*keys, *node_names(dim), scaled.alias("value"))
+
+
 def boundary_shape(faces: DataFrame, nodes: DataFrame, keys: list[str], dim: int) -> DataFrame:
-    """Mean signed distance to boundary points near a node, scaled to [-1, 1] within each subtree.
+    """Mean signed distance to boundary points near a node, scaled to [-1, 1] within each subtree where it has both signs.
 
     faces: subtree key, node, boundary point p_*, normal n_*; nodes: subtree key, node, axes.
     """
     near = faces.join(nodes, [*keys, *node_names(dim)])
     distance = reduce(lambda p, q: p + q, [F.col(f"n_{a}") * (F.col(a) - F.col(f"p_{a}")) for a in axes(dim)])
-    mean = near.groupBy(*keys, *node_names(dim)).agg(F.avg(distance).alias("d"))
-    span = mean.groupBy(*keys).agg(F.max(F.when(F.col("d") > 0, F.col("d"))).alias("plus"), F.max(F.when(F.col("d") < 0, -F.col("d"))).alias("minus"))
-    scaled = F.when(F.col("d") > 0, F.try_divide("d", "plus")).when(F.col("d") < 0, F.try_divide("d", "minus")).otherwise(0.0)
-    return mean.join(span, keys).select(*keys, *node_names(dim), scaled.alias("value"))
+    return _scaled(near.groupBy(*keys, *node_names(dim)).agg(F.avg(distance).alias("d")), keys, dim)
 
 
 def cube_points(points: DataFrame, cube: Cube, tol: float = 1e-6) -> DataFrame:

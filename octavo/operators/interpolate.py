@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octavo.functions.cells import Cube, axes, node_names
+from octavo.functions.cells import Cube, axes, index_names, key_names, left, node_names
 from octavo.functions.vectors import simplex_inside, tetrahedron_barycentric, triangle_barycentric
-from octavo.operators.mesh import RING, element_nodes, simplices
+from octavo.operators.mesh import RING, element_nodes, refined, simplices
 
 # Fixed values of the inverse mapping: margin of inside, residual and number of steps of Newton's method.
 MARGIN = {2: 1 + 1e-4, 3: 1 + 1e-3}
@@ -119,6 +119,81 @@ def cube_map(elements: DataFrame, nodes: DataFrame, cube: Cube, level: int) -> D
     return rows.mapInPandas(run, schema)
 
 
+def subtree_map(elements: DataFrame, nodes: DataFrame, cube: Cube, subtrees: DataFrame, corners: DataFrame) -> DataFrame:
+    """The field map of the nodes of all stored subtrees (key, depth, node): as ``cube_map`` and ``simplex_map``, per subtree.
+
+    corners: the distinct nodes of each subtree. An element meets the subtrees whose cube its box touches, level by
+    level, and of these the lattice nodes in its box; all that by keys. Whole quads and hexahedra are inverted, others
+    are cut into simplices. Columns: key, node, zone_id, element_id, simplex, nodes and weights ``w`` of these.
+    """
+    dim = cube.dim
+    keys = key_names(dim)
+    boxes = element_nodes(elements, nodes).groupBy("zone_id", "element_id").agg(*(f(a).alias(f"{k}_{a}") for a in axes(dim) for k, f in (("min", F.min), ("max", F.max))))
+    levels = [r.level for r in subtrees.select("level").distinct().collect()]  # at most some twenty
+    rows = boxes.withColumn("level", F.explode(F.array(*(F.lit(x) for x in sorted(levels)))))
+    size, tol = cube.block_size(F.col("level")), 1e-9
+    n = left(F.lit(1), F.col("level"))
+    for a, i, lo in zip(axes(dim), index_names(dim), cube.mins, strict=True):
+        first = F.greatest(F.ceil((F.col(f"min_{a}") - lo) / size - tol) - 1, F.lit(0)).cast("int")
+        last = F.least(F.floor((F.col(f"max_{a}") - lo) / size + tol), n - 1).cast("int")
+        rows = rows.withColumn(i, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    rows = rows.join(subtrees.select(*keys, "depth"), keys)
+    step = size / left(F.lit(1), F.col("depth"))
+    for a, i, m, lo in zip(axes(dim), index_names(dim), node_names(dim), cube.mins, strict=True):
+        begin = F.lit(lo) + F.col(i) * size
+        first = F.greatest(F.ceil((F.col(f"min_{a}") - begin) / step - tol), F.lit(0)).cast("int")
+        last = F.least(F.floor((F.col(f"max_{a}") - begin) / step + tol), left(F.lit(1), F.col("depth"))).cast("int")
+        rows = rows.withColumn(m, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    rows = rows.select("zone_id", "element_id", *keys, "depth", *node_names(dim)).join(corners.select(*keys, *node_names(dim)), [*keys, *node_names(dim)], "left_semi")
+    step = cube.block_size(F.col("level")) / left(F.lit(1), F.col("depth"))
+    rows = rows.select("*", *((F.lit(lo) + F.col(i) * cube.block_size(F.col("level")) + F.col(m) * step).alias(a) for a, i, m, lo in zip(axes(dim), index_names(dim), node_names(dim), cube.mins, strict=True)))
+    shape = element_nodes(elements, nodes.select("zone_id", "node_id", *axes(dim))).groupBy("zone_id", "element_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id", *axes(dim)))).alias("k"))
+    at = [*keys, *node_names(dim)]
+    # whole quads and hexahedra
+    ring = RING[dim]
+    whole = rows.join(shape.where(F.size("k") == 1 << dim), ["zone_id", "element_id"])
+    whole = whole.select("zone_id", "element_id", *at, *axes(dim), F.array(*(F.get("k", F.lit(i))["node_id"] for i in ring)).alias("corners"), F.array(*(F.get("k", F.lit(i))[a] for i in ring for a in axes(dim))).alias("xyz"))
+    kinds = dict(whole.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signs = np.array([[1.0 if c >> d & 1 else -1.0 for d in range(dim)] for c in range(1 << dim)])
+        for df in frames:
+            if len(df):
+                xi, inside, _ = inverse_map(df[list(axes(dim))].to_numpy(float), np.stack(df["xyz"].to_numpy()).reshape(len(df), 1 << dim, dim))
+                w = np.prod(1 + signs[None] * xi[:, None, :], axis=2) / (1 << dim)
+                df = df.assign(w=list(w), simplex=np.int32(0))[inside]
+                yield df[["zone_id", "element_id", "simplex", *at, "corners", "w"]]
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in ("zone_id", "element_id")), "simplex int", *(f"{c} {kinds[c]}" for c in at), f"corners {kinds['corners']}", "w array<double>"])
+    mapped = whole.mapInPandas(run, schema)
+    # elements that lack nodes, and simplices
+    part = elements.join(shape.where(F.size("k") != 1 << dim).select("zone_id", "element_id"), ["zone_id", "element_id"], "left_semi")
+    if part.isEmpty():
+        return mapped
+    cut = simplices(part)
+    each = element_nodes(cut.select("zone_id", F.struct("element_id", "simplex").alias("element_id"), "nodes"), nodes.select("zone_id", "node_id", *axes(dim)))
+    each = each.groupBy("zone_id", "element_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id", *axes(dim)))).alias("k")).select("zone_id", "element_id.element_id", "element_id.simplex", "k")
+    some = rows.join(each, ["zone_id", "element_id"])
+    corner = lambda i: [F.get("k", F.lit(i))[a] for a in axes(dim)]
+    here = [F.col(a) for a in axes(dim)]
+    weights = triangle_barycentric(here, *(corner(i) for i in range(3))) if dim == 2 else tetrahedron_barycentric(here, *(corner(i) for i in range(4)))
+    first = F.lit(1.0)
+    for w in weights:
+        first = first - w
+    some = some.where(simplex_inside(weights)).select("zone_id", "element_id", F.col("simplex").cast("int").alias("simplex"), *at, F.transform("k", lambda x: x["node_id"]).alias("corners"), F.array(first, *weights).alias("w"))
+    return mapped.unionByName(some)
+
+
+def apply_subtree_map(field_map: DataFrame, values: DataFrame, dim: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Values (zone_id, node_id, ``by``, v) at the nodes of stored subtrees: the last (zone, element, simplex) of a node counts."""
+    at = [*key_names(dim), *node_names(dim)]
+    last = field_map.groupBy(*at).agg(F.max_by(F.struct("zone_id", "corners", "w"), F.struct("zone_id", "element_id", "simplex")).alias("m"))
+    corners = F.transform(F.col("m.corners"), lambda c, i: F.struct(c.alias("node_id"), F.get(F.col("m.w"), i).alias("w")))
+    each = last.select(*at, "m.zone_id", F.size("m.corners").alias("_n"), F.explode(corners).alias("_c")).select(*at, "zone_id", "_n", "_c.node_id", "_c.w")
+    sums = each.join(values, ["zone_id", "node_id"]).groupBy(*by, *at, "_n").agg(F.sum(F.col("v") * F.col("w")).alias("value"), F.count("v").alias("_k"))
+    return sums.where("_k = _n").drop("_k", "_n")  # a value that one of the corners lacks is no value
+
+
 def apply_map(field_map: DataFrame, nodes: DataFrame, field: str, dim: int, first_wins: bool = False) -> DataFrame:
     """Values at mapped nodes: corner values weighted, then one record for each node.
 
@@ -160,14 +235,7 @@ def nodes_in_box(nodes: DataFrame, lo: tuple[int, ...], hi: tuple[int, ...]) ->
 
 def refined_points(elements: DataFrame, nodes: DataFrame, field: str, dim: int, param: float) -> DataFrame:
     """Elements' refinement lattices with the field interpolated over each element: axes and the field."""
-    from octavo.operators.mesh import element_boxes, multilinear, refined
-
-    lattice = refined(element_boxes(elements, nodes, dim), dim, param)
-    corners = element_nodes(elements, nodes.select("zone_id", "node_id", F.col(field).alias("_v")))
-    values = corners.groupBy("zone_id", "element_id").agg(F.sort_array(F.collect_list(F.struct("pos", "_v"))).alias("k"))
-    rows = lattice.join(values, ["zone_id", "element_id"])
-    v = multilinear([F.col(f"t_{a}") for a in axes(dim)], [F.get("k", F.lit(i))["_v"] for i in RING[dim]])
-    return rows.select("zone_id", "element_id", *axes(dim), v.alias(field))
+    return refined(elements, nodes, dim, param, (field,)).select("zone_id", "element_id", *axes(dim), field)
 
 
 def write_field_map(field_map: DataFrame, path: str) -> None:

@@ -167,21 +167,45 @@ def mesh_info(zones: DataFrame) -> DataFrame:
     return zones.rollup("zone").agg(F.when(F.grouping("zone") == 0, F.first("etype")).alias("etype"), F.sum("elements").alias("elements"), F.sum("nodes").alias("nodes"))
 
 
-def refined(boxes: DataFrame, dim: int, param: float, most: int = 64) -> DataFrame:
-    """A lattice of points over each element's box: the step is between the smallest and the largest edge by ``param``.
+def element_shapes(elements: DataFrame, nodes: DataFrame, dim: int, param: float, fields: tuple[str, ...] = ()) -> DataFrame:
+    """How each element is refined: its corners ``k`` (pos, axes, fields), ``whole``, the step ``size`` and intervals ``n_*``.
 
-    Per axis n = max(1, round(edge / step)) intervals, at most ``most``.
+    The directions are the edges from an element's first node, of which the shortest and the longest give the step by
+    ``param`` between them; each has max(1, round(length / step)) intervals. Elements that lack nodes, and simplices,
+    are not whole: one interval each way, and the largest edge of their box as size.
     """
-    edges = [F.col(f"max_{a}") - F.col(f"min_{a}") for a in axes(dim)]
-    lo, hi = (F.least(*edges), F.greatest(*edges)) if dim > 1 else (edges[0], edges[0])
-    step = lo + param * (hi - lo)
-    rows = boxes
-    for a, e in zip(axes(dim), edges, strict=True):
-        n = F.least(F.greatest(F.lit(1), F.floor(F.try_divide(e, step) + 0.5).cast("int")), F.lit(most))
-        rows = rows.withColumn(f"k_{a}", F.coalesce(n, F.lit(1)))
-    for a in axes(dim):
-        rows = rows.withColumn(f"i_{a}", F.explode(F.sequence(F.lit(0), F.col(f"k_{a}"))))
-    return rows.select("zone_id", "element_id", *(F.col(f"i_{a}") for a in axes(dim)), *((F.col(f"i_{a}") / F.col(f"k_{a}")).alias(f"t_{a}") for a in axes(dim)), *((F.col(f"min_{a}") + (F.col(f"max_{a}") - F.col(f"min_{a}")) * F.col(f"i_{a}") / F.col(f"k_{a}")).alias(a) for a in axes(dim)))
+    names = [*axes(dim), *fields]
+    rows = element_nodes(elements, nodes.select("zone_id", "node_id", *names))
+    box = [(F.max(a) - F.min(a)).alias(f"_b_{a}") for a in axes(dim)]
+    rows = rows.groupBy("zone_id", "element_id").agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("k"), *box)
+    at = lambda i, n: F.get("k", F.lit(i))[n]
+    rows = rows.withColumn("whole", F.size("k") == 1 << dim)
+    edge = [F.sqrt(reduce(lambda x, y: x + y, [(at(i, a) - at(0, a)) * (at(i, a) - at(0, a)) for a in axes(dim)])) for i in (1, 3, 4)[:dim]]
+    rows = rows.select("*", *(e.alias(f"_e_{a}") for e, a in zip(edge, axes(dim), strict=True)))
+    edges = [F.col(f"_e_{a}") for a in axes(dim)]
+    step = F.least(*edges) + param * (F.greatest(*edges) - F.least(*edges))
+    rows = rows.withColumn("size", F.when(F.col("whole"), step).otherwise(F.greatest(*(f"_b_{a}" for a in axes(dim)))))
+    count = lambda e: F.when(F.col("whole"), F.greatest(F.floor(F.try_divide(e, F.col("size")) + 0.5).cast("int"), F.lit(1)))
+    return rows.select("zone_id", "element_id", "k", "whole", "size", *(F.coalesce(count(e), F.lit(1)).alias(f"n_{a}") for e, a in zip(edges, axes(dim), strict=True)))
+
+
+def refined(elements: DataFrame, nodes: DataFrame, dim: int, param: float, fields: tuple[str, ...] = ()) -> DataFrame:
+    """A lattice of points over each element (``element_shapes``), with fields interpolated: size, i_*, t_*, axes, fields.
+
+    Elements that are not whole give their nodes alone (i_* and t_* null).
+    """
+    names = [*axes(dim), *fields]
+    rows = element_shapes(elements, nodes, dim, param, fields)
+    index, local = [f"i_{a}" for a in axes(dim)], [f"t_{a}" for a in axes(dim)]
+    for a in axes(dim):  # of an element that isn't whole, node after node along the first axis
+        last = F.col(f"n_{a}") if a != "x" else F.when(F.col("whole"), F.col("n_x")).otherwise(F.size("k") - 1)
+        last = last if a == "x" else F.when(F.col("whole"), last).otherwise(0)
+        rows = rows.withColumn(f"i_{a}", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("*", *((F.col(f"i_{a}") / F.col(f"n_{a}")).alias(f"t_{a}") for a in axes(dim)))
+    at = lambda i, n: F.get("k", F.lit(i))[n]
+    value = lambda n: F.when(F.col("whole"), multilinear([F.col(t) for t in local], [at(i, n) for i in RING[dim]])).otherwise(F.get("k", F.col("i_x"))[n]).cast("double")
+    there = [F.when(F.col("whole"), F.col(c)).alias(c) for c in [*index, *local]]
+    return rows.select("zone_id", "element_id", "size", *there, *(value(n).alias(n) for n in names))
 
 
 def multilinear(t: list[Column], corners: list[Column]) -> Column:
@@ -210,8 +234,20 @@ def sub_faces(dim: int) -> list[tuple[int, ...]]:
     return found
 
 
-def boundary_points(bfaces: DataFrame, nodes: DataFrame, dim: int, intervals: int = 1) -> DataFrame:
-    """Lattice points on boundary faces with the face's unit normal and size (mean distance to its first node)."""
+def _face_axes(dim: int) -> Column:
+    """Per face of a quad or hexahedron, the element's axes along the face's first edge and the one that closes it."""
+    name = "quad" if dim == 2 else "hexahedron"
+    place = {node: bits for bits, node in enumerate(RING[dim])}
+    axis = lambda a, b: (place[a] ^ place[b]).bit_length() - 1
+    return F.array(*(F.array(F.lit(axis(f[0], f[1])), F.lit(axis(f[0], f[-1]))) for f in FACES[name]))
+
+
+def boundary_points(bfaces: DataFrame, nodes: DataFrame, dim: int, intervals: int = 1, shapes: DataFrame | None = None) -> DataFrame:
+    """Lattice points on boundary faces with the face's unit normal and a size.
+
+    The size is the length of the face's first edge, and each way has ``intervals``. With ``shapes`` (of
+    ``element_shapes``) both are the element's: its step over ``intervals``, and its intervals times ``intervals``.
+    """
     rows = bfaces.select("zone_id", "element_id", "face", F.posexplode("nodes").alias("pos", "node_id")).join(nodes.select("zone_id", "node_id", *axes(dim)), ["zone_id", "node_id"])
     by = rows.groupBy("zone_id", "element_id", "face").agg(F.sort_array(F.collect_list(F.struct("pos", *axes(dim)))).alias("p"))
     at = lambda k, a: F.get("p", F.lit(k))[a]
@@ -224,18 +260,26 @@ def boundary_points(bfaces: DataFrame, nodes: DataFrame, dim: int, intervals: in
         w = [F.when(F.size("p") == 4, at(3, a) - at(1, a)).otherwise(at(2, a) - at(0, a)) for a in axes(3)]
         normal = [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
     length = F.sqrt(reduce(lambda a, b: a + b, [n * n for n in normal]))
+    edge = F.sqrt(reduce(lambda a, b: a + b, [(at(1, a) - at(0, a)) * (at(1, a) - at(0, a)) for a in axes(dim)]))
+    if shapes is None:
+        by = by.select("*", edge.alias("_size"), F.lit(intervals).alias("_u"), F.lit(intervals).alias("_w"))
+    else:
+        own = shapes.select("zone_id", "element_id", "whole", F.col("size").alias("_own"), F.array(*(f"n_{a}" for a in axes(dim))).alias("_n"))
+        by = by.join(own, ["zone_id", "element_id"])
+        ways = F.get(_face_axes(dim), F.col("face"))
+        count = lambda k: F.when(F.col("whole"), F.get("_n", F.get(ways, F.lit(k)))).otherwise(1) * intervals
+        by = by.select("zone_id", "element_id", "face", "p", (F.col("_own") / intervals).alias("_size"), count(0).alias("_u"), count(1).alias("_w"))
     rows = by.select("*", *(F.coalesce(F.try_divide(n, length), F.lit(0.0)).alias(f"n_{a}") for n, a in zip(normal, axes(dim), strict=True)), last.alias("_last"))
-    rows = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(intervals))))
-    t = F.col("_s") / intervals
+    rows = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_u"))))
+    t = F.col("_s") / F.col("_u")
     if dim == 3:
-        rows = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(intervals))))
-        r = F.col("_r") / intervals
+        rows = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_w"))))
+        r = F.col("_r") / F.col("_w")
         corner = lambda a: [at(0, a), at(1, a), F.get("p", F.col("_last"))[a], at(2, a)]
         point = [multilinear([t, r], corner(a)) for a in axes(3)]
     else:
         point = [at(0, a) * (1 - t) + at(1, a) * t for a in axes(2)]
-    edge = F.sqrt(reduce(lambda a, b: a + b, [(at(1, a) - at(0, a)) * (at(1, a) - at(0, a)) for a in axes(dim)]))
-    return rows.select("zone_id", "element_id", "face", *(p.alias(a) for p, a in zip(point, axes(dim), strict=True)), *(f"n_{a}" for a in axes(dim)), edge.alias("size"))
+    return rows.select("zone_id", "element_id", "face", *(p.alias(a) for p, a in zip(point, axes(dim), strict=True)), *(f"n_{a}" for a in axes(dim)), F.col("_size").alias("size"))
 
 
 def inflated(bounds_rows: DataFrame, points: DataFrame, dim: int, by: float = 1.0) -> DataFrame:

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Order of the macro cells by dimension; a code has one digit 0 (before the eye), 1 (at), 2 (after) in base 3 for each axis, x lowest.
-MACRO = {1: [0, 2, 1], 2: [0, 2, 6, 8, 1, 3, 5, 7, 4]}
-
 
 def macro_order(dim: int) -> list[int]:
-    """Corners, then edges, then faces, then the cell at the eye; in three dimensions each kind in ascending code."""
-    if dim < 3:
-        return MACRO[dim]
+    """The order of macro cells, by code (one digit 0 before the eye, 1 at it, 2 after in base 3 for each axis, x lowest):
+    corners, then edges, then faces, then the cell at the eye, each kind in ascending code."""
     ones = lambda c: sum(c // 3**d % 3 == 1 for d in range(dim))
     return sorted(range(3**dim), key=lambda c: (ones(c), c))
 

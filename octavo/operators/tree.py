@@ -18,11 +18,12 @@ def occupied(points: DataFrame, cube: Cube, level: int) -> DataFrame:
     return points.select(F.lit(level).alias("level"), *(c.alias(n) for c, n in zip(cell, index_names(cube.dim), strict=True))).groupBy(*key_names(cube.dim)).agg(F.count("*").alias("points"))
 
 
-def ancestors(blocks: DataFrame, dim: int, include_self: bool = True) -> DataFrame:
-    """Each block's columns with those of every ancestor as (a_level, a_ix, ...)."""
+def ancestors(blocks: DataFrame, dim: int, include_self: bool = True, reach: int | None = None) -> DataFrame:
+    """Each block's columns with those of every ancestor, or of those ``reach`` levels up, as (a_level, a_ix, ...)."""
+    first = F.lit(0) if reach is None else F.greatest(F.col("level") - reach, F.lit(0))
     last = F.col("level") if include_self else F.col("level") - 1
     up = blocks.where("level > 0") if not include_self else blocks
-    up = up.withColumn("a_level", F.explode(F.sequence(F.lit(0), last)))
+    up = up.withColumn("a_level", F.explode(F.sequence(first, last)))
     return up.select("*", *(right(F.col(i), F.col("level") - F.col("a_level")).alias(f"a_{i}") for i in index_names(dim)))
 
 
@@ -32,24 +33,20 @@ def with_ancestors(cells: DataFrame, dim: int) -> DataFrame:
     return ancestors(cells, dim).select(*(F.col(f"a_{k}").alias(k) for k in key_names(dim))).distinct()
 
 
-def from_levels(points: DataFrame, cube: Cube, max_depth: int, size: str) -> DataFrame:
-    """Blocks for points with a size of their own: each at the level that suits its size, at most ``max_depth``."""
-    cells = None
-    points = points.withColumn("_level", F.least(cube.level_for(F.col(size)), F.lit(max_depth)))
-    for level in range(max_depth + 1):
-        cell = cube.cell([F.col(a) for a in axes(cube.dim)], level)
-        here = points.where(F.col("_level") == level).select(F.lit(level).alias("level"), *(c.alias(n) for c, n in zip(cell, index_names(cube.dim), strict=True)))
-        cells = here if cells is None else cells.unionByName(here)
-    return with_ancestors(cells, cube.dim)
+def from_levels(points: DataFrame, cube: Cube, max_depth: int, size: str, coarser: int = 0) -> DataFrame:
+    """Blocks for points with a size of their own: each at the level that suits its size, at most ``max_depth``, and ``coarser`` levels above that."""
+    level = F.greatest(F.least(cube.level_for(F.col(size)), F.lit(max_depth)) - coarser, F.lit(0))
+    n = left(F.lit(1).cast("long"), F.col("level"))
+    rows = points.withColumn("level", level)
+    cell = [F.greatest(F.least(F.ceil(u * n) - 1, n - 1), F.lit(0)).cast("int") for u in cube.unit([F.col(a) for a in axes(cube.dim)])]
+    return with_ancestors(rows.select("level", *(c.alias(i) for c, i in zip(cell, index_names(cube.dim), strict=True))), cube.dim)
 
 
 def around_boundary(points: DataFrame, cube: Cube, max_depth: int) -> DataFrame:
     """Refinement at boundary points (axes, normal n_*, size): blocks at p and p +- n * size / 2, one level coarser if above the root."""
-    places = None
-    for sign in (0.0, 0.5, -0.5):
-        moved = points.select(*((F.col(a) + sign * F.col("size") * F.col(f"n_{a}")).alias(a) for a in axes(cube.dim)), (F.col("size") * 2).alias("size2"))
-        places = moved if places is None else places.unionByName(moved)
-    return from_levels(places.withColumn("size2", F.least(F.col("size2"), F.lit(cube.size))), cube, max_depth, "size2")
+    shifts = F.array(*(F.lit(s) for s in (0.0, 0.5, -0.5)))
+    places = points.withColumn("_s", F.explode(shifts)).select("size", *((F.col(a) + F.col("_s") * F.col("size") * F.col(f"n_{a}")).alias(a) for a in axes(cube.dim)))
+    return from_levels(places, cube, max_depth, "size", coarser=1)
 
 
 def full_tree(spark: SparkSession, depth: int, dim: int) -> DataFrame:
@@ -105,14 +102,26 @@ def block_at(keys: DataFrame, blocks: DataFrame, dim: int) -> DataFrame:
     return out.where(F.when(F.col("_found"), True).otherwise(F.raise_error(F.lit("no such block")))).drop("_found")
 
 
+#: Levels whose blocks are few by their nature: (8 ** 5 - 1) / 7 in space at most.
+TOP = 4
+
+
+def under(up: DataFrame, blocks: DataFrame, dim: int) -> DataFrame:
+    """Rows with an ancestor (a_level, a_ix, ...) joined to the blocks that it is. Every row has the same few ancestors
+    at the top; these are broadcast, as they are at most 4,681."""
+    keys = [f"a_{k}" for k in key_names(dim)]
+    named = blocks.withColumnsRenamed(dict(zip(key_names(dim), keys, strict=True)))
+    high = up.where(F.col("a_level") <= TOP).join(F.broadcast(named.where(F.col("a_level") <= TOP)), keys)
+    return high.unionByName(up.where(F.col("a_level") > TOP).join(named.where(F.col("a_level") > TOP), keys))
+
+
 def deepest_block(points: DataFrame, blocks: DataFrame, cube: Cube, max_level: int) -> DataFrame:
     """Each point with the deepest existing block that holds it, down to ``max_level``."""
     dim = cube.dim
     cell = cube.cell([F.col(a) for a in axes(dim)], max_level)
     located = points.select("*", *(c.alias(f"c_{n}") for c, n in zip(cell, index_names(dim), strict=True)))
     cells = located.select(F.lit(max_level).alias("level"), *(F.col(f"c_{n}").alias(n) for n in index_names(dim))).distinct()
-    up = ancestors(cells, dim)
-    found = up.join(blocks.select(*(F.col(k).alias(f"a_{k}") for k in key_names(dim))), [f"a_{k}" for k in key_names(dim)])
+    found = under(ancestors(cells, dim), blocks.select(*key_names(dim)), dim)
     best = found.groupBy(*index_names(dim)).agg(F.max("a_level").alias("level"))
     best = best.select(*(F.col(n).alias(f"c_{n}") for n in index_names(dim)), "level")
     out = located.join(best, [f"c_{n}" for n in index_names(dim)])
@@ -150,16 +159,19 @@ def storage_subtrees(blocks: DataFrame, dim: int, full_level: int, depth: int) -
 def closest_subtree(blocks: DataFrame, subtrees: DataFrame, dim: int) -> DataFrame:
     """Each block with the deepest stored subtree root at or above it (s_level, s_ix, ...)."""
     keys = key_names(dim)
-    roots = subtrees.select(*(F.col(k).alias(f"a_{k}") for k in keys))
-    found = ancestors(blocks.select(*keys), dim).join(roots, [f"a_{k}" for k in keys])
+    found = under(ancestors(blocks.select(*keys), dim), subtrees.select(*keys), dim)
     best = found.groupBy(*keys).agg(F.max("a_level").alias("s_level"))
     return best.select(*keys, "s_level", *(right(F.col(n), F.col("level") - F.col("s_level")).alias(f"s_{n}") for n in index_names(dim)))
 
 
 def subtree_members(subtrees: DataFrame, blocks: DataFrame, dim: int) -> DataFrame:
-    """(subtree key, depth, b_level, b_ix, ...): the blocks of each subtree within its depth."""
+    """(subtree key, depth, b_level, b_ix, ...): the blocks of each subtree within its depth.
+
+    A block meets the roots up to the largest depth above it only, so a root's rows are bounded by its lattice.
+    """
     keys = key_names(dim)
-    up = ancestors(blocks.select(*keys), dim).select(*(F.col(k).alias(f"b_{k}") for k in keys), *(F.col(f"a_{k}").alias(k) for k in keys))
+    reach = subtrees.agg(F.max("depth")).first()[0] or 0
+    up = ancestors(blocks.select(*keys), dim, reach=reach).select(*(F.col(k).alias(f"b_{k}") for k in keys), *(F.col(f"a_{k}").alias(k) for k in keys))
     return up.join(subtrees.select(*keys, "depth"), keys).where(F.col("b_level") - F.col("level") <= F.col("depth"))
 
 

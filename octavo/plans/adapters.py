@@ -64,7 +64,7 @@ SQL = {
     "pts3": "pts3 AS (SELECT l_quantity AS x, l_discount * 500 AS y, l_tax * 625 AS z, l_extendedprice AS v, l_returnflag AS zone FROM lineitem)",
     "cube3": "b3 AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM {p}), s3 AS (SELECT *, greatest(x1 - x0, y1 - y0, z1 - z0) AS s FROM b3), cube3 AS (SELECT s, x0 - s / 2 + (x1 - x0) / 2 AS mx, y0 - s / 2 + (y1 - y0) / 2 AS my, z0 - s / 2 + (z1 - z0) / 2 AS mz FROM s3)",
     "emb3": "emb3 AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label AS zone FROM embeddings)",
-    "grid2": "grid2 AS (SELECT 0 AS zone_id, CAST(l_orderkey % 17 AS BIGINT) * 17 + l_partkey % 17 AS node_id, CAST(l_partkey % 17 AS INT) AS ix, CAST(l_orderkey % 17 AS INT) AS iy, round(avg(l_extendedprice), 0) AS v FROM lineitem GROUP BY l_partkey % 17, l_orderkey % 17)",
+    "grid2": "grid2 AS (SELECT 0 AS zone_id, CAST(l_orderkey % 17 AS BIGINT) * 17 + l_partkey % 17 AS node_id, CAST(l_partkey % 17 AS INT) AS ix, CAST(l_orderkey % 17 AS INT) AS iy, CAST(l_partkey % 17 AS DOUBLE) AS x, CAST(l_orderkey % 17 AS DOUBLE) AS y, round(avg(l_extendedprice), 0) AS v FROM lineitem GROUP BY l_partkey % 17, l_orderkey % 17)",
     "elem2": "elem2 AS (SELECT 0 AS zone_id, CAST(j * 16 + i AS BIGINT) AS element_id, CAST(j * 17 + i AS BIGINT) AS n0, CAST(j * 17 + i + 1 AS BIGINT) AS n1, CAST(j * 17 + i + 18 AS BIGINT) AS n2, CAST(j * 17 + i + 17 AS BIGINT) AS n3 FROM (SELECT unnest(generate_series(0, 15)) AS i) a, (SELECT unnest(generate_series(0, 15)) AS j) b)",
     "img2": "img2 AS (SELECT CAST(l_partkey % 16 AS INT) AS ix, CAST(l_orderkey % 16 AS INT) AS iy, count(*) AS n, round(avg(l_extendedprice), 4) AS v FROM lineitem GROUP BY l_partkey % 16, l_orderkey % 16)",
     "tele": "tele AS (SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS frame, user_id % 4 AS node, user_id AS thread, user_id % 3 AS level, event_type AS stage, epoch_us(ts) AS us, value AS v, event_id AS n FROM events)",

@@ -5,8 +5,6 @@ Cells in SQL: ``cell(x, L)`` below is the clamped ceiling rule of the block tree
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +12,10 @@ from octavo.functions import boxes, cells, colors, vectors
 from octavo.functions.cells import Cube, cube_of
 from octavo.operators import dense, fields, interpolate, mesh, order, telemetry, tree, view
 from octavo.plans.adapters import emb3, frames, grid2, img2, pts2, pts3, rays, tele, with_views
+from octavo.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from octavo.sources import readers
 from octavo.streaming import stateful
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def cell(x: str, m: str, level: int, s: str = "s") -> str:
     n = 1 << level
     return f"CAST(greatest(least(ceil(({x} - {m}) / {s} * {n}) - 1, {n - 1}), 0) AS INT)"
@@ -101,24 +86,24 @@ def child_counts_pts2(spark, d):
 
 
 @query(with_views("emb3", "cube3:emb3", body=f"""+c AS (SELECT id, {cell('x', 'mx', 3)} AS ix, {cell('y', 'my', 3)} AS iy, {cell('z', 'mz', 3)} AS iz FROM emb3, cube3),
-b AS (SELECT DISTINCT 3 AS level, ix, iy, iz FROM c WHERE id % 2 = 0 UNION SELECT 2, ix >> 1, iy >> 1, iz >> 1 FROM c WHERE id % 2 = 0 UNION SELECT 1, ix >> 2, iy >> 2, iz >> 2 FROM c WHERE id % 2 = 0 UNION SELECT 0, 0, 0, 0),
+k AS (SELECT ix, iy, iz FROM c GROUP BY ix, iy, iz HAVING count(*) >= 2), b AS (SELECT 3 AS level, ix, iy, iz FROM k UNION SELECT 2, ix >> 1, iy >> 1, iz >> 1 FROM k UNION SELECT 1, ix >> 2, iy >> 2, iz >> 2 FROM k UNION SELECT 0, 0, 0, 0),
 f AS (SELECT c.id, max(b.level) AS level FROM c JOIN b ON (c.ix >> (3 - b.level)) = b.ix AND (c.iy >> (3 - b.level)) = b.iy AND (c.iz >> (3 - b.level)) = b.iz GROUP BY c.id)
 SELECT id, level, c.ix >> (3 - level) AS ix, c.iy >> (3 - level) AS iy, c.iz >> (3 - level) AS iz FROM f JOIN c USING (id)"""))
 def deepest_block_emb3(spark, d):
-    """The tree of every second vector; all vectors are looked up in it."""
+    """The tree of the cells with two vectors or more; all vectors are looked up in it."""
     p = emb3(spark, d)
     cube = cube_of(p, 3)
-    blocks = tree.with_ancestors(tree.occupied(p.where("id % 2 = 0"), cube, 3), 3)
+    blocks = tree.with_ancestors(tree.occupied(p, cube, 3).where("points > 1"), 3)
     return tree.deepest_block(p, blocks, cube, 3).select("id", "level", "ix", "iy", "iz")
 
 
-@query(with_views("emb3", "cube3:emb3", body=f"""+c AS (SELECT id, {cell('x', 'mx', 2)} AS ix, {cell('y', 'my', 2)} AS iy, {cell('z', 'mz', 2)} AS iz FROM emb3, cube3),
-b AS (SELECT DISTINCT 2 AS level, ix, iy, iz FROM c WHERE id % 2 = 0 UNION SELECT 1, ix >> 1, iy >> 1, iz >> 1 FROM c WHERE id % 2 = 0 UNION SELECT 0, 0, 0, 0)
-SELECT c.id, max(b.level) AS level FROM c JOIN b ON (c.ix >> (2 - b.level)) = b.ix AND (c.iy >> (2 - b.level)) = b.iy AND (c.iz >> (2 - b.level)) = b.iz GROUP BY c.id"""))
+@query(with_views("emb3", "cube3:emb3", body=f"""+c AS (SELECT id, {cell('x', 'mx', 3)} AS ix, {cell('y', 'my', 3)} AS iy, {cell('z', 'mz', 3)} AS iz FROM emb3, cube3),
+k AS (SELECT ix, iy, iz FROM c GROUP BY ix, iy, iz HAVING count(*) >= 2), b AS (SELECT 2 AS level, ix >> 1 AS ix, iy >> 1 AS iy, iz >> 1 AS iz FROM k UNION SELECT 1, ix >> 2, iy >> 2, iz >> 2 FROM k UNION SELECT 0, 0, 0, 0)
+SELECT c.id, max(b.level) AS level FROM c JOIN b ON (c.ix >> (3 - b.level)) = b.ix AND (c.iy >> (3 - b.level)) = b.iy AND (c.iz >> (3 - b.level)) = b.iz GROUP BY c.id"""))
 def depth_limited_block_emb3(spark, d):
     p = emb3(spark, d)
     cube = cube_of(p, 3)
-    blocks = tree.with_ancestors(tree.occupied(p.where("id % 2 = 0"), cube, 3), 3)
+    blocks = tree.with_ancestors(tree.occupied(p, cube, 3).where("points > 1"), 3)
     return tree.deepest_block(p, blocks, cube, 2).select("id", "level")
 
 
@@ -286,7 +271,7 @@ def zone_counts_pts3(spark, d):
 def refined_elements_grid2(spark, d):
     """Lattice of the refined elements: one step for each unit edge."""
     e = _elements(spark)
-    r = mesh.refined(mesh.element_boxes(e, grid2(spark, d), 2), 2, 1.0)
+    r = mesh.refined(e, grid2(spark, d), 2, 1.0)
     return r.select("zone_id", "element_id", "i_x", "i_y", "x", "y")
 
 
@@ -536,11 +521,21 @@ def alpha_fold_rays(spark, d):
     return view.alpha_volume(rays(spark, d), ["pixel"], 0.2, 0.0, 500.0, 0.5).select("pixel", r6(F.col("r")).alias("c"), r6(F.col("a")).alias("a"))
 
 
-@query(with_views("rays", body=FOLD.replace("SELECT pixel, step, least(greatest(v / 500.0, 0), 1) AS rel FROM rays", "SELECT pixel, step, least(greatest(v / 500.0, 0), 1) AS rel, 0.2 + 0.6 * (w / 7) + 0.2 * power(w / 7, 8) AS light FROM rays").replace("{'c': rel, 'a': 1 - power(1 - 0.2 * rel, 0.5)}", "{'c': rel * light, 'a': greatest(1 - power(1 - 0.2 * rel, 0.5), 1e-5)}") + " SELECT pixel, round(r.c, 6) AS r, round(r.c, 6) AS g, round(r.c, 6) AS b, round(r.a, 6) AS a FROM f"))
+LIT = """+s AS (SELECT pixel, step, least(greatest(v / 500.0, 0), 1) AS rel, (w - 3) / sqrt((w - 3) * (w - 3) + 4) AS nx, 2 / sqrt((w - 3) * (w - 3) + 4) AS nz FROM rays),
+n AS (SELECT *, CASE WHEN 0.6 * nx + 0.8 * nz < 0 THEN -nx ELSE nx END AS ax, CASE WHEN 0.6 * nx + 0.8 * nz < 0 THEN -nz ELSE nz END AS az FROM s),
+i AS (SELECT *, greatest(0.6 * ax + 0.8 * az, 0) AS diff, greatest((0.6 * ax + 1.8 * az) / sqrt(0.36 + 3.24), 0) AS hn FROM n),
+j AS (SELECT *, 0.2 + 0.6 * diff + 0.2 * CASE WHEN diff > 0 THEN power(hn, 8) ELSE 0 END AS light FROM i),
+g AS (SELECT pixel, list({'c': rel * light, 'a': greatest(1 - power(1 - 0.2 * rel, 0.5), 1e-5)} ORDER BY step) AS l FROM j GROUP BY pixel)"""
+
+
+@query(with_views("rays", body=LIT + FOLD[FOLD.index(",\nf AS") :] + " SELECT pixel, round(r.c, 6) AS r, round(r.c, 6) AS g, round(r.c, 6) AS b, round(r.a, 6) AS a FROM f"))
 def alpha_fold_lit_rays(spark, d):
-    """The same, lit: a second field as the cosine of the light."""
-    light = colors.blinn([F.lit(0.0), F.lit(0.0), F.col("w") / 7], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], 0.2, 0.6, 0.2, 8.0)
-    return view.alpha_volume(rays(spark, d), ["pixel"], 0.2, 0.0, 500.0, 0.5, light=light).select("pixel", *(r6(F.col(c)).alias(c) for c in "rgba"))
+    """The same, lit from one side: the normal by a second field, turned to the light."""
+    length = F.sqrt((F.col("w") - 3) * (F.col("w") - 3) + 4)
+    light = [F.lit(0.6), F.lit(0.0), F.lit(0.8)]
+    normal = colors.facing([(F.col("w") - 3) / length, F.lit(0.0), 2 / length], light)
+    grey = colors.blinn(normal, light, [F.lit(0.0), F.lit(0.0), F.lit(1.0)], 0.2, 0.6, 0.2, 8.0)
+    return view.alpha_volume(rays(spark, d), ["pixel"], 0.2, 0.0, 500.0, 0.5, light=grey).select("pixel", *(r6(F.col(c)).alias(c) for c in "rgba"))
 
 
 @query(with_views("rays", body="SELECT pixel, round(0.5, 6) AS r, round(1 - power(0.75, least(count(*), 20)), 6) AS a FROM rays GROUP BY pixel"))
@@ -719,28 +714,41 @@ def odometer(spark, d):
     return mesh.odometer(spark, [5, 4, 3], ["i", "j", "k"])
 
 
-NODES12 = "+n AS (SELECT id, id % 12 AS i, id // 12 % 12 AS j, id // 144 AS k FROM (SELECT unnest(generate_series(0, 1727)) AS id) t)"
-
-
-@query(f"""WITH {NODES12[1:]}, p AS (SELECT *, 1 + i / 11.0::DOUBLE * (2 / 3.0::DOUBLE + i / 11.0::DOUBLE * (1 / 3.0::DOUBLE)) AS r, pi() * j / 11 AS th, 2 * pi() * k / 11 AS ph FROM n)
-SELECT 0 AS zone_id, CAST(id AS BIGINT) AS node_id, round(r * sin(th) * cos(ph), 6) AS x, round(r * sin(th) * sin(ph), 6) AS y, round(r * cos(th), 6) AS z, round(sin(2 * pi() / (5 * r)) * sin(8 * pi() * j / 11) * sin(16 * pi() * k / 11), 6) AS F, round(r * sin(th) * cos(ph) * (r * sin(th) * cos(ph)), 6) AS xx FROM p""")
+@query("""WITH n AS (SELECT id, id % 11 AS i, id // 11 % 19 AS j, id // 209 AS k FROM (SELECT unnest(generate_series(0, 11 * 19 * 32 - 1)) AS id) t),
+p AS (SELECT *, 0.1 + i / 10.0::DOUBLE * (0.18 / 1.1 + i / 10.0::DOUBLE * (0.81 / 1.1)) AS r, radians(10 + 160 * j / 18.0::DOUBLE) AS th, radians(270 * k / 31.0::DOUBLE) AS ph FROM n)
+SELECT 0 AS zone_id, CAST(id AS BIGINT) AS node_id, round(2 * r * sin(th) * cos(ph), 6) AS x, round(r * sin(th) * sin(ph), 6) AS y, round(r * cos(th), 6) AS z,
+round(sin(2 * pi() / (5 * r * 1.5)) * sin(1.5 * 8 * pi() * j / 18) * sin(1.5 * 16 * pi() * k / 31), 6) AS "F", round(r * sin(th) * cos(ph), 6) AS xx FROM p""")
 def sphere_generator(spark, d):
-    s = readers.sphere(spark, 3, 12)
+    """About 6,000 nodes: 11 radii, 19 nutations, 32 azimuths."""
+    s = readers.sphere(spark, 3, 6000, scale=(2.0, 1.0, 1.0), time=0.5)
     return s.select("zone_id", "node_id", *(r6(F.col(c)).alias(c) for c in ("x", "y", "z", "F", "xx")))
 
 
-@query(f"""WITH {NODES12[1:]}, q AS (SELECT id, (1 - power(power(2.0::DOUBLE, 0.1), i)) / (1 - power(2.0::DOUBLE, 1.1)) AS x, (1 - power(power(2.0::DOUBLE, 0.1), j)) / (1 - power(2.0::DOUBLE, 1.1)) AS y, (1 - power(power(2.0::DOUBLE, 0.1), k)) / (1 - power(2.0::DOUBLE, 1.1)) AS z FROM n)
-SELECT 0 AS zone_id, CAST(id AS BIGINT) AS node_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(x + 2 * y + 3 * z, 6) AS lin FROM q""")
+@query("""WITH n AS (SELECT id, id % 19 AS i, id // 19 AS j FROM (SELECT unnest(generate_series(0, 19 * 55 - 1)) AS id) t),
+p AS (SELECT *, 0.1 + i / 18.0::DOUBLE * (0.18 / 1.1 + i / 18.0::DOUBLE * (0.81 / 1.1)) AS r, radians(270 * j / 54.0::DOUBLE) AS ph FROM n)
+SELECT 0 AS zone_id, CAST(id AS BIGINT) AS node_id, round(r * cos(ph), 6) AS x, round(r * sin(ph), 6) AS y, round(sin(2 * pi() / (5 * r)) * sin(16 * pi() * j / 54), 6) AS "F", round(r * cos(ph), 6) AS xx FROM p""")
+def circle_generator(spark, d):
+    s = readers.sphere(spark, 2, 1000)
+    return s.select("zone_id", "node_id", *(r6(F.col(c)).alias(c) for c in ("x", "y", "F", "xx")))
+
+
+@query("""WITH n AS (SELECT id, id % 12 AS i, id // 12 % 12 AS j, id // 144 AS k FROM (SELECT unnest(generate_series(0, 1727)) AS id) t),
+q AS (SELECT id, 4 * (1 - power(power(2.0::DOUBLE, 0.1), i)) / (1 - power(2.0::DOUBLE, 1.1)) - 2 AS x, -2 + 4 * j / 11.0::DOUBLE AS y, -2 + 4 * k / 11.0::DOUBLE AS z FROM n),
+a AS (SELECT *, sqrt(x * x + y * y + z * z) AS r, sqrt(x * x + y * y) AS rxy FROM q),
+f AS (SELECT *, CASE WHEN abs(x) + abs(y) < 2e-5 THEN 0 ELSE atan2(y, x) END AS ph, CASE WHEN rxy + abs(z) < 2e-5 THEN 0 ELSE atan2(rxy, z) END AS th FROM a)
+SELECT 0 AS zone_id, CAST(id AS BIGINT) AS node_id, round(x, 6) AS x, round(3 * y, 6) AS y, round(z, 6) AS z,
+round(sin(2 * pi() / (5 * greatest(r, 1e-10))) * sin(8 * th) * sin(8 * ph), 6) AS "F", round(x + 2 * y + 3 * z, 6) AS lin FROM f""")
 def cube_generator(spark, d):
-    return readers.cube(spark, 3, 12, 2.0).select("zone_id", "node_id", *(r6(F.col(c)).alias(c) for c in ("x", "y", "z", "lin")))
+    c = readers.cube(spark, 3, 1728, half=2.0, ratios=(2.0, 1.0, 1.0), scale=(1.0, 3.0, 5.0))
+    return c.select("zone_id", "node_id", *(r6(F.col(c)).alias(c) for c in ("x", "y", "z", "F", "lin")))
 
 
 @query("""WITH p AS (SELECT id, (id % 8 - 4) / 8.0::DOUBLE AS x, (id // 8 % 8 - 4) / 8.0::DOUBLE AS y, (id // 64 + 1) / 8.0::DOUBLE AS z FROM (SELECT unnest(generate_series(0, 511)) AS id) t),
-t AS (SELECT id, x * cos(pi() * z / 2) - y * sin(pi() * z / 2) AS a, x * sin(pi() * z / 2) + y * cos(pi() * z / 2) AS b, z FROM p)
-SELECT CAST(id AS BIGINT) AS id, round(sin(pi() * a / z) * sin(pi() * b / z) * sin(1 / z) - z, 6) AS value FROM t""")
+t AS (SELECT id, cos(0.5 * pi() * z) * x + sin(0.5 * pi() * z) * y AS a, -sin(0.5 * pi() * z) * x + cos(0.5 * pi() * z) * y AS b, z FROM p)
+SELECT CAST(id AS BIGINT) AS id, round(sin(pi() * a / z) * sin(pi() * b / z) * sin(1 / z + pi() * 0.25) - z, 6) AS value FROM t""")
 def wave_function(spark, d):
     p = mesh.odometer(spark, [8, 8, 8], ["i", "j", "k"])
-    return p.select("id", r6(readers.waves((F.col("i") - 4) / 8, (F.col("j") - 4) / 8, (F.col("k") + 1) / 8, 0.0)).alias("value"))
+    return p.select("id", r6(readers.waves((F.col("i") - 4) / 8, (F.col("j") - 4) / 8, (F.col("k") + 1) / 8, 0.25)).alias("value"))
 
 
 # -- telemetry --------------------------------------------------------------------------------
@@ -873,17 +881,22 @@ def adaptive_quality_tele(spark, d):
     return stateful.adaptive_quality(tele(spark, d).withColumn("v", F.col("v") / 100), ["thread"], ["us", "n"], "v")
 
 
-CLICKS = """+e AS (SELECT n, thread, us // 1000000 % 400 + row_number() OVER (PARTITION BY thread ORDER BY us, n) * 150 AS ms, CASE WHEN row_number() OVER (PARTITION BY thread ORDER BY us, n) % 2 = 1 THEN 'press' ELSE 'release' END AS action, CASE WHEN v > 20 THEN 'left' ELSE 'right' END AS button, row_number() OVER (PARTITION BY thread ORDER BY us, n) AS k FROM tele),
-l AS (SELECT *, lag(action, 1) OVER w AS a1, lag(action, 2) OVER w AS a2, lag(action, 3) OVER w AS a3, lag(button, 1) OVER w AS b1, lag(button, 2) OVER w AS b2, lag(button, 3) OVER w AS b3, lag(ms, 1) OVER w AS m1, lag(ms, 3) OVER w AS m3 FROM e WINDOW w AS (PARTITION BY thread ORDER BY k)),
-c AS (SELECT *, action = 'release' AND a1 = 'press' AND b1 = button AND ms - m1 < 300 AS click FROM l)"""
+# The rule of the pressed left button, row by row: p and q are the times of the last press and the one before it.
+CLICKS = """+e AS (SELECT n, thread, k, us // 1000000 % 400 + k * 150 AS ms, CASE WHEN k % 7 = 3 THEN 4 WHEN k % 2 = 1 THEN CASE WHEN v > 20 THEN 1 ELSE 2 END ELSE 0 END AS flags FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY us, n) AS k FROM tele) t),
+g AS (SELECT thread, list({'n': n, 'ms': ms, 'f': flags, 'p': -100000, 'q': -100000, 'out': [{'n': n, 'c': false, 'd': false}]} ORDER BY k) AS l FROM e GROUP BY thread),
+f AS (SELECT thread, list_reduce(list_prepend({'n': 0, 'ms': -100000, 'f': 0, 'p': -100000, 'q': -100000, 'out': [{'n': 0, 'c': false, 'd': false}]}, l), lambda a, x: {'n': x.n, 'ms': x.ms, 'f': x.f,
+'p': CASE WHEN a.f = 0 AND x.f = 1 THEN x.ms WHEN x.f <> 0 AND x.f <> 1 THEN x.ms - 10000 ELSE a.p END,
+'q': CASE WHEN a.f = 0 AND x.f = 1 THEN a.p WHEN x.f <> 0 AND x.f <> 1 THEN x.ms - 10000 ELSE a.q END,
+'out': list_concat(a.out, [{'n': x.n, 'c': a.f = 1 AND x.f = 0 AND x.ms - a.p < 300, 'd': a.f = 1 AND x.f = 0 AND x.ms - a.q < 500}])}) AS r FROM g),
+o AS (SELECT unnest(r.out) AS o FROM f)"""
 
 
-@query(with_views("tele", body=CLICKS + " SELECT n, CASE WHEN a2 = 'release' AND a3 = 'press' AND b2 = button AND b3 = button AND ms - m3 < 500 THEN 'double' ELSE 'click' END AS gesture FROM c WHERE click"))
+@query(with_views("tele", body=CLICKS + " SELECT o.n AS n, o.c AS click, o.d AS double_click FROM o WHERE o.c OR o.d"))
 def double_click_tele(spark, d):
-    k = F.row_number().over(Window.partitionBy("thread").orderBy("us", "n"))
-    e = tele(spark, d).withColumn("k", k)
-    e = e.select("n", "thread", "k", (F.floor(F.col("us") / 1_000_000) % 400 + F.col("k") * 150).alias("ms"), F.when(F.col("k") % 2 == 1, "press").otherwise("release").alias("action"), F.when(F.col("v") > 20, "left").otherwise("right").alias("button"))
-    return stateful.clicks(e, ["thread"], ["k"], "ms", "action", "button").select("n", "gesture")
+    e = tele(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("thread").orderBy("us", "n")))
+    flags = F.when(F.col("k") % 7 == 3, 4).when(F.col("k") % 2 == 1, F.when(F.col("v") > 20, 1).otherwise(2)).otherwise(0)
+    e = e.select("n", "thread", "k", (F.floor(F.col("us") / 1_000_000) % 400 + F.col("k") * 150).alias("ms"), flags.alias("flags"))
+    return stateful.clicks(e, ["thread"], ["k"], "ms", "flags").select("n", "click", "double_click")
 
 
 @query(with_views("tele", body="SELECT n, round(v - lag(v) OVER (PARTITION BY thread, stage ORDER BY us, n), 4) AS d_v FROM tele"))
@@ -914,12 +927,15 @@ def push_throttle_tele(spark, d):
     return stateful.throttled(tele(spark, d).withColumn("ms", F.floor(F.col("us") / 1000)), ["thread"], "ms", 3_600_000)
 
 
-@query(with_views("tele", body="""+g AS (SELECT thread, list({'o': 0, 'k': 0, 's': 0, 'send': stage <> 'view'} ORDER BY us, n) AS l FROM tele GROUP BY thread),
-f AS (SELECT thread, list_reduce(list_prepend({'o': 0, 'k': 0, 's': 0, 'send': false}, l), lambda a, x: {'o': CASE WHEN x.send AND a.o < 3 THEN a.o + 1 WHEN NOT x.send THEN greatest(a.o - 1, 0) ELSE a.o END, 'k': CASE WHEN x.send AND a.o >= 3 THEN a.k + 1 ELSE a.k END, 's': CASE WHEN x.send AND a.o < 3 THEN a.s + 1 ELSE a.s END, 'send': false}) AS r FROM g)
-SELECT thread, r.s AS sent, r.k AS skipped, r.o AS open FROM f"""))
+@query(with_views("tele", body="""+k AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY us, n) AS k FROM tele),
+g AS (SELECT thread, list({'sent': 0, 'skipped': 0, 'c': CAST(k // 4 AS BIGINT), 'send': stage <> 'view'} ORDER BY k) AS l FROM k GROUP BY thread),
+f AS (SELECT thread, list_reduce(list_prepend({'sent': 0, 'skipped': 0, 'c': CAST(-1 AS BIGINT), 'send': false}, l), lambda a, x: {'sent': CASE WHEN x.send AND a.c + 3 > a.sent THEN a.sent + 1 ELSE a.sent END, 'skipped': CASE WHEN x.send AND a.c + 3 <= a.sent THEN a.skipped + 1 ELSE a.skipped END, 'c': CASE WHEN x.send THEN a.c ELSE x.c END, 'send': false}) AS r FROM g)
+SELECT thread, r.sent AS sent, r.skipped AS skipped, r.c AS confirmed FROM f"""))
 def back_pressure_tele(spark, d):
-    t = tele(spark, d).withColumn("kind", F.when(F.col("stage") == "view", "ack").otherwise("send"))
-    return stateful.pending(t, ["thread"], ["us", "n"], "kind")
+    """Views acknowledge all frames up to a number, everything else is a sender's tick."""
+    k = F.row_number().over(Window.partitionBy("thread").orderBy("us", "n"))
+    t = tele(spark, d).withColumn("kind", F.when(F.col("stage") == "view", "ack").otherwise("send")).withColumn("number", F.floor(k / 4))
+    return stateful.pending(t, ["thread"], ["us", "n"], "kind", "number")
 
 
 @query(with_views("tele", body="SELECT n, CASE WHEN stage = 'click' THEN 'subscribe' WHEN stage = 'view' THEN 'ack' ELSE 'unknown' END AS kind, CASE WHEN stage IN ('click', 'view') THEN CAST(node AS VARCHAR) END AS argument FROM tele"))
@@ -970,9 +986,9 @@ def uncovered_candidates_grid2(spark, d):
 
 @query(with_views("grid2", body="""+b AS (SELECT ix AS nx, iy AS ny, CASE WHEN ix < 8 THEN 0 ELSE 1 END AS half, avg(ix - p) AS d FROM grid2, (SELECT unnest([3.5, 10.5]) AS p) q GROUP BY 1, 2, 3),
 s AS (SELECT half, max(CASE WHEN d > 0 THEN d END) AS hi, max(CASE WHEN d < 0 THEN -d END) AS lo FROM b GROUP BY half)
-SELECT half, nx, ny, round(CASE WHEN d > 0 THEN d / hi WHEN d < 0 THEN d / lo ELSE 0 END, 6) AS value FROM b JOIN s USING (half)"""))
+SELECT half, nx, ny, round(CASE WHEN hi IS NULL OR lo IS NULL THEN d WHEN d > 0 THEN d / hi ELSE d / lo END, 6) AS value FROM b JOIN s USING (half)"""))
 def boundary_shape_grid2(spark, d):
-    """Signed distance of lattice nodes to two walls across x, scaled within each half."""
+    """Signed distance of lattice nodes to two walls across x, scaled within each half that has both signs."""
     g = grid2(spark, d).select(F.when(F.col("ix") < 8, 0).otherwise(1).alias("half"), F.col("ix").alias("nx"), F.col("iy").alias("ny"), "x", "y")
     walls = g.select("half", "nx", "ny", F.explode(F.array(F.lit(3.5), F.lit(10.5))).alias("p_x"), F.lit(0.0).alias("p_y"), F.lit(1.0).alias("n_x"), F.lit(0.0).alias("n_y"))
     out = fields.boundary_shape(walls, g, ["half"], 2)
@@ -1001,33 +1017,6 @@ def adaptive_quality_stream_tele(spark, d):
     return spark.table("octavo_quality")
 
 
-def pts3_prepared(spark: SparkSession, d: str):
-    from octavo.plans import prepare
-
-    return prepare.points_problem(pts3(spark, d), 3, "v", 3, 2)
-
-
-@query()
-def points_problem_pts3(spark, d):
-    """The whole preparation of scattered points: tree, stored subtrees, weighted means, roll-up."""
-    return pts3_prepared(spark, d).sparse
-
-
-@query()
-def image_problem_img2(spark, d):
-    from octavo.plans import prepare
-
-    return prepare.image_problem(img2(spark, d), 2, F.col("n") % 2 == 0, ["v"], 2, 4, [16, 16]).sparse
-
-
-@query()
-def exact_problem_waves(spark, d):
-    from octavo.plans import prepare
-
-    config = prepare.ExactConfig.merged('{"cell_count": {"x": 8, "y": 8, "z": 8}}', time_step_count=2, domain={"min": {"x": -1, "y": -1, "z": 0.1}, "max": {"x": 1, "y": 1, "z": 2.1}})
-    return prepare.exact_problem(spark, config, 3, 2, 3).sparse
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Weighted corner means of the 3-D points, each with its subtree's value range."""
     p = pts3(spark, d)
@@ -1035,3 +1024,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     root = [cells.right(F.least(F.col(n), F.lit(7)), 1).alias(f"b{n[1]}") for n in ("nx", "ny", "nz")]
     values = values.select("nx", "ny", "nz", "value", *root)
     return values.join(fields.field_range(values, ["bx", "by", "bz"]), ["bx", "by", "bz"])
+
+
+from octavo.plans import queries_files, queries_mesh  # noqa: E402, F401  (they register themselves)

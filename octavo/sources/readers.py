@@ -188,53 +188,90 @@ def _lerp(a: float, b: float, i: Column, n: int) -> Column:
     return F.lit(a) + (b - a) * i / max(1, n - 1)
 
 
-def sphere(spark: SparkSession, dim: int, n: int, r1: float = 1.0, r2: float = 2.0, angles: tuple[float, float] = (0.0, 180.0), time: float = 0.0) -> DataFrame:
-    """Nodes of a spherical shell (rings, radii graded towards r1), with the fields F and xx."""
-    ratio = r2 / r1
-    a = (r2 - r1) * (ratio - 1) / (ratio + 1)
-    b = 2 * a / (ratio - 1) if ratio != 1 else 0.0
-    rows = odometer(spark, [n] * dim, ["i", "j", "k"][:dim])
-    t = _lerp(0, 1, F.col("i"), n)
-    r = F.lit(r1) + t * (F.lit(b) + t * a)
-    rows = rows.withColumn("r", r)
-    wave = F.sin(F.lit(2 * np.pi) / (5 * F.col("r") * (1 + time)))
-    lo, hi = (np.deg2rad(x) for x in angles)
+def _written(rows: DataFrame, at: list[Column], scale: tuple[float, ...], value: Column, more: Column, name: str) -> DataFrame:
+    """Node table of a generated zone: scaled places, F and one more field."""
+    placed = (p * float(k) for p, k in zip(at, scale, strict=False))
+    return rows.select(F.lit(0).alias("zone_id"), F.col("id").alias("node_id"), *(p.alias(x) for p, x in zip(placed, axes(len(at)), strict=True)), value.cast("double").alias("F"), more.cast("double").alias(name))
+
+
+def sphere_counts(dim: int, nodes: float, r1: float = 0.1, r2: float = 1.0, theta: tuple[float, float] = (10.0, 170.0), phi: tuple[float, float] = (0.0, 270.0)) -> list[int]:
+    """Nodes along the radius (and nutation) and azimuth for about ``nodes`` in all; 2 ** dim nodes make one element."""
+    if dim == 1:
+        return [int(nodes + 0.5)]
+    thick, wide, high = 2 * (r2 - r1) / (r2 + r1), np.deg2rad(phi[1] - phi[0]), np.deg2rad(theta[1] - theta[0])
+    if abs(nodes - 2**dim) < 0.1:
+        return [2] * dim
+    arcs = [wide] if dim == 2 else [high, wide]
+    radial = int((thick ** (dim - 1) * nodes / float(np.prod(arcs))) ** (1 / dim) + 0.5)
+    return [radial, *(int(x * radial / thick + 0.5) for x in arcs)]
+
+
+def sphere(spark: SparkSession, dim: int, nodes: float = 1000.0, r1: float = 0.1, r2: float = 1.0, theta: tuple[float, float] = (10.0, 170.0), phi: tuple[float, float] = (0.0, 270.0), scale: tuple[float, float, float] = (1.0, 1.0, 1.0), time: float = 0.0) -> DataFrame:
+    """Nodes of a part of a spherical shell, radii graded towards r1, with the fields F and xx (x before scaling).
+
+    dim 1 is a radius, 2 a ring sector in azimuth, 3 a shell sector in nutation and azimuth (degrees). The
+    radius runs fastest, then the nutation.
+    """
+    counts = sphere_counts(dim, nodes, r1, r2, theta, phi)
+    steps = ["i", "j", "k"][:dim]
+    rows = odometer(spark, counts, steps)
+    grade = (r2 - r1) ** 2 / (r2 + r1)
+    t = _lerp(0, 1, F.col("i"), counts[0])
+    rows = rows.withColumn("r", F.lit(r1) + t * (F.lit(2 * r1 * (r2 - r1) / (r1 + r2)) + t * grade))
+    turn = lambda span, name, n: _lerp(*(float(np.deg2rad(x)) for x in span), F.col(name), n)
+    wave = lambda periods, name, n: F.sin((1 + time) * _lerp(0.0, 2 * periods * np.pi, F.col(name), n))
+    value = F.sin(F.lit(2 * np.pi) / (5 * F.col("r") * (1 + time)))
     if dim == 1:
-        at, value = [F.col("r")], wave
+        at = [F.col("r")]
     elif dim == 2:
-        theta = _lerp(lo, hi, F.col("j"), n)
-        at = [F.col("r") * F.cos(theta), F.col("r") * F.sin(theta)]
-        value = wave * F.sin((1 + time) * _lerp(0, 8 * np.pi, F.col("j"), n))
+        azimuth = turn(phi, "j", counts[1])
+        at = [F.col("r") * F.cos(azimuth), F.col("r") * F.sin(azimuth)]
+        value = value * wave(8, "j", counts[1])
     else:
-        theta, phi = _lerp(lo, hi, F.col("j"), n), _lerp(0.0, 2 * np.pi, F.col("k"), n)
-        at = [F.col("r") * F.sin(theta) * F.cos(phi), F.col("r") * F.sin(theta) * F.sin(phi), F.col("r") * F.cos(theta)]
-        value = wave * F.sin((1 + time) * _lerp(0, 8 * np.pi, F.col("j"), n)) * F.sin((1 + time) * _lerp(0, 16 * np.pi, F.col("k"), n))
-    rows = rows.select(F.lit(0).alias("zone_id"), F.col("id").alias("node_id"), *(p.alias(x) for p, x in zip(at, axes(dim), strict=True)), value.alias("F"))
-    return rows.withColumn("xx", F.col("x") * F.col("x"))
-
-
-def cube(spark: SparkSession, dim: int, n: int, ratio: float = 1.0, time: float = 0.0) -> DataFrame:
-    """Nodes of a unit cube graded geometrically (last step ``ratio`` times the first), with the fields F and lin = x + 2y + 3z."""
-    q = ratio ** (1 / max(1, n - 2))
-    place = lambda i: (i / max(1, n - 1)) if q == 1 else (1 - F.pow(F.lit(q), i)) / (1 - q ** (n - 1))
-    names = ["i", "j", "k"][:dim]
-    rows = odometer(spark, [n] * dim, names)
-    rows = rows.select(F.lit(0).alias("zone_id"), F.col("id").alias("node_id"), *(place(F.col(i)).cast("double").alias(a) for i, a in zip(names, axes(dim), strict=True)))
-    r = F.sqrt(sum((F.col(a) * F.col(a) for a in axes(dim)[1:]), F.col("x") * F.col("x")) + 0.01)
-    value = F.sin(F.lit(2 * np.pi) / (5 * r * (1 + time)))
+        nutation, azimuth = turn(theta, "j", counts[1]), turn(phi, "k", counts[2])
+        at = [F.col("r") * F.sin(nutation) * F.cos(azimuth), F.col("r") * F.sin(nutation) * F.sin(azimuth), F.col("r") * F.cos(nutation)]
+        value = value * wave(4, "j", counts[1]) * wave(8, "k", counts[2])
+    return _written(rows, at, scale, value, at[0], "xx")
+
+
+def graded(i: Column, intervals: int, ratio: float, start: float, length: float) -> Column:
+    """Place of node i of a stretch whose steps grow geometrically, the last ``ratio`` times the first."""
+    q = ratio ** (1 / max(1, intervals - 1))
+    if q == 1:
+        return F.lit(float(start)) + length * i / max(1, intervals)
+    return F.lit(float(start)) + length * (1 - F.pow(F.lit(q), i)) / (1 - q**intervals)
+
+
+def cube(spark: SparkSession, dim: int, nodes: float = 1000.0, half: float = 1.0, ratios: tuple[float, float, float] = (1.0, 1.0, 1.0), scale: tuple[float, float, float] = (1.0, 1.0, 1.0), time: float = 0.0) -> DataFrame:
+    """Nodes of the cube [-half, half] ** dim (in one dimension, of [0, 1]) graded by ``ratios``, with F and lin = x + 2 y + 3 z.
+
+    x runs fastest. In one dimension the second field is called xx, and is x; in three, z is not scaled.
+    """
+    n = int(nodes ** (1 / dim) + 0.5)
+    steps = ["i", "j", "k"][:dim]
+    rows = odometer(spark, [n] * dim, steps)
+    start, length = (0.0, 1.0) if dim == 1 else (-half, 2 * half)
+    names = axes(dim)
+    rows = rows.select("id", *(graded(F.col(i), n - 1, f, start, length).cast("double").alias(a) for i, a, f in zip(steps, names, ratios, strict=False)))
+    at = [F.col(a) for a in names]
+    near = 1e-5 * half
+    flat = F.sqrt(at[0] * at[0] + at[1] * at[1]) if dim > 1 else None
+    r = at[0] if dim == 1 else flat if dim == 2 else F.sqrt(at[0] * at[0] + at[1] * at[1] + at[2] * at[2])
+    value = F.sin(F.lit(2 * np.pi) / (5 * F.greatest(r * (1 + time), F.lit(1e-10))))
     if dim > 1:
-        value = value * F.sin((1 + time) * 8 * F.atan2(F.col("y"), F.col("x")))
+        azimuth = F.when(F.abs(at[0]) + F.abs(at[1]) < near, 0.0).otherwise(F.atan2(at[1], at[0]))
+        value = value * F.sin((1 + time) * 8 * azimuth)
     if dim > 2:
-        value = value * F.sin((1 + time) * 8 * F.acos(F.col("z") / r))
-    linear = sum(((d + 1) * F.col(a) for d, a in enumerate(axes(dim)[1:], 1)), F.col("x") * 1.0)
-    return rows.withColumn("F", value).withColumn("lin", linear)
+        nutation = F.when(flat + F.abs(at[2]) < near, 0.0).otherwise(F.atan2(flat, at[2]))
+        value = value * F.sin((1 + time) * 8 * nutation)
+    linear = at[0] if dim == 1 else at[0] + 2 * at[1] if dim == 2 else at[0] + 2 * at[1] + 3 * at[2]
+    return _written(rows, at, scale if dim < 3 else (scale[0], scale[1], 1.0), value, linear, "xx" if dim == 1 else "lin")
 
 
 def waves(x: Column, y: Column, z: Column, t: float | Column) -> Column:
-    """Multiscale waves: sin(pi X / z) sin(pi Y / z) sin(1 / z + pi t) - z, with (X, Y) turned by pi z / 2."""
-    a = F.lit(np.pi) * z / 2
-    turned = x * F.cos(a) - y * F.sin(a), x * F.sin(a) + y * F.cos(a)
-    return F.sin(F.lit(np.pi) * turned[0] / z) * F.sin(F.lit(np.pi) * turned[1] / z) * F.sin(1 / z + np.pi * t) - z
+    """Multiscale waves: sin(pi X / z) sin(pi Y / z) sin(1 / z + pi t) - z, with X = c x + s y and Y = c y - s x of the angle pi z / 2."""
+    s, c = F.sin(F.lit(np.pi / 2) * z), F.cos(F.lit(np.pi / 2) * z)
+    return F.sin(F.lit(np.pi) * (c * x + s * y) / z) * F.sin(F.lit(np.pi) * (c * y - s * x) / z) * F.sin(1 / z + np.pi * t) - z
 
 
 def with_times(nodes: DataFrame, steps: list[float]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from octavo.functions.cells import axes, index_names
 from octavo.sources import formats
+from octavo.storage import remove
 
 FORMAT_VERSION = 1
 
@@ -42,9 +44,10 @@ def read_metadata(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame,
 def write_field(values: DataFrame, path: str, field: str, frame: int, dim: int) -> bool:
     """One field of one frame, in order of subtree for row-group pruning; left alone if it is there already."""
     at = f"{path}/field={field}/frame={frame}"
-    if exists(values.sparkSession, at):
+    if exists(values.sparkSession, f"{at}/_SUCCESS"):
         return False
-    values.repartitionByRange("level", *index_names(dim)).sortWithinPartitions("level", *index_names(dim)).write.parquet(at)
+    # what a failed write has left behind is written anew
+    values.repartitionByRange("level", *index_names(dim)).sortWithinPartitions("level", *index_names(dim)).write.mode("overwrite").parquet(at)
     return True
 
 
@@ -118,14 +121,33 @@ def read_bounds(text: str) -> tuple[list[float], list[float]]:
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """A frame's pixels replaced at once: written aside, then renamed over the old ones."""
+    """A frame's pixels replaced at once: each is written whole beside the others, and a reader takes the newest that is whole.
+
+    Nothing that a reader may have begun on is changed; what is older than the one before goes.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    system = jvm(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(jvm(path), True)
-    if not system.rename(jvm(f"{path}.new"), jvm(path)):
-        raise OSError(f"could not put {path} in place")
+    found = _whole(spark, path)
+    df.write.parquet(f"{path}/v{found[-1] + 1 if found else 0:012d}")
+    for old in found[:-1]:
+        remove(spark, f"{path}/v{old:012d}")
+
+
+def _whole(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a frame's versions that are written to the end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(p):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(p)]
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d{12}", n) and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def read_swapped(spark: SparkSession, path: str) -> DataFrame:
+    """The frame that was put in place last."""
+    found = _whole(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v{found[-1]:012d}")
 
 
 def telemetry_lines(rows: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ The batch forms carry an explicit total order, so a batch equals a stream run ov
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Throttle, pending frames, moving average, quality control, click and double-click times.
 INTERVAL_MS, MOST_PENDING, AVERAGED = 40, 3, 20
 LOWER_ABOVE, RAISE_BELOW, QUALITY = 0.5, 0.4, (10, 100)
-CLICK_MS, DOUBLE_MS = 300, 500
+CLICK_MS, DOUBLE_MS, LONG_AGO_MS, LEFT = 300, 500, 10_000, 1
 
 
 def latest(frames: DataFrame, key: list[str], number: str) -> DataFrame:
@@ -23,26 +24,69 @@ def latest(frames: DataFrame, key: list[str], number: str) -> DataFrame:
     return frames.groupBy(*key).agg(F.max_by(F.struct(*others), number).alias("f")).select(*key, "f.*")
 
 
+def folded(rows: DataFrame, key: list[str], order: list[str], columns: list[str], schema: str, begin: Callable[[], list], step: Callable[[list, pd.DataFrame], list[tuple]], finish: Callable[[list], list[tuple]]) -> DataFrame:
+    """A fold over each key's rows in their order that can't be said in windows: key and the fields that step and finish return.
+
+    Rows come sorted, batch by batch, and only the state of one key is held, however long its history is.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, begin()
+        names = [*key, *(f.split()[0] for f in schema.split(","))]
+        for df in frames:
+            out: list[tuple] = []
+            if len(df):
+                keys = df[key].astype(object).where(df[key].notna(), None)
+                cut = np.flatnonzero((keys != keys.shift()).to_numpy().any(axis=1) | (np.arange(len(df)) == 0))
+                for a, z in zip(cut, np.append(cut[1:], len(df)), strict=True):
+                    k = tuple(keys.iloc[a])
+                    if k != now:
+                        if now is not None:
+                            out += [(*now, *r) for r in finish(state)]
+                        now, state = k, begin()
+                    out += [(*k, *r) for r in step(state, df.iloc[a:z])]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now is not None and (out := [(*now, *r) for r in finish(state)]):
+            yield pd.DataFrame(out, columns=names)
+
+    used = list(dict.fromkeys([*key, *order, *columns]))
+    return rows.select(*used).repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), schema]))
+
+
 def throttled(events: DataFrame, key: list[str], ms: str, interval: int = INTERVAL_MS) -> DataFrame:
-    """Events that a sender lets through: at least ``interval`` after the last one sent (a fold over each key's events)."""
-    rows = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.col(ms))).alias("t"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
-    go = lambda acc, t: acc["last"].isNull() | (t - acc["last"] >= interval)
-    step = lambda acc, t: F.when(go(acc, t), F.struct(t.alias("last"), F.array_append(acc["sent"], t).alias("sent"))).otherwise(acc)
-    return rows.select(*key, F.explode(F.aggregate("t", zero, step)["sent"]).alias(ms))
+    """Events that a sender lets through: at least ``interval`` after the last one sent."""
+
+    def step(state: list, df: pd.DataFrame) -> list[tuple]:
+        t = df[ms].to_numpy()
+        at, out = 0 if state[0] is None else int(np.searchsorted(t, state[0] + interval)), []
+        while at < len(t):
+            state[0] = int(t[at])
+            out.append((state[0],))
+            at = int(np.searchsorted(t, state[0] + interval))
+        return out
 
+    return folded(events.where(F.col(ms).isNotNull()).withColumn(ms, F.col(ms).cast("long")), key, [ms], [ms], f"{ms} bigint", lambda: [None], step, lambda state: [])
 
-def pending(events: DataFrame, key: list[str], order: list[str], kind: str, most: int = MOST_PENDING) -> DataFrame:
-    """Sends ('send') and acknowledgements ('ack') per client: how many sends were skipped, since ``most`` were open."""
-    rows = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(kind).alias("_k")))).alias("e"))
-    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("skipped"), F.lit(0).alias("sent"))
 
-    def step(acc: Column, x: Column) -> Column:
-        send, full = x["_k"] == "send", acc["open"] >= most
-        opened = F.when(send & ~full, acc["open"] + 1).when(x["_k"] == "ack", F.greatest(acc["open"] - 1, F.lit(0))).otherwise(acc["open"])
-        return F.struct(opened.alias("open"), F.when(send & full, acc["skipped"] + 1).otherwise(acc["skipped"]).alias("skipped"), F.when(send & ~full, acc["sent"] + 1).otherwise(acc["sent"]).alias("sent"))
+def pending(events: DataFrame, key: list[str], order: list[str], kind: str, number: str, most: int = MOST_PENDING) -> DataFrame:
+    """Ticks of a sender ('send') and acknowledgements ('ack', of the frame ``number``) per client: sent, skipped, confirmed.
 
-    return rows.select(*key, F.aggregate("e", zero, step).alias("s")).select(*key, "s.sent", "s.skipped", "s.open")
+    Frames are numbered from 0 as they are sent. An acknowledgement confirms all frames up to its number, and replaces
+    what was confirmed before; a tick is skipped while the confirmed number (-1 at first) is ``most`` or more behind
+    that of the next frame.
+    """
+
+    def step(state: list, df: pd.DataFrame) -> list[tuple]:
+        for what, n in zip(df[kind].tolist(), df[number].tolist(), strict=True):
+            if what == "ack" and n is not None and n == n:
+                state[2] = int(n)
+            elif what == "send":
+                state[1 if state[2] + most <= state[0] else 0] += 1
+        return []
+
+    return folded(events, key, order, [kind, number], "sent bigint, skipped bigint, confirmed bigint", lambda: [0, 0, -1], step, lambda state: [tuple(state)])
 
 
 def moving_average(rows: DataFrame, key: list[str], order: list[str], value: str, n: int = AVERAGED) -> DataFrame:
@@ -51,16 +95,29 @@ def moving_average(rows: DataFrame, key: list[str], order: list[str], value: str
     return rows.withColumn("average", F.sum(value).over(w) / n)
 
 
-def quality_step(quality: Column, average: Column) -> Column:
-    moved = F.when(average > LOWER_ABOVE, quality - 1).when(average < RAISE_BELOW, quality + 1).otherwise(quality)
-    return F.greatest(F.lit(QUALITY[0]), F.least(F.lit(QUALITY[1]), moved))
+#: Samples of one client that are folded as one array.
+PIECE = 4096
 
 
 def adaptive_quality(rows: DataFrame, key: list[str], order: list[str], value: str, start: int = 50) -> DataFrame:
-    """The quality after all of a client's samples: one down while the moving average is high, one up while it is low."""
+    """The quality after all of a client's samples: one down while the moving average is high, one up while it is low.
+
+    A step is a shift between two bounds, and so is any number of steps in a row: a client's samples are folded in
+    pieces of bounded size, and then the pieces.
+    """
     averages = moving_average(rows, key, order, value)
-    by = averages.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, "average"))).alias("s"))
-    return by.select(*key, F.aggregate("s", F.lit(start), lambda q, x: quality_step(q, x["average"])).alias("quality"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    shift = F.when(F.col("average") > LOWER_ABOVE, -1).when(F.col("average") < RAISE_BELOW, 1).otherwise(0)
+    low, high = (F.lit(q) for q in QUALITY)
+    cut = lambda x: F.greatest(low, F.least(high, x))
+    whole = F.struct(F.lit(0).alias("s"), F.lit(-(1 << 30)).alias("lo"), F.lit(1 << 30).alias("hi"))
+    moved = lambda f, d: F.struct((f["s"] + d).alias("s"), cut(f["lo"] + d).alias("lo"), cut(f["hi"] + d).alias("hi"))
+    pieces = averages.select(*key, number.alias("_n"), shift.alias("_d")).withColumn("_p", F.floor(F.col("_n") / PIECE))
+    pieces = pieces.groupBy(*key, "_p").agg(F.sort_array(F.collect_list(F.struct("_n", "_d"))).alias("_l"))
+    pieces = pieces.select(*key, "_p", F.aggregate("_l", whole, lambda f, x: moved(f, x["_d"])).alias("_f"))
+    by = pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_p", "_f"))).alias("_l"))
+    after = F.aggregate("_l", F.lit(start), lambda q, x: F.greatest(x["_f"]["lo"], F.least(x["_f"]["hi"], q + x["_f"]["s"])))
+    return by.select(*key, after.alias("quality"))
 
 
 def adaptive_quality_stream(stream: DataFrame, key: str, value: str, start: int = 50) -> DataFrame:
@@ -69,13 +126,13 @@ def adaptive_quality_stream(stream: DataFrame, key: str, value: str, start: int
     def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         ring, at, quality = state.get if state.exists else ([0.0] * AVERAGED, 0, start)
         ring = list(ring)
-        for df in frames:
-            for v in df.sort_values("order")[value]:
-                ring[at] = float(v)
-                at = (at + 1) % AVERAGED
-                average = sum(ring) / AVERAGED
-                quality += -1 if average > LOWER_ABOVE else 1 if average < RAISE_BELOW else 0
-                quality = max(QUALITY[0], min(QUALITY[1], quality))
+        # a key's rows of one micro-batch come in any number of frames, and only together in their order
+        for v in pd.concat(list(frames)).sort_values("order", kind="stable")[value].to_numpy(float):
+            ring[at] = float(v)
+            at = (at + 1) % AVERAGED
+            average = sum(ring) / AVERAGED
+            quality += -1 if average > LOWER_ABOVE else 1 if average < RAISE_BELOW else 0
+            quality = max(QUALITY[0], min(QUALITY[1], quality))
         state.update((ring, at, quality))
         yield pd.DataFrame({key: [k[0]], "quality": [quality]})
 
@@ -97,14 +154,25 @@ def dispatched(messages: DataFrame, text: str) -> DataFrame:
     return messages.select("*", kind.alias("kind"), argument.alias("argument"))
 
 
-def clicks(events: DataFrame, key: list[str], order: list[str], ms: str, action: str, button: str) -> DataFrame:
-    """Releases that are clicks (soon after the press before) or double clicks (soon after the press before that), of one button."""
+def clicks(events: DataFrame, key: list[str], order: list[str], ms: str, flags: str) -> DataFrame:
+    """Releases of the left button that are clicks, double clicks or both: the events with ``click`` and ``double_click``.
+
+    flags: the buttons and keys held (LEFT: the left button alone). A release is a click soon after its press, and a
+    double click soon after the press before that one, however long the second press was. Any other button or key
+    in between makes both presses void.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
-    lag = lambda c, n: F.lag(c, n).over(w)
-    same = lambda n: lag(button, n) == F.col(button)
-    click = (F.col(action) == "release") & (lag(action, 1) == "press") & same(1) & (F.col(ms) - lag(ms, 1) < CLICK_MS)
-    double = click & (lag(action, 2) == "release") & (lag(action, 3) == "press") & same(2) & same(3) & (F.col(ms) - lag(ms, 3) < DOUBLE_MS)
-    return events.withColumn("gesture", F.when(double, "double").when(click, "click")).where("gesture is not null")
+    now, before = F.coalesce(F.col(flags), F.lit(0)), F.coalesce(F.lag(flags).over(w), F.lit(0))
+    rows = events.withColumn("_press", (before == 0) & (now == LEFT)).withColumn("_release", (before == LEFT) & (now == 0))
+    rows = rows.withColumn("_void", F.sum(F.when((now != 0) & (now != LEFT), 1).otherwise(0)).over(w))
+    own = Window.partitionBy(*key, "_void").orderBy(*order)
+    rows = rows.withColumn("_at", F.when(F.col("_press"), F.col(ms)))
+    rows = rows.withColumn("_last", F.last("_at", ignorenulls=True).over(own))
+    earlier = F.last("_at", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_first", F.last(F.when(F.col("_press"), F.coalesce(earlier, F.col(ms) - LONG_AGO_MS)), ignorenulls=True).over(own))
+    soon = lambda since, limit: F.coalesce(F.col(ms) - F.col(since) < limit, F.lit(False))
+    rows = rows.where("_release").withColumn("click", soon("_last", CLICK_MS)).withColumn("double_click", soon("_first", DOUBLE_MS))
+    return rows.where("click or double_click").drop("_press", "_release", "_void", "_at", "_last", "_first")
 
 
 def drag(events: DataFrame, key: list[str], order: list[str], names: list[str]) -> DataFrame:

@@ -1,5 +1,8 @@
 """Invariants of trees, fields, interpolation, dense fill, views and state."""
 
+import shutil
+import tempfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -231,7 +234,7 @@ def test_parameters():
     c = prepare.ExactConfig.merged('{"time_step": 0.5, "odd": 1}', time_step_count=4)
     assert (c.time_step, c.time_step_count, c.init_time) == (0.5, 4, 0.0)
     p = prepare.Parameters()
-    assert (p.depth, p.max_level, p.refine, p.dim, p.boundary, p.threads) == (7, 20, 1.0, 3, True, 1)
+    assert (p.depth, p.max_level, p.refine, p.boundary_refine, p.dim, p.boundary, p.threads) == (7, 20, 1.0, 1, 3, True, 1)
     prepare.register("half", lambda x, y, z, t: x / 2)
     assert "half" in prepare.FUNCTIONS
 
@@ -247,6 +250,36 @@ def test_command_line_modes(spark, tmp_path):
     out = str(tmp_path / "out")
     assert prepare.run(spark, prepare.Parameters(mode="mesh", mesh_file=path, output=out, depth=3)).count() > 0
     assert prepare.run(spark, prepare.Parameters(mode="meta_info", output=out, dim=2)).count() > 0
+    from octavo.sources import readers, writers
+
+    field = writers.read_field(spark, f"{out}/fields", "F", 0)
+    # the field is x + y, and so it is at every node inside of the mesh
+    top = field.where("level = 0").collect()
+    assert top and all(0 <= r.value <= 16 for r in top)
+    assert {r.field for r in spark.read.parquet(f"{out}/fields").select("field").distinct().collect()} == {"shape", "F"}
+    steps, rows = readers.read_field_info("\n".join(r.value for r in spark.read.text(f"{out}/fields_info").collect()) + "\n")
+    assert steps == 1 and rows[0][:3] == ("shape", -1.0, 1.0) and rows[1][0] == "F" and 0 <= rows[1][1] < rows[1][2] <= 16
+    # several frames and fields, in jobs of two frames; the map is that of frame 0
+    (tmp_path / "run").mkdir()
+    grid = np.stack([x.ravel(), y.ravel(), (x + y).ravel(), (x - y).ravel()], 1)
+    for i in range(3):
+        formats.write_binary_mesh(str(tmp_path / "run" / f"run_t{i:06d}.bin"), ["x", "y", "F", "G"], [([9, 9], grid * [1, 1, i + 1, 1])])
+    out = str(tmp_path / "out_frames")
+    prepare.run(spark, prepare.Parameters(mode="mesh", mesh_file=str(tmp_path / "run.bin"), output=out, depth=2, max_level=3, refine=0.5, boundary=False, threads=2))
+    frames = {(r.field, r.frame): (r.n, r.s) for r in spark.read.parquet(f"{out}/fields").groupBy("field", "frame").agg(F.count("*").alias("n"), F.sum("value").alias("s")).collect()}
+    assert set(frames) == {(f, i) for f in "FG" for i in range(3)} and len({n for n, _ in frames.values()}) == 1
+    assert abs(frames["F", 2][1] - 3 * frames["F", 0][1]) < 1e-6 and abs(frames["G", 2][1] - frames["G", 0][1]) < 1e-6
+    assert spark.read.text(f"{out}/fields_info").first()[0] == "time_steps\t3"
+    # a voxel image and an analytic problem
+    axis = np.arange(9.0)
+    formats.write_rect_grid(str(tmp_path / "i.grid"), formats.RectGrid([9, 9], [axis, axis], {"p": np.arange(64.0)}))
+    out = str(tmp_path / "out_image")
+    assert prepare.run(spark, prepare.Parameters(mode="image", mesh_file=str(tmp_path / "i.grid"), output=out, dim=2, depth=2, centre="4,4", radius=3)).count() > 0
+    assert {r.field for r in spark.read.parquet(f"{out}/fields").select("field").distinct().collect()} == {"shape", "p", "coord_x", "coord_y"}
+    (tmp_path / "e.json").write_text('{"cell_count": {"x": 4, "y": 4, "z": 4}, "time_step_count": 2, "domain": {"min": {"x": -1, "y": -1, "z": 0.1}, "max": {"x": 1, "y": 1, "z": 2.1}}}')
+    out = str(tmp_path / "out_exact")
+    assert prepare.run(spark, prepare.Parameters(mode="exact", config=str(tmp_path / "e.json"), output=out, dim=3, depth=2)).count() == 1
+    assert spark.read.parquet(f"{out}/fields").groupBy("frame").count().orderBy("frame").collect() == [(0, 125), (1, 125)]
     with pytest.raises(ValueError):
         prepare.run(spark, prepare.Parameters(mode="merge"))
 
@@ -263,12 +296,89 @@ def test_telemetry_errors(spark):
     assert telemetry.legend()[0] == ("ClearViewport", 0)
 
 
+def test_fixed_formulas(spark):
+    """Values worked out by hand from the formulas."""
+    from octavo.functions import colors
+    from octavo.sources import readers
+
+    one = spark.range(1)
+    assert abs(one.select(readers.waves(F.lit(0.3), F.lit(0.2), F.lit(0.5), 0.0)).first()[0] + 0.8110) < 1e-4
+    assert readers.sphere_counts(3, 8) == [2, 2, 2] and readers.sphere_counts(2, 4) == [2, 2] and readers.sphere_counts(1, 7) == [7]
+    line = readers.sphere(spark, 1, 3, r1=1.0, r2=3.0, scale=(2.0, 1.0, 1.0)).orderBy("node_id").collect()
+    # steps grow with the radius: a = 2 * 2 / 4 = 1, b = 2 * 1 * 2 / 4 = 1, so r(1/2) = 1 + 0.5 * 1.5
+    assert [round(r.xx, 6) for r in line] == [1.0, 1.75, 3.0] and [r.x for r in line] == [2 * r.xx for r in line]
+    flat = readers.cube(spark, 1, 5, ratios=(8.0, 1.0, 1.0)).orderBy("node_id").collect()
+    assert [round(r.xx * 15, 6) for r in flat] == [0, 1, 3, 7, 15] and abs(flat[0].F - np.sin(2 * np.pi / 5e-10)) < 1e-6
+    square = readers.cube(spark, 2, 9, half=2.0).where("node_id = 4").first()
+    assert (square.x, square.y, square.lin) == (0, 0, 0) and square.F == 0  # no angle at the middle
+    # a light from behind: the normal turns to it, and shines back
+    v = lambda *x: [F.lit(float(i)) for i in x]
+    turned = colors.facing(v(0, 0, -1), v(0, 0, 1))
+    assert one.select(colors.blinn(turned, v(0, 0, 1), v(0, 0, 1), 0.1, 0.5, 0.25, 8.0)).first()[0] == 0.85
+    # a light at right angles reaches nothing, so there is no highlight either
+    assert abs(one.select(colors.blinn(v(0, 0, 1), v(1, 0, 0), v(0, 0, 1), 0.1, 0.5, 0.25, 8.0)).first()[0] - 0.1) < 1e-12
+    light = {"pos": (0, 0, 5), "ambient": (0.1, 0.1, 0.1), "diffuse": (1, 0.5, 0), "specular": (0.2, 0.2, 0.2)}
+    shade = one.select(*colors.shaded(v(0, 0, 1), v(0, 0, 9), v(0, 0, 0), v(0.5, 0.5, 0.5), [light, light])).first()
+    assert [round(x, 9) for x in shade] == [1.0, 0.9, 0.4]
+
+
+def test_clicks(spark):
+    """Press, release, press, a long hold, release: no click, but a double click; another button makes both presses void."""
+    states = [(0, 1), (50, 0), (100, 1), (480, 0), (600, 1), (700, 0), (720, 1), (740, 4), (760, 0), (800, 1), (850, 0)]
+    e = spark.createDataFrame([(1, ms, f) for ms, f in states], "k int, ms long, flags int")
+    got = {r.ms: (r.click, r.double_click) for r in stateful.clicks(e, ["k"], ["ms"], "ms", "flags").collect()}
+    assert got == {50: (True, False), 480: (False, True), 700: (True, False), 850: (True, False)}
+
+
+def test_folds_do_not_depend_on_batches(spark):
+    """Quality in pieces, and as a stream whose groups arrive in many frames."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, float(v)) for k, (i, v) in zip(rng.integers(0, 2, 400), enumerate(rng.random(400)), strict=True)]
+    df = spark.createDataFrame(rows, "k int, order long, v double")
+
+    def plain(values):
+        ring, q = [0.0] * 20, 50
+        for n, v in enumerate(values):
+            ring[n % 20] = v
+            a = sum(ring) / 20
+            q = max(10, min(100, q - (a > 0.5) + (a < 0.4)))
+        return q
+
+    want = {k: plain([v for kk, _, v in rows if kk == k]) for k in (0, 1)}
+    old, stateful.PIECE = stateful.PIECE, 7
+    try:
+        assert {r.k: r.quality for r in stateful.adaptive_quality(df, ["k"], ["order"], "v").collect()} == want
+    finally:
+        stateful.PIECE = old
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        path = tempfile.mkdtemp()
+        df.orderBy(F.desc("order")).write.mode("overwrite").parquet(f"{path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{path}/in")
+        q = stateful.adaptive_quality_stream(stream, "k", "v").writeStream.outputMode("update").format("memory").queryName("folds_test").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert {r.k: r.quality for r in spark.table("folds_test").collect()} == want
+        t = spark.createDataFrame([(1, 10 * i) for i in range(200)], "k int, ms long")
+        assert sorted(r.ms for r in stateful.throttled(t, ["k"], "ms").collect()) == list(range(0, 2000, 40))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        shutil.rmtree(path, ignore_errors=True)
+
+
+def test_hot_root(spark, points):
+    """Every point lies below the root; what meets it are the sums of its blocks, not the points."""
+    many = points.drop("id").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    made = prepare.points_problem(many, 3, "one", 3, 2)
+    assert made.sparse.where("abs(value - 7) > 1e-9").count() == 0
+
+
 def test_throttle_and_pressure(spark):
     e = spark.createDataFrame([(1, t) for t in (0, 10, 39, 40, 41, 80, 200)], "k int, ms long")
     assert sorted(r.ms for r in stateful.throttled(e, ["k"], "ms").collect()) == [0, 40, 80, 200]
-    kinds = ["send"] * 5 + ["ack", "send", "ack", "ack", "ack", "ack", "send"]
-    p = spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "k int, o int, kind string")
-    assert tuple(stateful.pending(p, ["k"], ["o"], "kind").first()) == (1, 5, 2, 1)
+    # two frames before any is confirmed; the acknowledgement of frame 1 confirms frame 0 as well
+    kinds = [("send", None)] * 4 + [("ack", 1)] + [("send", None)] * 3 + [("ack", 0), ("send", None), ("ack", 3), ("send", None)]
+    p = spark.createDataFrame([(1, i, k, n) for i, (k, n) in enumerate(kinds)] + [(2, 0, "ack", 5)], "k int, o int, kind string, number long")
+    assert sorted(map(tuple, stateful.pending(p, ["k"], ["o"], "kind", "number").collect())) == [(1, 5, 4, 3), (2, 0, 0, 5)]
     r = stateful.Restartable(spark, "frames")
     assert r.restart(lambda: 1) == 1 and r.restart(lambda: 2) == 2 and r.number == 2
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

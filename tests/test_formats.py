@@ -166,7 +166,11 @@ def test_tables(spark, tmp_path):
     assert writers.read_field(spark, str(tmp_path / "f"), "p", 0).count() == 2
     writers.swap_in(values, str(tmp_path / "frame"))
     writers.swap_in(values.limit(1), str(tmp_path / "frame"))
-    assert spark.read.parquet(str(tmp_path / "frame")).count() == 1
+    assert writers.read_swapped(spark, str(tmp_path / "frame")).count() == 1
+    (tmp_path / "frame" / "v000000000002").mkdir()  # a write that did not come to its end
+    assert writers.read_swapped(spark, str(tmp_path / "frame")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        writers.read_swapped(spark, str(tmp_path / "none"))
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "from string, to string")
     assert writers.graph_dot(edges) == 'digraph {\n  "a" -> "b";\n  "b" -> "c";\n}\n'
     writers.write_tsv(values, str(tmp_path / "t"))
