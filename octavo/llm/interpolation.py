@@ -92,7 +92,7 @@ def parts_of(ids: pa.Array) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """Shards: a number, whether they are of the deleted part, and the ids and texts of some megabytes, compressed."""
+    """Shards: a number (odd for those of the deleted part), and the ids and texts of some megabytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -101,7 +101,8 @@ def dealt(docs: DataFrame, text: str, id_col: str) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as writer:
                 writer.write(rows)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([deleted]), pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())], ["shard", "deleted", "a"])
+            number = uuid.uuid4().int >> 66 << 1 | deleted
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())], ["shard", "a"])
 
         held: list[pa.RecordBatch] = []  # rows of the deleted part, until there are as many as in other shards
         for shard in shards(batches, text, SHARD):
@@ -116,7 +117,7 @@ def dealt(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         if held:
             yield packed(pa.Table.from_batches(held), True)
 
-    return docs.select(id_col, text).mapInArrow(run, "shard bigint, deleted boolean, a binary")
+    return docs.select(id_col, text).mapInArrow(run, "shard bigint, a binary")
 
 
 def unpacked(data: bytes) -> pa.RecordBatch:
@@ -183,7 +184,7 @@ def counted(made: DataFrame, network: Network, bits: int, order: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for name, deleted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = unpacked(data.as_py())
                 tokens, train = Tokens(rows.column(1), bits, order), parts_of(rows.column(0)) != HELD
                 keys, counts = [], []
@@ -196,7 +197,7 @@ def counted(made: DataFrame, network: Network, bits: int, order: int) -> DataFra
                     at = run_starts(grams)
                     keys.append(grams[at])
                     counts.append(np.add.reduceat(each[place].astype(np.int64), at)[None] if len(at) else np.zeros((1, 0), np.int64))
-                out = list(_sent(str(name), name % network.groups[0], keys, counts, network, 1, 0, bits, deleted, z))
+                out = list(_sent(str(name), (name >> 1) % network.groups[0], keys, counts, network, 1, 0, bits, name % 2 == 1, z))
                 for i in range(0, len(out), 64):  # few blocks in a batch, so that batches stay small
                     yield _table(out[i : i + 64], _BLOCK).combine_chunks().to_batches()[0]
 
@@ -455,9 +456,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
 
     def learned(w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """EM's events, a histogram of some thousand cells whatever the corpus (at most BUCKETS x CELLS x CELLS)."""
-        mine = made.where("deleted").select("shard")
-        deleted = own.join(mine, "shard", "left_semi").unionByName(came.join(mine, "shard", "left_semi"))
-        cells = deleted.groupBy("shard").applyInArrow(evidence(left_tokens, left_types, bits, order, w), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        cells = own.unionByName(came).where("shard % 2 = 1").groupBy("shard").applyInArrow(evidence(left_tokens, left_types, bits, order, w), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
         found = keep(cells, "cells").toPandas()
         return found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
