@@ -86,8 +86,8 @@ def blobs(pieces: list[bytes], digests: list[bytes], z: zstandard.ZstdCompressor
     return [{"digest": d, "blob": z.compress(p)} for d, p in dict(zip(digests, pieces, strict=True)).items()]
 
 
-#: From so many payloads on a chunk counts as hot; its rows are salted over SALTS tasks.
-HOT, SALTS = 200, 32
+#: From so many payloads on a chunk counts as hot: its rows are spread over a task for each HOT payloads.
+HOT = 200
 
 
 class Store:
@@ -107,8 +107,15 @@ def build(light: DataFrame, full: DataFrame, id_col: str) -> Store:
     recipes = keep(light, "recipes")
     payload = recipes.groupBy("root").agg(F.min(id_col).alias("keeper"), F.count("*").alias("copies"), F.first("digests").alias("digests"))
     refs = payload.select("root", F.explode(F.array_distinct("digests")).alias("digest"))
-    owners = refs.groupBy("digest").agg(F.min("root").alias("owner"), F.count("*").alias("users")).where("users > 1")
-    borrowed = keep(refs.join(owners, "digest").where("owner <> root").drop("owner"), "borrowed")
+    refs = keep(refs, "refs")
+    owners = keep(refs.groupBy("digest").agg(F.min("root").alias("owner"), F.count("*").alias("users")).where("users > 1"), "owners")
+    # a hot chunk's owner goes to all tasks: there are at most a HOT-th of them; the others have few rows each
+    hot = owners.where(F.col("users") >= HOT)
+    n = hot.count()
+    few = refs.join(sized(hot.select("digest"), n), "digest", "left_anti") if n else refs
+    found = few.join(owners.where(F.col("users") < HOT), "digest")
+    found = found.unionByName(refs.join(sized(hot, n), "digest")) if n else found
+    borrowed = keep(found.where("owner <> root").drop("owner"), "borrowed")
     lists = borrowed.groupBy("root").agg(F.collect_list("digest").alias("foreign"))
     # Only payloads with copies or borrowed chunks need a mark; all others are written by the one document that has them.
     marks = payload.select("root", "keeper", "copies").join(lists, "root", "left").where("copies > 1 or foreign is not null")
@@ -129,9 +136,9 @@ def payloads(store: Store) -> DataFrame:
     need = borrowed.select("digest", "users").distinct()
     lent = chunks.select(F.explode("own").alias("c")).select("c.digest", "c.blob").join(sized(need), "digest")
     # A hot chunk's row is copied once for each salt; the payloads that borrow it are spread over the salts.
-    salts = F.when(F.col("users") >= HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    lent = lent.select("digest", "blob", F.explode(salts).alias("salt"))
-    asks = borrowed.withColumn("salt", F.when(F.col("users") >= HOT, F.pmod(F.xxhash64("root"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    last = F.expr(f"users div {HOT}")
+    lent = lent.select("digest", "blob", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("salt"))
+    asks = borrowed.withColumn("salt", F.pmod(F.xxhash64("root"), last + 1))
     got = asks.join(lent, ["digest", "salt"]).groupBy("root").agg(F.collect_list(F.struct("digest", "blob")).alias("got"))
     whole = chunks.where("complete").select("root", "digests", "own")
     parts = chunks.where("not complete").join(got, "root").select("root", "digests", F.concat("own", "got").alias("own"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octavo.llm.shared import keep, sized
+from octavo.llm.shared import keep, scratch, sized
 
 #: Rounds after which no convergence is an error; each at least halves the depth of trees or the number of nodes that hook.
 ROUNDS = 60
@@ -87,8 +87,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """For every id in an edge: (id, label), label the smallest id of its component.
 
     Edges with nulls are ignored, as are loops. Tables are written to the shared folder, so lineage stays short
-    and a lost executor costs one round.
+    and a lost executor costs one round; but the result they go at the end.
     """
+    with scratch(edges.sparkSession):
+        return keep(_components(edges, a, b), "components", outer=True)
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     linked = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x is not null and y is not null and x <> y")
     e = keep(contracted(linked), "edges")
     e = keep(contracted(e.repartition("x")), "edges")

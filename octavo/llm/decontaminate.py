@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from octavo.llm.blocks import ALNUM, U8, column_bytes, mix, shards, span_hash, word_spans
+from octavo.llm.blocks import ALNUM, U8, column_bytes, gather_ragged, mix, shards, span_hash, word_spans
 
 #: Words of the benchmark in one broadcast block: some 40 MB in a worker while it is searched for. A proven bound.
 BLOCK_WORDS = 200_000
 WINDOW = 10
+#: Low bits of a hash by which most words of a text are told to begin no suffix.
+LOW = (1 << 20) - 1
 _A, _B = U8(0x9E3779B97F4A7C15), U8(0xC2B2AE3D27D4EB4F)
 
 
@@ -55,12 +57,19 @@ class Tests:
         self.offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         self.start = np.repeat(first, count) + self.offset
         self.need = np.repeat(need, count)
-        self.grams = {}
+        # by the number of first words (up to three): their distinct hashes, a table of their low bits, and the suffixes
+        # that begin with each, in order of hash, with the places where those of each hash begin
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        full = np.concatenate([self.words, np.zeros(3, U8)])
         for q in (1, 2, 3):
-            own = self.start[np.minimum(self.need, 3) == q]
+            own = np.flatnonzero(np.minimum(self.need, 3) == q)
             if own.size:
-                full = np.concatenate([self.words, np.zeros(3, U8)])
-                self.grams[q] = np.unique(_gram(full, q)[own])
+                hashes = _gram(full, q)[self.start[own]]
+                order = np.argsort(hashes, kind="stable")
+                grams, at = np.unique(hashes[order], return_index=True)
+                low = np.zeros(LOW + 1, bool)
+                low[(grams & U8(LOW)).astype(np.int64)] = True
+                self.grams[q] = grams, low, own[order], np.append(at, len(own))
 
     def __len__(self) -> int:
         return len(self.start)
@@ -92,16 +101,16 @@ def suffix_array(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarra
     return sa
 
 
-def search(words: np.ndarray, sa: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """For each test suffix the interval of the suffix array that begins with its ``need`` words, by binary search."""
+def search(words: np.ndarray, sa: np.ndarray, tests: Tests, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the test suffixes ``which`` the interval of the suffix array that begins with its ``need`` words, by binary search."""
     step = np.arange(tests.window)
-    want = np.concatenate([tests.words, np.zeros(tests.window, U8)])[tests.start[:, None] + step]
-    live = step < tests.need[:, None]
-    rows = np.arange(len(tests))
+    want = np.concatenate([tests.words, np.zeros(tests.window, U8)])[tests.start[which][:, None] + step]
+    live = step < tests.need[which][:, None]
+    rows = np.arange(len(which))
     padded = np.concatenate([words, np.zeros(tests.window, U8)])
 
     def bound(after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(tests), np.int64), np.full(len(tests), len(sa), np.int64)
+        lo, hi = np.zeros(len(which), np.int64), np.full(len(which), len(sa), np.int64)
         while True:
             open_ = lo < hi
             if not open_.any():
@@ -116,8 +125,8 @@ def search(words: np.ndarray, sa: np.ndarray, tests: Tests) -> tuple[np.ndarray,
             lo = np.where(open_ & right, mid + 1, lo)
             hi = np.where(open_ & ~right, mid, hi)
 
-    if not len(sa) or not len(tests):
-        return np.zeros(len(tests), np.int64), np.zeros(len(tests), np.int64)
+    if not len(sa) or not len(which):
+        return np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
     return bound(False), bound(True)
 
 
@@ -126,19 +135,22 @@ class Found:
 
     def __init__(self, words: np.ndarray, sep: np.ndarray, tests: Tests):
         hit = np.zeros(len(words), bool)
-        for q, grams in tests.grams.items():
+        which = []  # only suffixes whose first words are somewhere in the shard can be found
+        for q, (grams, low, rows, begin) in tests.grams.items():
             g = _gram(words, q)
-            small = np.zeros(1 << 20, bool)
-            small[grams & U8((1 << 20) - 1)] = True
-            maybe = np.flatnonzero(small[g & U8((1 << 20) - 1)])
+            maybe = np.flatnonzero(low[(g & U8(LOW)).astype(np.int64)])
             at = np.minimum(np.searchsorted(grams, g[maybe]), len(grams) - 1)
-            hit[maybe[grams[at] == g[maybe]]] = True
+            same = grams[at] == g[maybe]
+            hit[maybe[same]] = True
+            seen = np.unique(at[same])
+            which.append(rows[gather_ragged(begin[seen], begin[seen + 1] - begin[seen])])
         hit[sep] = False
+        which = np.sort(np.concatenate(which)) if which else np.zeros(0, np.int64)
         sa = suffix_array(words, np.flatnonzero(hit), tests.window)
-        lo, hi = search(words, sa, tests)
+        lo, hi = search(words, sa, tests, which)
         n = hi - lo
-        self.test = np.repeat(np.arange(len(tests)), n)
-        self.place = sa[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] if n.sum() else np.zeros(0, np.int64)
+        self.test = np.repeat(which, n)
+        self.place = sa[gather_ragged(lo, n)] if n.sum() else np.zeros(0, np.int64)
         self.need = tests.need[self.test]
 
 
@@ -162,7 +174,7 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [w[:-1] for w in np.split(words, sep[:-1] + 1)] if len(texts) else []
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_words: int, unnamed: bool = False) -> Iterator[Tests]:
+def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_words: int, unnamed: bool = True) -> Iterator[Tests]:
     """The benchmark as blocks of bounded size, read one partition at a time."""
     ids, words, n = [], [], 0
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).distinct()
@@ -178,7 +190,7 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_wor
     yield Tests(ids, words, window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, only_clean: bool = False, prefix: str = "", unnamed: bool = False) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, only_clean: bool = False, prefix: str = "", unnamed: bool = True) -> DataFrame:
     """Match every document against every benchmark item.
 
     Returns all columns of ``docs`` but the text, and: n_words, n_hit (words inside any matched window),
@@ -186,9 +198,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     n_words, in words). With ``only_clean``, the documents without a hit instead, with their own columns alone.
 
     Null and empty texts have no words and no hits. Items without words match nothing; repeated items count once.
-    With ``unnamed``, items with a null id are searched for like others: all of them together count as one in
-    n_items, and items_sha256 leaves them out, as SQL's count of distinct rows and string_agg do. Else they match
-    nothing. Repeated documents are each reported. A column of docs with the name of a
+    Items with a null id are searched for like others: all of them together count as one in n_items, and items_sha256
+    leaves them out, as SQL's count of distinct rows and string_agg do. Without ``unnamed`` they match nothing. Repeated documents are each reported. A column of docs with the name of a
     new one gives way to it; ``prefix`` before the new names keeps both.
     """
     spark = docs.sparkSession

@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from octavo.llm.blocks import ALNUM, U8, column_bytes, mix, per_doc, run_starts, shards, span_hash, word_spans
 from octavo.llm.components import components
 from octavo.llm.interpolation import deflate, inflate
-from octavo.llm.shared import keep, sized
+from octavo.llm.shared import keep, scratch, sized, unused
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 ROWS = 8
@@ -41,6 +41,8 @@ ROWS = 8
 SMALL = 32
 #: Texts whose band hashes are sorted at once in a worker before they are shuffled.
 CLASSES = 1 << 14
+#: Pairs of one class from which its sketch is sent to all tasks instead of its pairs to one.
+HUB = 500
 #: Classes and n-grams of a block in which all pairs are counted at once.
 BLOCK, BLOCK_GRAMS = 1200, 2_000_000
 _A = U8(0x9E3779B97F4A7C15)
@@ -221,7 +223,14 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 def near(pairs: DataFrame, sigs: DataFrame, threshold: float, count: int) -> DataFrame:
     """(a, b, ok): whether sizes and MinHash bytes leave it possible that the pair reaches the threshold."""
-    both = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
+    left = sigs.select(F.col("c").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
+    hubs = keep(pairs.groupBy("a").agg(F.count("*").alias("pairs")).where(F.col("pairs") >= HUB).select("a"), "hubs")
+    n = hubs.count()
+    if n:  # at most a HUB-th of the pairs' number: their rows are spread by the other side
+        hot = pairs.join(sized(hubs, n), "a", "left_semi").join(sized(left.join(sized(hubs, n), "a", "left_semi"), n, HUB * 100), "a")
+        both = pairs.join(sized(hubs, n), "a", "left_anti").join(left, "a").unionByName(hot)
+    else:
+        both = pairs.join(left, "a")
     both = both.join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
     least = count * threshold - 7 * math.sqrt(count * threshold * (1 - threshold))
 
@@ -266,7 +275,7 @@ def candidates(light: DataFrame, threshold: float, bands: int) -> DataFrame:
     broken = small.where("size > 2").join(checked.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("h").distinct()
     members = small.join(broken, "h", "left_semi").groupBy("h").agg(F.sort_array(F.collect_list("b")).alias("all"))  # SMALL - 1 at most
     pairs = members.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
-    second = near(apart(pairs), sigs, threshold, count).where("ok")
+    second = near(keep(apart(pairs), "pairs"), sigs, threshold, count).where("ok")
     stars = large.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
     return stars.unionByName(checked.where("ok").select("a", "b")).unionByName(second.select("a", "b"))
 
@@ -380,8 +389,9 @@ def classified(docs: DataFrame, text: str = "text", id_col: str = "doc_id", word
     """The rows of ``join``, with c (the text class, null without words) and class_c: the text class of its class that is kept."""
     bands = banding(threshold, recall)
     light = keep(sketched(docs, text, id_col, words, bands), "sketched")
-    edges = keep(candidates(light, threshold, bands), "candidates")
-    clusters = components(edges).select(F.col("id").alias("c"), F.col("label").alias("cluster"))
+    with scratch(docs.sparkSession):  # what only the search for candidates reads
+        edges = candidates(light, threshold, bands)
+        clusters = keep(components(edges).select(F.col("id").alias("c"), F.col("label").alias("cluster")), "clusters", outer=True)
     texts = light.where("c is not null").groupBy("c").agg(F.min(id_col).alias("text_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     members = keep(clusters.join(texts, "c"), "clustered")
     # the n-gram sets of clustered texts, from one document of each
@@ -425,16 +435,16 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
     return classified(docs, text, id_col, words, threshold, recall).drop("c", "class_c")
 
 
-def with_class(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """The rows with their text class _c."""
+def with_class(docs: DataFrame, text: str, words: int, name: str) -> DataFrame:
+    """The rows with their text class in a column of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, text):
             grams, offs = gram_sets(shard.column(shard.schema.get_field_index(text)), words)
             c = pa.array(set_hash(grams, offs).view(np.int64), mask=np.diff(offs) == 0)
-            yield pa.RecordBatch.from_arrays([*shard.columns, c], [*shard.schema.names, "_c"])
+            yield pa.RecordBatch.from_arrays([*shard.columns, c], [*shard.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_c", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, **options) -> DataFrame:
@@ -444,23 +454,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     another document doesn't stand for. Null ids stay only if no other id is in their class, and then one of them.
     """
     found = keep(classified(docs, text, id_col, words, **options), "found")
-    same_id = lambda other: F.col(id_col).eqNullSafe(F.col(other))
-    gone = (F.col("n_links") > 0) & ~(same_id("class_id") & (F.col("c") == F.col("class_c")))
-    fates = found.select(id_col, "c", gone.alias("gone"), ((F.col("n_links") > 0) & ~gone).alias("first"))
-    rows = fates.groupBy(id_col).agg(F.max("gone").alias("some"), F.min("gone").alias("all"), F.max("first").alias("first"), F.count("*").alias("rows"))
+    # names that no column of docs has
+    this, own, other, other_class = unused(docs, "this_id", "this_class", "other_id", "other_class")
+    mine = F.col("class_id").eqNullSafe(F.col(this)) & (F.col("c") == F.col("class_c"))
+    found = found.withColumnRenamed(id_col, this)
+    fates = found.select(F.col(this), F.col("c").alias(own), ((F.col("n_links") > 0) & ~mine).alias("gone"), ((F.col("n_links") > 0) & mine).alias("first"))
+    rows = fates.groupBy(this).agg(F.max("gone").alias("some"), F.min("gone").alias("all"), F.max("first").alias("first"), F.count("*").alias("rows"))
     rows = keep(rows.where("some or first and rows > 1"), "fates")
-    drop = rows.where("all").select(F.col(id_col).alias("_drop"))
+    drop = rows.where("all").select(F.col(this).alias(other))
     # ids of which some rows stay and others do not, or a row that stays may be repeated
-    mixed = rows.where("not all").select(F.col(id_col).alias("_mixed"))
-    out = docs.join(sized(drop), same_id("_drop"), "left_anti")
+    mixed = rows.where("not all").select(F.col(this).alias(other))
+    same_id = F.col(id_col).eqNullSafe(F.col(other))
+    out = docs.join(sized(drop), same_id, "left_anti")
     if mixed.isEmpty():
         return out
-    part = with_class(out.join(sized(mixed), same_id("_mixed"), "left_semi"), text, words)
-    of_mixed = fates.join(sized(mixed), same_id("_mixed"), "left_semi")
-    row = same_id("_id") & F.col("_c").eqNullSafe(F.col("_class"))
-    less = of_mixed.where("gone").select(F.col(id_col).alias("_id"), F.col("c").alias("_class")).distinct()
-    once = of_mixed.where("first").select(F.col(id_col).alias("_id"), F.col("c").alias("_class")).distinct()
+    part = with_class(out.join(sized(mixed), same_id, "left_semi"), text, words, own)
+    of_mixed = fates.join(sized(mixed), F.col(this).eqNullSafe(F.col(other)), "left_semi")
+    row = same_id & F.col(own).eqNullSafe(F.col(other_class))
+    picked = lambda which: of_mixed.where(which).select(F.col(this).alias(other), F.col(own).alias(other_class)).distinct()
+    less, once = picked("gone"), picked("first")
     part = part.join(sized(less), row, "left_anti")
-    again = part.join(sized(once), row, "left_semi").dropDuplicates([id_col, "_c"])
-    part = part.join(sized(once), row, "left_anti").unionByName(again).drop("_c")
-    return out.join(sized(mixed), same_id("_mixed"), "left_anti").unionByName(part)
+    again = part.join(sized(once), row, "left_semi").dropDuplicates([id_col, own])
+    part = part.join(sized(once), row, "left_anti").unionByName(again).drop(own)
+    return out.join(sized(mixed), same_id, "left_anti").unionByName(part)

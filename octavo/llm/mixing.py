@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from octavo.llm.shared import keep, sized
+from octavo.llm.shared import keep, sized, unused
 
 #: Words: all but the space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,6 +135,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", **opt
     last = keep(half.groupBy("source", "pass").agg(F.max(F.struct("key", "id")).alias("last")), "last")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     worded = F.coalesce(F.regexp_count(F.col(options.get("text", "text")), F.lit(WORD)), F.lit(0)) > 0
-    limits = last.select(F.col("source").alias("_source"), "last")
-    out = docs.join(sized(limits), F.col(source).eqNullSafe(F.col("_source")))
-    return out.where(worded & (F.struct(key.alias("key"), F.col(id_col).alias("id")) <= F.col("last"))).select(*(docs[c] for c in docs.columns))
+    of, limit = unused(docs, "source_of", "limit")
+    out = docs.join(sized(last.select(F.col("source").alias(of), F.col("last").alias(limit))), F.col(source).eqNullSafe(F.col(of)))
+    return out.where(worded & (F.struct(key.alias("key"), F.col(id_col).alias("id")) <= F.col(limit))).drop(of, limit)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from octavo.llm.blocks import NONSPACE, PAD, U8, column_bytes, mix, run_starts, shards, span_hash, word_spans
+from octavo.llm.shared import keep, sized
 
 SAMPLE = 6000
 FOLDS, HELD = 5, 0
@@ -168,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label"))
     share = int(min(1.0, sample / max(1, known.count())) * (1 << 30))
     known = known.where(F.pmod(F.xxhash64(F.lit(5), F.col("_id")), F.lit(1 << 30)) < share)
-    # at most about ``sample`` rows with an id and a number each: a bounded side
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), *([F.col(size).cast("long").alias("_size")] if size else [])).join(F.broadcast(known), "_id")
+    # about ``sample`` rows with an id and a number each, unless one id has many labels
+    known = keep(known, "labels")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), *([F.col(size).cast("long").alias("_size")] if size else [])).join(sized(known), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, "_text"):

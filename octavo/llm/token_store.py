@@ -8,8 +8,8 @@ end id) has at most 65,536 ids, else 4. Recipes lie in ascending order of the do
 number ``part`` of its file and its ids' count; ``manifest`` has for each part its documents, ids and the
 Merkle-style root over the recipes' roots in order.
 
-With ``special``, a text's added tokens (such as <|endoftext|>) have their own ids, as in the tokenizer's
-encoding of the whole text by its defaults; else they are encoded as any other text.
+A text's added tokens (such as <|endoftext|>) have their own ids, as in the tokenizer's encoding of the whole text
+by its defaults; without ``special`` they are encoded as any other text.
 
 Nulls and empty texts give the end id alone. Null document ids come first. Repeated rows each have a
 recipe, and share one payload. Extra columns are ignored.
@@ -94,7 +94,7 @@ class Encoder:
     the latest pieces that is merged into it now and then.
     """
 
-    def __init__(self, path: str, end_id: int, special: bool = False):
+    def __init__(self, path: str, end_id: int, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -177,7 +177,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(path: str, end_id: int, special: bool = False) -> Encoder:
+def encoder(path: str, end_id: int, special: bool = True) -> Encoder:
     """One for each worker process: what a task has encoded serves the next."""
     key = (path, end_id, special)
     if key not in _ENCODERS:
@@ -191,7 +191,7 @@ def vocabulary(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def encoded(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID, special: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID, special: bool = True) -> DataFrame:
     """Per document: id, n_tokens, root, digests of its chunks in order, and own: its distinct chunks with their bytes."""
     width = 2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
     kind = dict(docs.dtypes)[id_col]
@@ -228,7 +228,7 @@ def part_roots(recipes: DataFrame, id_col: str) -> DataFrame:
     return recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(row, lambda r: F.hex(r["root"])), ","), 256).alias("part_root"))
 
 
-def write(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID, special: bool = False) -> TokenStore:
+def write(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", end_id: int = END_ID, special: bool = True) -> TokenStore:
     """Encode once into the shared folder, then recipes in document order, unique chunks and the manifest."""
     staged = keep(encoded(docs, tokenizer, text, id_col, end_id, special), "encoded", codec="uncompressed")
     light = staged.drop("own").repartitionByRange(F.col(id_col).asc_nulls_first(), F.col("root"))

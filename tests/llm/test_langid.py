@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from octavo.llm import langid
+from octavo.llm.blocks import LETTERS, column_bytes, span_hash, word_spans
 
 
 def brute_marginals(scores, transitions, start):
@@ -31,6 +32,42 @@ def test_forward_backward_is_exact():
     assert np.isclose(expected.sum(), sum(n - 1 for n in sizes)) and np.isclose(first.sum(), 4)
 
 
+def plain_scores(model, text):
+    """Mean posterior of each language over a text's words: forward and backward sums in logarithms, line by line, word by word."""
+    raw, offs = column_bytes(pa.array([text], pa.string()))
+    m, starts, ends, doc = word_spans(raw, offs, LETTERS)
+    begin, size = langid.lines(raw, starts, doc)
+    total, words = np.zeros(len(model.languages)), 0
+    for b, n in zip(begin.tolist(), size.tolist(), strict=True):
+        e = np.concatenate([model.emissions(m, starts[i : i + 1], ends[i : i + 1], span_hash(m, starts[i : i + 1], ends[i : i + 1])) for i in range(b, b + n)]).astype(float)
+        ahead, back = [model.start + e[0]], [np.zeros(len(e[0]))]
+        for i in range(1, n):
+            ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + model.transitions, axis=0) + e[i])
+        for i in range(n - 1, 0, -1):
+            back.insert(0, np.logaddexp.reduce(model.transitions + e[i] + back[0], axis=1))
+        both = np.array(ahead) + np.array(back)
+        total += np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None]).sum(0)
+        words += n
+    return total / words if words else None
+
+
+def test_query_against_plain_sums(spark, sf, docs):
+    """The whole query: every text's label and score."""
+    from octavo.llm import queries
+
+    model = langid.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op1_language_crf(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        want = plain_scores(model, texts[r.doc_id]) if any(map(str.isalpha, texts[r.doc_id] or "")) else None
+        if want is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert abs(r.score - want.max()) < 1e-4 and want[model.languages.index(r.lang_pred)] > want.max() - 1e-4
+
+
 def test_held_out_accuracy(docs):
     model = langid.fit(docs)
     rows = langid.predict(docs, model).collect()

@@ -15,6 +15,25 @@ def test_sum_of_squares_identity():
     assert np.isclose(got, 0.3 + (m.linear[i] * x).sum() + pairs, atol=1e-3)
 
 
+def test_query_against_all_pairs(spark, sf, docs):
+    """The whole query: each text's score as a plain sum over all pairs of its features."""
+    from octavo.llm import queries
+
+    machine = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), size="n_chars")
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = queries.op3_quality_fm(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        own = rows[r.doc_id]
+        i, x, _ = quality.features(pa.array([own.text], pa.string()), np.array([own.n_chars or 0]))
+        v = machine.factors[i].astype(float) * x[:, None]
+        gram = v @ v.T
+        logit = machine.bias + float((machine.linear[i].astype(float) * x).sum()) + float(np.triu(gram, 1).sum())
+        want = 1 / (1 + np.exp(-logit))
+        assert abs(r.score - want) < 1e-3 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_held_out_quality(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     machine = quality.fit(docs, labels, size="n_chars")

@@ -19,7 +19,6 @@ def plain(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t
 
 
