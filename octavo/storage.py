@@ -63,8 +63,9 @@ def cleared(spark: SparkSession) -> int:
     return n
 
 
-#: Lets Spark drop a query's shuffle files at its end rather than when their plan is garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark drops a query's shuffle files at its end rather than when their plan is garbage, and
+#: Python workers get batches of a few megabytes, as JVM and workers share an executor's allowance.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(6 << 20)}
 
 
 def keep(df: DataFrame, name: str, codec: str = "zstd", outer: bool = False) -> DataFrame:
@@ -73,13 +74,16 @@ def keep(df: DataFrame, name: str, codec: str = "zstd", outer: bool = False) ->
     What is written needs its shuffles no more, so their files go at once.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
+    path = new_path(spark, name)
     _OPEN[max(0, len(_OPEN) - 2) if outer else -1].append(path)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
