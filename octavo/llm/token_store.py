@@ -37,11 +37,11 @@ END_ID = 2
 #: Chunks of about 2 ** BITS ids, between LEAST and MOST.
 BITS, LEAST, MOST = 9, 128, 4096
 #: Distinct text pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED, LATEST = 2_000_000, 50_000
+REMEMBERED, LATEST = 1_000_000, 50_000
 #: New pieces given to the tokenizer at a time.
 AT_ONCE = 4096
 #: Bytes of text encoded at a time.
-SHARD = 2 << 20
+SHARD = 1 << 20
 
 _SAFE = np.zeros(256, bool)
 _SAFE[0x21:0x7F] = True
