@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from octavo.llm.blocks import ALNUM, U8, column_bytes, mix, per_doc, run_starts, shards, span_hash, word_spans
 from octavo.llm.components import components
 from octavo.llm.interpolation import deflate, inflate
-from octavo.llm.shared import keep, scratch, sized, unused
+from octavo.llm.shared import BROADCAST_ROWS, keep, scratch, sized, unused
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 ROWS = 8
@@ -266,8 +266,11 @@ def candidates(light: DataFrame, threshold: float, bands: int) -> DataFrame:
 
     small = made.where("h is not null")
     first = keep(apart(small.select("a", "b")), "pairs")
-    named = small.select("a").unionByName(small.select(F.col("b").alias("a"))).distinct()
-    sigs = light.select("c", "sig", "n").where("c is not null").join(named.select(F.col("a").alias("c")), "c", "left_semi").dropDuplicates(["c"])
+    named = keep(small.select("a").unionByName(small.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "c"), "named")
+    n = named.count()
+    sigs = light.select("c", "sig", "n").where("c is not null")
+    # a class may have any number of documents: one of each comes to a join, unless it needs no shuffle
+    sigs = sigs.join(sized(named, n), "c", "left_semi").dropDuplicates(["c"]) if n <= BROADCAST_ROWS else sigs.dropDuplicates(["c"]).join(named, "c", "left_semi")
     sigs = keep(sigs, "sigs", codec="uncompressed")
     count = bands * ROWS
     checked = keep(near(first, sigs, threshold, count), "near")

@@ -24,8 +24,8 @@ PHI = 0.6180339887498949
 LEAST, MOST = 16, 1024
 #: Bins of [0, 1) through which slots find their source by an equi-join.
 BINS = 4096
-#: Rows or slots meant for one task.
-CHUNK = 1 << 15
+#: Rows or slots meant for one task: at most CHUNK, and fewer if there are fewer than SPREAD times as many.
+CHUNK, SPREAD = 1 << 15, 512
 
 
 def measured(docs: DataFrame, text: str, id_col: str, source: str) -> DataFrame:
@@ -35,14 +35,14 @@ def measured(docs: DataFrame, text: str, id_col: str, source: str) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """Per source: k (place by code point, null last), source_size, target.
+    """Per source: k (place by code point, null last), source_size, target, n_docs.
 
     Sources take ``share`` of all words by weight; one that reaches ``cap`` times its size stops there and
     the excess goes to the others by weight, until none is above. With the sources in ascending order of
     cap per weight and all before some source capped, the rest per weight grows as long as sources are
     capped rightly and falls after that, so its maximum is the level of the sources that aren't capped.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     by = by.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.pmod("k", F.lit(len(weights))).cast("int") + 1)
     by = by.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     by = by.withColumn("rest", F.lit(float(share)) * F.sum("source_size").over(every) - (F.sum("cap").over(upto) - F.col("cap")))
     by = by.withColumn("level", F.col("rest") / (F.sum("w").over(every) - (F.sum("w").over(upto) - F.col("w"))))
     target = F.least("cap", F.col("w") * F.max("level").over(every))
-    return by.select("source", "k", "source_size", target.alias("target"))
+    return by.select("source", "k", "source_size", target.alias("target"), "n_docs")
 
 
 def _before(df: DataFrame, key: list[str], chunk: str, order: list[Column], value: Column, name: str) -> DataFrame:
@@ -85,12 +85,12 @@ def schedule(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source
     n_docs = sizes.count()
     total = float(total or 0)
     block = int(max(LEAST, min(MOST, total // (2000 * max(1, n_sources)))))
-    # Streams: documents by key, chunked by the key's first digits.
-    digits = 0
-    while (n_docs >> (4 * digits)) > CHUNK and digits < 6:
-        digits += 1
-    placed = sizes.join(sized(sources.select(F.col("source").alias("_s"), "k", "source_size", "target"), n_sources), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = placed.withColumn("chunk", F.substring("key", 1, digits) if digits else F.lit(""))
+    # Streams: documents by key. Each source is cut into as many ranges of keys as give chunks of the same size.
+    each = max(64, min(CHUNK, n_docs // SPREAD))
+    named = sources.select(F.col("source").alias("_s"), "k", "source_size", "target", F.greatest(F.ceil(F.col("n_docs") / each), F.lit(1)).alias("_c"))
+    placed = sizes.join(sized(named, n_sources), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    placed = placed.withColumn("chunk", F.floor(first * F.col("_c") / (1 << 32)).cast("long")).drop("_c")
     placed = _before(placed, ["k"], "chunk", [F.col("key"), F.col("id"), F.col("size")], F.col("size"), "place").drop("chunk")
     placed = keep(placed, "placed")
     # Blocks: what of each document lies in which block of its source, for each reading, up to the target.
@@ -111,7 +111,7 @@ def schedule(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source
     ranges = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") * BINS), F.least(F.floor(F.col("b") * BINS), F.lit(BINS - 1)))))
     point = (F.col("id") + 1) * PHI
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u")).withColumn("bin", F.floor(F.col("u") * BINS))
-    slots = slots.join(sized(ranges), "bin").where("u >= a and u < b").select("slot", "k", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    slots = slots.join(sized(ranges), "bin").where("u >= a and u < b").select("slot", "k", F.expr(f"slot div {max(64, min(CHUNK, n_slots // SPREAD))}").alias("chunk"))
     ranked = _before(slots, ["k"], "chunk", [F.col("slot")], F.lit(1), "block").drop("chunk")
     return Mix(sources, placed, ranked.join(pieces, ["k", "block"]), block, cap)
 
