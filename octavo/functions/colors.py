@@ -91,6 +91,14 @@ def blend_above(acc: Column, new: Column) -> Column:
     return blend_behind(new, acc)
 
 
+def above_pixel(pixel: Column, new: Column) -> Column:
+    """A packed ARGB pixel with a colour (struct r, g, b, a) above it, packed again."""
+    r, g, b, a = unpack(pixel)
+    old = F.struct((r / 255).alias("r"), (g / 255).alias("g"), (b / 255).alias("b"), (a / 255).alias("a"))
+    made = blend_above(old, new)
+    return pack_floor(made["r"], made["g"], made["b"], made["a"])
+
+
 def over_bytes(dst: Column, src: Column) -> Column:
     """Integer over for 8-bit parts (struct a, r, g, b): source above destination, integer division."""
     whole = lambda x, y: F.floor(x / y).cast("long")

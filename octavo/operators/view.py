@@ -6,13 +6,15 @@ pixel's samples are bounded by the ray, so each fold is one row's array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from octavo.functions.colors import blend_behind, opacity, over_bytes
+from octavo.functions.colors import above_pixel, blend_behind, opacity, over_bytes, transfer
+from octavo.streaming.stateful import DOUBLE_MS, LONG_AGO_MS
 
 #: Opacity from which nothing behind is seen; least opacity of a lit step.
 OPAQUE, LEAST_ALPHA = 0.996, 1e-5
@@ -91,22 +93,55 @@ def nearest_crossing(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.min(F.struct("step", "t")).alias("f")).select(*keys, "f.step", "f.t")
 
 
-def fold(rows: DataFrame, keys: list[str], colour: list[Column]) -> DataFrame:
-    """Front-to-back composition of samples' colours (r, g, b, a) in order of step; stops adding once opaque."""
-    named = [c.alias(n) for c, n in zip(colour, "rgba", strict=True)]
-    by = rows.select(*keys, "step", *named).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", F.col("r").cast("double").alias("r"), F.col("g").cast("double").alias("g"), F.col("b").cast("double").alias("b"), F.col("a").cast("double").alias("a")))).alias("s"))
+def fold(rows: DataFrame, keys: list[str], colour: list[Column], order: tuple[str, ...] = ("step",)) -> DataFrame:
+    """Front-to-back composition of samples' colours (r, g, b, a) in order; stops adding once opaque."""
+    named = [c.cast("double").alias(n) for c, n in zip(colour, "rgba", strict=True)]
+    by = rows.select(*keys, *order, *named).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *"rgba"))).alias("s"))
     zero = F.struct(*(F.lit(0.0).alias(n) for n in "rgba"))
     acc = F.aggregate("s", zero, lambda acc, x: F.when(acc["a"] > OPAQUE, acc).otherwise(blend_behind(acc, x)))
     return by.select(*keys, acc.alias("c")).select(*keys, "c.r", "c.g", "c.b", "c.a")
 
 
+#: A transfer function's knots over relative values: x, r, g, b, a.
+Knots = list[tuple[float, float, float, float, float]]
+GREY: Knots = [(0.0, 0.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0, 1.0)]
+
+
+def relative(v: Column, lo: float, hi: float) -> Column:
+    return (v - lo) / (hi - lo)
+
+
+def volume(rows: DataFrame, keys: list[str], knots: Knots, factor: float, lo: float, hi: float, layer: float, shade: Callable[[list[Column]], list[Column]] | None = None) -> DataFrame:
+    """Opacity volume: each defined sample has its value's colour, and alpha 1 - (1 - a * factor) ** layer.
+
+    ``factor`` is the threshold's place in the field's range. ``shade`` turns a colour into the lit one; then samples
+    that are as good as transparent are left out.
+    """
+    r, g, b, a = transfer(relative(F.col("v"), lo, hi), knots)
+    rows = rows.where("v is not null").withColumn("_a", opacity(factor, a, layer))
+    if shade is not None:
+        rows = rows.where(F.col("_a") >= LEAST_ALPHA)
+        r, g, b = shade([r, g, b])
+    return fold(rows, keys, [r, g, b, F.col("_a")])
+
+
 def alpha_volume(rows: DataFrame, keys: list[str], base: float, lo: float, hi: float, layer: float, light: Column | None = None) -> DataFrame:
-    """Opacity volume: each defined sample has alpha 1 - (1 - base * rel) ** layer and its grey (or lit grey) as colour."""
-    rel = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - lo) / (hi - lo)))
-    a = opacity(base, rel, layer)
-    a = F.greatest(a, F.lit(LEAST_ALPHA)) if light is not None else a
-    grey = rel * light if light is not None else rel
-    return fold(rows.where("v is not null"), keys, [grey, grey, grey, a])
+    """An opacity volume in grey, as bright as the value, or that times an intensity of light."""
+    return volume(rows, keys, GREY, base, lo, hi, layer, None if light is None else lambda c: [x * light for x in c])
+
+
+def surfaces(found: DataFrame, keys: list[str], knots: Knots, at: Column, alpha: float, shade: Callable[[list[Column]], list[Column]] | None = None) -> DataFrame:
+    """Isosurfaces: the crossings of each ray (step, t) with the colour of ``at`` (a relative value), their alpha times
+    ``alpha``, lit by ``shade``, composed front to back until nothing behind is seen."""
+    r, g, b, a = transfer(at, knots)
+    r, g, b = shade([r, g, b]) if shade is not None else (r, g, b)
+    return fold(found, keys, [r, g, b, a * alpha], ("step", "t"))
+
+
+def drawn(image: DataFrame, pixels: DataFrame, keys: list[str], pixel: str = "argb") -> DataFrame:
+    """Packed pixels with an image's colours above them; pixels that it does not cover stay."""
+    rows = pixels.join(image.select(*keys, F.struct(*"rgba").alias("_new")), keys, "left")
+    return rows.withColumn(pixel, F.when(F.col("_new").isNull(), F.col(pixel)).otherwise(above_pixel(F.col(pixel), F.col("_new")))).drop("_new")
 
 
 def domain_voxels(rows: DataFrame, keys: list[str], colour: tuple[float, float, float, float]) -> DataFrame:
@@ -167,29 +202,109 @@ def trilinear(at: list[Column], corners: list[Column]) -> Column:
 
 
 class Camera:
-    """A 4 x 4 view matrix on the driver: reset, rotate, pan, zoom."""
+    """A 4 x 4 view matrix on the driver, and the point that the view turns about: reset, rotate, pan, zoom.
+
+    The cube in view has an edge of 10. Movements are in pixels of the viewport, y upward.
+    """
 
-    def __init__(self, matrix: np.ndarray | None = None):
+    def __init__(self, matrix: np.ndarray | None = None, centre: tuple[float, ...] = (0.0, 0.0, 0.0), viewport: tuple[int, int] = (320, 200), fov: float = 30.0, sensitivity: tuple[float, float, float] = (1.0, 1.0, 1.0)):
         self.matrix = np.eye(4) if matrix is None else np.array(matrix, float)
+        self.centre, self.viewport, self.fov, self.sensitivity = np.array(centre, float), viewport, fov, sensitivity
+
+    def _with(self, turn: np.ndarray, shift: np.ndarray, centre: np.ndarray | None = None) -> Camera:
+        m = np.eye(4)
+        m[:3, :3], m[:3, 3] = turn, shift
+        return Camera(m, tuple(self.centre if centre is None else centre), self.viewport, self.fov, self.sensitivity)
+
+    @property
+    def eye(self) -> np.ndarray:
+        return -np.linalg.inv(self.matrix[:3, :3]) @ self.matrix[:3, 3]
 
     def reset(self) -> Camera:
-        return Camera()
-
-    def rotated(self, dx: float, dy: float, speed: float = 0.01) -> Camera:
-        """About the view's vertical axis by dx, and its horizontal one by dy."""
-        a, b = dx * speed, dy * speed
-        y = np.array([[np.cos(a), 0, np.sin(a), 0], [0, 1, 0, 0], [-np.sin(a), 0, np.cos(a), 0], [0, 0, 0, 1]])
-        x = np.array([[1, 0, 0, 0], [0, np.cos(b), -np.sin(b), 0], [0, np.sin(b), np.cos(b), 0], [0, 0, 0, 1]])
-        return Camera(x @ y @ self.matrix)
-
-    def panned(self, dx: float, dy: float, scale: float = 0.01) -> Camera:
-        move = np.eye(4)
-        move[:2, 3] = dx * scale, -dy * scale
-        return Camera(move @ self.matrix)
-
-    def zoomed(self, factor: float) -> Camera:
-        if factor <= 0:
-            raise ValueError("a zoom factor is positive")
-        zoom = np.eye(4)
-        zoom[:3, :3] *= factor
-        return Camera(zoom @ self.matrix)
+        """Looking at the middle from (2, 1, 3), far enough for the whole cube, y upward."""
+        back = np.array([2.0, 1.0, 3.0]) / np.sqrt(14.0)
+        far = 10 * np.sqrt(3.0) * 1.01 / (2 * np.sin(np.deg2rad(self.fov) / 2))
+        side = np.cross([0.0, 1.0, 0.0], back)
+        side /= np.linalg.norm(side)
+        turn = np.stack([side, np.cross(back, side), back])
+        return self._with(turn, -turn @ (back * far), np.zeros(3))
+
+    def rotated(self, dx: float, dy: float) -> Camera:
+        """About the centre, by a quarter turn for a movement over the viewport's height."""
+        turn, per = self.matrix[:3, :3], self.sensitivity[0] * np.pi / 2 / self.viewport[1]
+        inverse = np.linalg.inv(turn)
+        side, up = (inverse[:, i] / np.linalg.norm(inverse[:, i]) for i in (0, 1))
+        axis = per * (dy * side - dx * up)
+        angle = np.linalg.norm(axis)
+        x, y, z = axis / angle if angle > 0 else (0.0, 0.0, 0.0)
+        spin = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+        step = np.eye(3) + np.sin(angle) * spin + (1 - np.cos(angle)) * spin @ spin
+        eye = self.centre + step @ (self.eye - self.centre)
+        made = turn @ step.T
+        return self._with(made, -made @ eye)
+
+    def panned(self, dx: float, dy: float) -> Camera:
+        """Along the picture, and the centre with it, by as much as the pixels mean at the centre's distance."""
+        inverse = np.linalg.inv(self.matrix[:3, :3])
+        per = np.linalg.norm(self.eye - self.centre) * self.sensitivity[1] * np.tan(np.deg2rad(self.fov) / 2) / self.viewport[1]
+        move = np.array([dx, dy, 0.0]) * per
+        back = sum(inverse[:, i] / np.linalg.norm(inverse[:, i]) * move[i] for i in (0, 1))
+        return self._with(self.matrix[:3, :3], self.matrix[:3, 3] + move, self.centre - back)
+
+    def zoomed(self, delta: float) -> Camera:
+        """Towards the centre by a factor of e for each ``delta`` of 1, away from it if negative."""
+        turn = self.matrix[:3, :3]
+        eye = self.centre + np.exp(-delta * self.sensitivity[2]) * (self.eye - self.centre)
+        return self._with(turn, -turn @ eye)
+
+    def upright(self, up: tuple[float, float, float] = (0.0, 1.0, 0.0)) -> Camera:
+        """From the same place, with ``up`` upward in the picture."""
+        eye = self.eye
+        back = eye - self.centre
+        back = back / np.linalg.norm(back) if np.linalg.norm(back) > 0 else np.array([0.0, 0.0, 1.0])
+        side = np.cross(up, back)
+        if np.linalg.norm(side) == 0:  # looking along it: any side will do
+            side = np.cross(np.eye(3)[int(np.argmin(np.abs(back)))], back)
+        side /= np.linalg.norm(side)
+        turn = np.stack([side, np.cross(back, side), back])
+        return self._with(turn, -turn @ eye)
+
+
+#: Bits of a mouse state, pixels of a zoom by 1, and the part of a zoom with the shift key.
+LEFT, RIGHT, MIDDLE, SHIFT = 1, 2, 4, 8
+ZOOM_PIXELS, WHEEL_STEP, SHIFT_PART = 100, 120, 0.1
+
+
+class Mouse:
+    """A camera moved by mouse states one after another: (ms, x, y, flags, wheel), y downward.
+
+    The left button turns, the middle one pans, the right one zooms (finer with the shift key), the wheel zooms, a
+    double click resets.
+    """
+
+    def __init__(self, camera: Camera):
+        self.camera, self.x, self.y, self.flags, self.pressed = camera, 0.0, 0.0, 0, (-LONG_AGO_MS, -LONG_AGO_MS)
+
+    def state(self, ms: float, x: float, y: float, flags: int, wheel: float = 0.0) -> Camera:
+        double = False
+        if self.flags == 0 and flags == LEFT:
+            self.pressed = (ms, self.pressed[0])
+        elif flags not in (0, LEFT):
+            self.pressed = (ms - LONG_AGO_MS,) * 2
+        elif self.flags == LEFT and flags == 0:
+            double = ms - self.pressed[1] < DOUBLE_MS
+        dx, dy = x - self.x, self.y - y
+        held = dx != 0 or dy != 0
+        part = SHIFT_PART if flags & SHIFT else 1.0
+        if flags == LEFT and held and self.flags & LEFT:
+            self.camera = self.camera.rotated(dx, dy)
+        elif flags == MIDDLE and held and self.flags & MIDDLE:
+            self.camera = self.camera.panned(dx, dy)
+        elif flags & ~SHIFT == RIGHT and held and self.flags & RIGHT:
+            self.camera = self.camera.zoomed(dy / ZOOM_PIXELS * part)
+        elif flags == 0 and double:
+            self.camera = self.camera.reset()
+        elif flags in (0, SHIFT) and wheel:
+            self.camera = self.camera.zoomed(wheel / WHEEL_STEP * part)
+        self.x, self.y, self.flags = x, y, flags
+        return self.camera

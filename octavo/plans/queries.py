@@ -14,6 +14,7 @@ from octavo.operators import dense, fields, interpolate, mesh, order, telemetry,
 from octavo.plans.adapters import emb3, frames, grid2, img2, pts2, pts3, rays, tele, with_views
 from octavo.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from octavo.sources import readers
+from octavo.storage import new_path
 from octavo.streaming import stateful
 
 def cell(x: str, m: str, level: int, s: str = "s") -> str:
@@ -525,7 +526,7 @@ LIT = """+s AS (SELECT pixel, step, least(greatest(v / 500.0, 0), 1) AS rel, (w
 n AS (SELECT *, CASE WHEN 0.6 * nx + 0.8 * nz < 0 THEN -nx ELSE nx END AS ax, CASE WHEN 0.6 * nx + 0.8 * nz < 0 THEN -nz ELSE nz END AS az FROM s),
 i AS (SELECT *, greatest(0.6 * ax + 0.8 * az, 0) AS diff, greatest((0.6 * ax + 1.8 * az) / sqrt(0.36 + 3.24), 0) AS hn FROM n),
 j AS (SELECT *, 0.2 + 0.6 * diff + 0.2 * CASE WHEN diff > 0 THEN power(hn, 8) ELSE 0 END AS light FROM i),
-g AS (SELECT pixel, list({'c': rel * light, 'a': greatest(1 - power(1 - 0.2 * rel, 0.5), 1e-5)} ORDER BY step) AS l FROM j GROUP BY pixel)"""
+g AS (SELECT pixel, list({'c': rel * light, 'a': 1 - power(1 - 0.2 * rel, 0.5)} ORDER BY step) AS l FROM j WHERE 1 - power(1 - 0.2 * rel, 0.5) >= 1e-5 GROUP BY pixel)"""
 
 
 @query(with_views("rays", body=LIT + FOLD[FOLD.index(",\nf AS") :] + " SELECT pixel, round(r.c, 6) AS r, round(r.c, 6) AS g, round(r.c, 6) AS b, round(r.a, 6) AS a FROM f"))
@@ -1012,9 +1013,12 @@ def adaptive_quality_stream_tele(spark, d):
     raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     order = F.expr("datediff(cast(ts as date), date'1970-01-01') * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L + cast(extract(second from ts) * 1000000 as bigint)")
     stream = raw.select(F.col("user_id").alias("thread"), (F.col("value") / 100).alias("v"), order.alias("order"))
-    q = stateful.adaptive_quality_stream(stream, "thread", "v").writeStream.outputMode("update").format("memory").queryName("octavo_quality").trigger(availableNow=True).start()
+    at = new_path(spark, "quality")
+    keep_batch = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/out/part={batch}")
+    q = stateful.adaptive_quality_stream(stream, "thread", "v").writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(keep_batch).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table("octavo_quality")
+    # the last that each batch said of a thread
+    return spark.read.parquet(f"{at}/out").groupBy("thread").agg(F.max_by("quality", "batch").alias("quality"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

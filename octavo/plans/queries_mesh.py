@@ -324,6 +324,95 @@ def ray_samples_rays(spark, d):
     return view.samples(r, view.sample_count(F.col("leave") - F.col("enter"), 50.0, 0.5)).select("pixel", "step", F.round("t", 4).alias("t"))
 
 
+#: A transfer function over relative values, and the same as SQL of a relative value ``rel``.
+RAMP = [(0.0, 0.0, 0.0, 1.0, 0.2), (0.5, 0.0, 1.0, 0.0, 0.6), (1.0, 1.0, 0.5, 0.0, 1.0)]
+RAMP_SQL = {
+    "r": "CASE WHEN rel <= 0.5 THEN 0 WHEN rel < 1 THEN (rel - 0.5) * 2 ELSE 1 END", "g": "CASE WHEN rel <= 0 THEN 0 WHEN rel < 0.5 THEN rel * 2 WHEN rel < 1 THEN 1 - (rel - 0.5) ELSE 0.5 END",
+    "b": "CASE WHEN rel <= 0 THEN 1 WHEN rel < 0.5 THEN 1 - rel * 2 ELSE 0 END", "a": "CASE WHEN rel <= 0 THEN 0.2 WHEN rel < 0.5 THEN 0.2 + 0.8 * rel WHEN rel < 1 THEN 0.6 + 0.8 * (rel - 0.5) ELSE 1 END",
+}
+
+
+def composed(rows: str, order: str) -> str:
+    """SQL that folds the rows' colours (pixel, r, g, b, a) front to back until opaque."""
+    part = lambda c: f"CASE WHEN x.a + y.a * (1 - x.a) > 0 THEN x.{c} * x.a / (x.a + y.a * (1 - x.a)) + y.{c} * (y.a * (1 - x.a)) / (x.a + y.a * (1 - x.a)) ELSE x.{c} END"
+    zero = "{'r': 0.0::DOUBLE, 'g': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'a': 0.0::DOUBLE}"
+    colour = "{" + ", ".join(f"'{c}': CAST({c} AS DOUBLE)" for c in "rgba") + "}"
+    step = "{" + ", ".join(f"'{c}': {part(c)}" for c in "rgb") + ", 'a': x.a + y.a * (1 - x.a)}"
+    return f"fl AS (SELECT pixel, list({colour} ORDER BY {order}) AS l FROM ({rows}) t GROUP BY pixel), fd AS (SELECT pixel, list_reduce(list_prepend({zero}, l), lambda x, y: CASE WHEN x.a > 0.996 THEN x ELSE {step} END) AS c FROM fl)"
+
+
+SHOWN = " SELECT pixel, round(c.r, 5) AS r, round(c.g, 5) AS g, round(c.b, 5) AS b, round(c.a, 5) AS a FROM fd"
+REL = "rl AS (SELECT pixel, step, w, v / 500.0::DOUBLE AS rel FROM rays)"
+RAMPED = f"rp AS (SELECT pixel, step, w, {', '.join(f'{e} AS {c}' for c, e in RAMP_SQL.items())} FROM rl)"
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.select("pixel", *(F.round(c, 5).alias(c) for c in "rgba"))
+
+
+@query(with_views("rays", body=f"+{REL}, {RAMPED}, " + composed("SELECT pixel, step, r, g, b, 1 - power(1 - 0.3 * a, 0.5) AS a FROM rp", "step") + SHOWN))
+def argb_volume_rays(spark, d):
+    """An opacity volume through a transfer function: opacity by the threshold's place in the range."""
+    return shown(view.volume(rays(spark, d), ["pixel"], RAMP, 0.3, 0.0, 500.0, 0.5))
+
+
+LIGHTS = [{"pos": (0.0, 0.0, 10.0), "ambient": (0.1, 0.1, 0.1), "diffuse": (0.8, 0.6, 0.4), "specular": (0.5, 0.5, 0.5)}, {"pos": (10.0, 0.0, 0.0), "ambient": (0.0, 0.0, 0.05), "diffuse": (0.2, 0.2, 0.2), "specular": (0.0, 0.0, 0.0)}]
+# The normal (w - 3, 0, 2) at the origin, seen from (0, 0, 8): turned to the first light, then to the second.
+NORMAL_SQL = """nn AS (SELECT *, (w - 3) / sqrt((w - 3) * (w - 3) + 4) AS nx, 2 / sqrt((w - 3) * (w - 3) + 4) AS nz FROM {rows}),
+l1 AS (SELECT *, greatest(nz, 0) AS d1, CASE WHEN nz > 0 THEN power(greatest(nz, 0), 100) ELSE 0 END AS s1, CASE WHEN nx < 0 THEN -nx ELSE nx END AS mx, CASE WHEN nx < 0 THEN -nz ELSE nz END AS mz FROM nn),
+lit AS (SELECT *, greatest(mx, 0) AS d2 FROM l1)"""
+LIT_SQL = {c: f"greatest(0, least(1, {a1} + {d1} * {c} * d1 + 0.25 * s1 + {a2} + 0.2 * {c} * d2)) AS {c}" for c, a1, d1, a2 in (("r", 0.1, 0.8, 0.0), ("g", 0.1, 0.6, 0.0), ("b", 0.1, 0.4, 0.05))}
+
+
+def shade(colour: list) -> list:
+    length = F.sqrt((F.col("w") - 3) * (F.col("w") - 3) + 4)
+    return colors.shaded([(F.col("w") - 3) / length, F.lit(0.0), 2 / length], [F.lit(0.0), F.lit(0.0), F.lit(8.0)], [F.lit(0.0)] * 3, colour, LIGHTS)
+
+
+@query(with_views("rays", body=f"+{REL}, {RAMPED}, {NORMAL_SQL.format(rows='rp')}, " + composed(f"SELECT pixel, step, {', '.join(LIT_SQL.values())}, al AS a FROM (SELECT *, 1 - power(1 - 0.3 * a, 0.5) AS al FROM lit) q WHERE al >= 1e-5", "step") + SHOWN))
+def argb_light_rays(spark, d):
+    """The same, lit by two lights on both sides."""
+    return shown(view.volume(rays(spark, d), ["pixel"], RAMP, 0.3, 0.0, 500.0, 0.5, shade))
+
+
+CROSS = "ld AS (SELECT *, lead(v) OVER (PARTITION BY pixel ORDER BY step) AS v2, lead(w) OVER (PARTITION BY pixel ORDER BY step) AS w2 FROM rays)"
+
+
+@query(with_views("rays", body=f"+{CROSS}, rl AS (SELECT pixel, step, (50 - v) / (v2 - v) AS t, w + (w2 - w) * (50 - v) / (v2 - v) AS w, 0.1::DOUBLE AS rel FROM ld WHERE (v - 50) * (v2 - 50) < 0), {RAMPED.replace('step, w', 'step, t, w')}, {NORMAL_SQL.format(rows='rp')}, " + composed(f"SELECT pixel, step, t, {', '.join(LIT_SQL.values())}, a * 0.5 AS a FROM lit", "step, t") + SHOWN))
+def isosurface_image_rays(spark, d):
+    """A half transparent, lit isosurface: the colour of its level, normals from a second field at the crossing."""
+    found = view.crossings(rays(spark, d), 50.0, ["pixel"], value="w")
+    return shown(view.surfaces(found, ["pixel"], RAMP, F.lit(50.0 / 500), 0.5, shade))
+
+
+@query(with_views("rays", body=f"+{CROSS}, rl AS (SELECT pixel, step, (l - v) / (v2 - v) AS t, w, l / 500.0::DOUBLE AS rel FROM ld, (SELECT unnest([20.0::DOUBLE, 50.0::DOUBLE, 120.0::DOUBLE]) AS l) q WHERE (v - l) * (v2 - l) < 0), {RAMPED.replace('step, w', 'step, t, w')}, " + composed("SELECT pixel, step, t, r, g, b, a * 0.5 AS a FROM rp", "step, t") + SHOWN))
+def isosurfaces_image_rays(spark, d):
+    """Several isosurfaces, each in the colour of its level, in the order in which the ray meets them."""
+    levels = [20.0, 50.0, 120.0]
+    found = view.multi_crossings(rays(spark, d), levels, ["pixel"])
+    at = F.element_at(F.array(*(F.lit(x / 500) for x in levels)), F.col("level_no") + 1)
+    return shown(view.surfaces(found, ["pixel"], RAMP, at, 0.5))
+
+
+@query(with_views("rays", body=f"+{CROSS}, rl AS (SELECT pixel, step, (50 - v) / (v2 - v) AS t, w, (w + (w2 - w) * (50 - v) / (v2 - v)) / 7 AS rel FROM ld WHERE (v - 50) * (v2 - 50) < 0), {RAMPED.replace('step, w', 'step, t, w')}, " + composed("SELECT pixel, step, t, r, g, b, a * 0.8 AS a FROM rp", "step, t") + SHOWN))
+def value_image_rays(spark, d):
+    """An isosurface in the colours of a second field."""
+    found = view.crossings(rays(spark, d), 50.0, ["pixel"], value="w")
+    return shown(view.surfaces(found, ["pixel"], RAMP, F.col("w") / 7, 0.8))
+
+
+@query(with_views("rays", body=f"""+{REL}, {RAMPED}, """ + composed("SELECT pixel, step, r, g, b, 1 - power(1 - 0.3 * a, 0.5) AS a FROM rp WHERE step <= 2", "step") + """, px AS (SELECT pixel, 128 AS oa, pixel % 256 AS o_r, 64 AS og FROM (SELECT DISTINCT pixel FROM rays) t),
+ab AS (SELECT pixel, c, oa / 255.0::DOUBLE * (1 - c.a) AS da, o_r / 255.0::DOUBLE AS o_r, og / 255.0::DOUBLE AS og FROM fd JOIN px USING (pixel)), mx AS (SELECT pixel, c.a + da AS a, (o_r * da + c.r * c.a) / (c.a + da) AS r, (og * da + c.g * c.a) / (c.a + da) AS g FROM ab)
+SELECT pixel, CAST(floor(a * 255.999) AS INT) AS a, CAST(floor(r * 255.999) AS INT) AS r, CAST(floor(g * 255.999) AS INT) AS g FROM mx"""))
+def drawn_pixels_rays(spark, d):
+    """A volume's first samples above what the pixels show already, in packed colours."""
+    r = rays(spark, d)
+    pixels = r.select("pixel").distinct().withColumn("argb", F.lit(128 << 24).cast("long") + (F.col("pixel") % 256) * (1 << 16) + (64 << 8))
+    image = view.volume(r.where("step <= 2"), ["pixel"], RAMP, 0.3, 0.0, 500.0, 0.5)
+    red, green, _, alpha = colors.unpack(F.col("argb"))
+    return view.drawn(image, pixels, ["pixel"]).select("pixel", alpha.alias("a"), red.alias("r"), green.alias("g"))
+
+
 TABLE = [0.0, 1.0, 4.0, 9.0, 16.0]
 
 

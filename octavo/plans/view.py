@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from octavo.functions.cells import index_names, node_names
 from octavo.operators import dense
+from octavo.storage import keep, sized
 
 MODES = ("Isosurface", "Isosurfaces", "MIP", "ARGB", "ARGBLight", "DomainVoxels", "ValueOnIsosurface", "ValueOnIsosurfaces")
 
@@ -127,10 +128,28 @@ class FieldService:
 
 
 def nearest_time(query_times: DataFrame, frame_times: DataFrame, t: str, frame: str) -> DataFrame:
-    """For each query time the frame whose time is nearest (the earlier on a tie). Frames are a short list."""
-    rows = query_times.join(F.broadcast(frame_times.withColumnRenamed(t, "_ft")))
+    """For each query time the frame whose time is nearest (the lower number on a tie); null times have none.
+
+    Both are put in order of time by one range sort; a query looks at the frames before and after it there, and
+    over the partitions' edges by one small row for each.
+    """
     others = query_times.columns
-    return rows.groupBy(*others).agg(F.min_by(frame, F.struct(F.abs(F.col("_ft") - F.col(t)), frame)).alias(frame))
+    frames = frame_times.groupBy(t).agg(F.min(frame).alias(frame)).where(F.col(t).isNotNull())
+    asked = query_times.select(F.col(t).cast("double").alias("_t"), F.struct(*others).alias("_q"), F.lit(None).cast(frames.schema[frame].dataType).alias("_f"))
+    known = frames.select(F.col(t).cast("double").alias("_t"), F.lit(None).cast(asked.schema["_q"].dataType).alias("_q"), F.col(frame).alias("_f"))
+    rows = asked.unionByName(known).repartitionByRange("_t", F.xxhash64("_q", "_f")).sortWithinPartitions("_t")
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    mark = F.when(F.col("_f").isNotNull(), F.struct("_t", "_f"))
+    ahead, back = (Window.partitionBy("_part").orderBy(o) for o in (F.col("_i"), F.col("_i").desc()))
+    rows = keep(rows.withColumn("_a", F.last(mark, ignorenulls=True).over(ahead)).withColumn("_b", F.last(mark, ignorenulls=True).over(back)), "times")
+    edge = rows.groupBy("_part").agg(F.max_by("_a", "_i").alias("_last"), F.min_by("_b", "_i").alias("_first"))
+    parts = Window.orderBy("_part")
+    edge = edge.select("_part", F.last("_last", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_la"), F.first("_first", ignorenulls=True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_fb"))
+    found = rows.where("_q is not null").join(sized(edge), "_part")
+    sides = [F.coalesce("_a", "_la"), F.coalesce("_b", "_fb")]
+    choice = F.array_min(F.array(*(F.when(s.isNotNull(), F.struct(F.abs(s["_t"] - F.col("_t")).alias("d"), s["_f"].alias("f"))) for s in sides)))
+    out = found.where("_t is not null").select("_q.*", choice["f"].alias(frame))
+    return out.unionByName(found.where("_t is null").select("_q.*", F.lit(None).cast(out.schema[frame].dataType).alias(frame)))
 
 
 class Workers:

@@ -6,10 +6,11 @@ scan is (zone, first row, rows), whatever the size of a zone.
 
 from __future__ import annotations
 
+import copy
 import io
 import re
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyarrow import fs
@@ -52,7 +53,12 @@ class Zone:
     etype: str = "quad"
     shape: list[int] | None = None  # nodes per axis of an ordered zone
     point: bool = True
-    at: int = 0  # where its rows begin: a byte, or a line of the text
+    at: int = 0  # the byte where its rows begin
+    marks: list[int] = field(default_factory=list)  # of text: the bytes where every MARK-th of its rows begins
+
+
+#: Rows of a text between two places that a reader can begin at.
+MARK = 1 << 14
 
 
 @dataclass
@@ -61,6 +67,10 @@ class Layout:
     variables: list[str]
     zones: list[Zone] = field(default_factory=list)
 
+    def part(self, zone: int, first: int, rows: int) -> Layout:
+        """What a reader of these rows needs, without looking through the file again."""
+        return self
+
     def read_nodes(self, zone: int, first: int, rows: int) -> np.ndarray:
         raise NotImplementedError
 
@@ -203,42 +213,55 @@ class TextMesh(Layout):
 
     def __init__(self, path: str):
         super().__init__(path, [])
-        lines = io.TextIOWrapper(io.BufferedReader(_Raw(opened(path))), "utf-8", errors="replace")
-        header, number, pending = "", 0, None
-        for number, line in enumerate(lines):
-            word = first_word(line)
-            if not line.strip() or line.strip().startswith("#"):
-                continue
-            if word in RECORDS:
-                pending = (number, line)
-                break
-            header += " " + line.rstrip("\n")
-        self.title, self.variables, self.kind = text_header(header)
-        zone_text, skipping, need = None, False, 0
-        stream = iter([]) if pending is None else _chain(pending[1], lines)
-        at = pending[0] if pending else 0
-        for number, line in enumerate(stream, at):
+        header, zone_text, skipping, need, in_header, place, seen = "", None, False, 0, True, 0, 0
+        for raw in io.BufferedReader(_Raw(opened(path)), 1 << 20):
+            begin, place = place, place + len(raw)
             if need:
-                if line.strip() and not line.strip().startswith("#"):
-                    need -= 1
+                if (text := raw.strip()) and not text.startswith(b"#"):
+                    if seen % MARK == 0:
+                        self.zones[-1].marks.append(begin)
+                    seen, need = seen + 1, need - 1
+                continue
+            line = raw.decode("utf-8", "replace")
+            if not line.strip() or line.strip().startswith("#"):
                 continue
             word = first_word(line)
+            if in_header and word not in RECORDS:
+                header += " " + line.rstrip("\r\n")
+                continue
+            if in_header:
+                in_header = False
+                self.title, self.variables, self.kind = text_header(header)
             if word in RECORDS:
                 skipping = word != "ZONE"
                 if zone_text is not None:
                     self._close(zone_text, None)
                 zone_text = None if skipping else line.strip()[4:]
-            elif skipping or zone_text is None or not line.strip() or line.strip().startswith("#"):
+            elif skipping or zone_text is None:
                 continue
             elif re.match(r"\s*[-+.\d]", line):
-                z = self._close(zone_text, number)
-                zone_text = None
+                z = self._close(zone_text, begin)
+                zone_text, seen = None, 1
+                z.marks.append(begin)
                 need = self._lines(z) - 1
             else:
-                zone_text += " " + line.rstrip("\n")
+                zone_text += " " + line.rstrip("\r\n")
+        if in_header:
+            self.title, self.variables, self.kind = text_header(header)
         if need:
             raise FormatError("the file ends inside a zone")
 
+    def part(self, zone: int, first: int, rows: int) -> TextMesh:
+        out = copy.copy(self)
+        out.zones = [replace(z, marks=[]) for z in self.zones]
+        z = self.zones[zone]
+        for skip in (first, z.nodes + first):  # as node rows, and as rows of connectivity
+            k = skip // MARK
+            if k < len(z.marks):
+                out.zones[zone].marks += [-1] * (k + 1 - len(out.zones[zone].marks))
+                out.zones[zone].marks[k] = z.marks[k]
+        return out
+
     def _lines(self, z: Zone) -> int:
         if not z.point:
             raise FormatError("block form is not supported")
@@ -253,19 +276,20 @@ class TextMesh(Layout):
         return z
 
     def _rows(self, zone: int, skip: int, rows: int, kind) -> np.ndarray:
-        lines = io.TextIOWrapper(io.BufferedReader(_Raw(opened(self.path))), "utf-8", errors="replace")
-        out, seen = [], 0
-        for number, line in enumerate(lines):
-            if number < self.zones[zone].at or not line.strip() or line.strip().startswith("#"):
+        file, out = opened(self.path), []
+        file.seek(self.zones[zone].marks[skip // MARK])
+        skip %= MARK
+        for raw in io.BufferedReader(_Raw(file), 1 << 20):
+            text = raw.strip()
+            if not text or text.startswith(b"#"):
                 continue
-            if seen >= skip + rows:
-                break
-            if seen >= skip:
-                out.append(np.array(line.split(), dtype=kind))
-            seen += 1
-        if len(out) < rows:
-            raise FormatError("the file ends inside a zone")
-        return np.stack(out)
+            if skip:
+                skip -= 1
+                continue
+            out.append(np.array(text.split(), dtype=kind))
+            if len(out) == rows:
+                return np.stack(out)
+        raise FormatError("the file ends inside a zone")
 
     def read_nodes(self, zone: int, first: int, rows: int) -> np.ndarray:
         return self._rows(zone, first, rows, float)
@@ -288,11 +312,6 @@ class _Raw(io.RawIOBase):
         return len(data)
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
-
-
 # -- binary meshes -----------------------------------------------------------
 
 
@@ -457,8 +476,8 @@ def write_rect_grid(path: str, grid: RectGrid, real: int = 4) -> None:
             f.write(a.tobytes())
 
 
-def read_rect_grid(path: str, dim: int, real: int = 4, only: list[str] | None = None) -> RectGrid:
-    """A grid's coordinates and its arrays, or those named. The version may not be newer, the dimension must fit."""
+def rect_grid_header(path: str, dim: int, real: int = 4) -> tuple[RectGrid, dict[str, tuple[str, int, int]]]:
+    """A grid without its arrays, and of each array the type, size and place in the file. The version may not be newer, the dimension must fit."""
     f = opened(path)
     if _string(f) != GRID_ID:
         raise FormatError("not a rectangular grid")
@@ -477,12 +496,26 @@ def read_rect_grid(path: str, dim: int, real: int = 4, only: list[str] | None =
         kind, size = struct.unpack("<IQ", f.read(12))
         info.append((name, ORDINALS[kind], size))
     (k,) = struct.unpack("<Q", f.read(8))
-    arrays = {}
-    for (name, kind, size), at in zip(info, struct.unpack(f"<{k}q", f.read(8 * k)), strict=True):
-        if only is None or name in only:
-            f.seek(at)
-            arrays[name] = np.frombuffer(f.read(np.dtype(kind).itemsize * size), kind)
-    return RectGrid(shape, coordinates, arrays)
+    places = struct.unpack(f"<{k}q", f.read(8 * k))
+    return RectGrid(shape, coordinates, {}), {name: (kind, size, at) for (name, kind, size), at in zip(info, places, strict=True)}
+
+
+def read_cells(path: str, array: tuple[str, int, int], first: int, count: int) -> np.ndarray:
+    """Some cells of an array, read from their own place in the file."""
+    kind, _, at = array
+    f, width = opened(path), np.dtype(kind).itemsize
+    f.seek(at + first * width)
+    data = np.frombuffer(f.read(count * width), kind)
+    if len(data) < count:
+        raise FormatError("the file ends inside an array")
+    return data
+
+
+def read_rect_grid(path: str, dim: int, real: int = 4, only: list[str] | None = None) -> RectGrid:
+    """A grid's coordinates and its arrays, or those named."""
+    grid, arrays = rect_grid_header(path, dim, real)
+    grid.arrays = {n: read_cells(path, a, 0, a[1]) for n, a in arrays.items() if only is None or n in only}
+    return grid
 
 
 def read_vtk_rectilinear(path: str) -> RectGrid:

@@ -20,8 +20,8 @@ ROWS = 1 << 20
 
 
 class _Part(InputPartition):
-    def __init__(self, zone: int, first: int, rows: int):
-        self.zone, self.first, self.rows = zone, first, rows
+    def __init__(self, file: formats.Layout, zone: int, first: int, rows: int):
+        self.file, self.zone, self.first, self.rows = file, zone, first, rows
 
 
 class MeshReader(DataSourceReader):
@@ -31,14 +31,15 @@ class MeshReader(DataSourceReader):
         self.rows = int(options.get("rows", ROWS))
 
     def partitions(self) -> list[_Part]:
-        zones = formats.layout(self.path).zones
-        counts = [z.nodes if self.table == "nodes" else z.elements for z in zones]
+        """The file is looked through once, here; each part knows where its rows begin."""
+        file = formats.layout(self.path)
         if self.table == "zones":
-            return [_Part(0, 0, len(zones))]
-        return [_Part(i, at, min(self.rows, n - at)) for i, n in enumerate(counts) for at in range(0, n, self.rows)]
+            return [_Part(file.part(0, 0, 0) if file.zones else file, 0, 0, len(file.zones))]
+        counts = [z.nodes if self.table == "nodes" else z.elements for z in file.zones]
+        return [_Part(file.part(i, at, min(self.rows, n - at)), i, at, min(self.rows, n - at)) for i, n in enumerate(counts) for at in range(0, n, self.rows)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        file = formats.layout(self.path)
+        file = part.file
         if self.table == "zones":
             z = file.zones
             yield pa.RecordBatch.from_pydict({"zone_id": pa.array(range(len(z)), pa.int32()), "title": [x.title for x in z], "etype": [x.etype for x in z], "nodes": [x.nodes for x in z], "elements": [x.elements for x in z], "shape": pa.array([x.shape for x in z], pa.list_(pa.int64()))})
@@ -88,15 +89,14 @@ def zone_counts(nodes: DataFrame) -> DataFrame:
 
 def read_voxels(spark: SparkSession, path: str, dim: int, arrays: list[str] | None = None, slab: int = 1 << 20) -> DataFrame:
     """A rectangular grid's cells with their arrays; ranges of cells are read by the workers."""
-    grid = formats.read_rect_grid(path, dim, only=[])
-    total = int(np.prod(grid.cells))
-    named = formats.read_rect_grid(path, dim, only=arrays)
-    kinds = {"f": "double", "i": "bigint", "u": "bigint", "b": "bigint"}
-    columns = {n: kinds[a.dtype.kind] for n, a in named.arrays.items() if a.size == total}
+    grid, found = formats.rect_grid_header(path, dim)
     cells = grid.cells
+    total = int(np.prod(cells))
+    kinds = {"f": "double", "i": "bigint", "u": "bigint", "b": "bigint"}
+    named = {n: a for n, a in found.items() if a[1] == total and (arrays is None or n in arrays)}
+    columns = {n: kinds[np.dtype(a[0]).kind] for n, a in named.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = formats.read_rect_grid(path, dim, only=list(columns))
         for batch in batches:
             for begin in batch.column(0).to_pylist():
                 at = np.arange(begin, min(total, begin + slab))
@@ -104,7 +104,7 @@ def read_voxels(spark: SparkSession, path: str, dim: int, arrays: list[str] | No
                 for n in cells:
                     made.append(pa.array((o % n).astype(np.int32)))
                     o = o // n
-                made += [pa.array(data.arrays[n][at].astype(float if t == "double" else np.int64)) for n, t in columns.items()]
+                made += [pa.array(formats.read_cells(path, a, begin, len(at)).astype(float if columns[n] == "double" else np.int64)) for n, a in named.items()]
                 yield pa.RecordBatch.from_arrays(made, [*index_names(dim), *columns])
 
     schema = ", ".join([*(f"{i} int" for i in index_names(dim)), *(f"`{n}` {t}" for n, t in columns.items())])

@@ -161,10 +161,28 @@ def test_view_helpers(spark):
     behind = m.copy()
     behind[3] = [0, 0, 0, -1]
     assert view.view_rectangle([(0, 0, 0)], behind, 100, 50) == (0, 0, 100, 50)
-    cam = view.Camera().rotated(10, 5).panned(1, 2).zoomed(2.0)
-    assert np.isclose(np.linalg.det(cam.matrix[:3, :3]), 8) and np.allclose(cam.reset().matrix, np.eye(4))
-    with pytest.raises(ValueError):
-        cam.zoomed(0)
+    cam = view.Camera().reset()
+    far = np.linalg.norm(cam.eye)
+    assert np.isclose(far, 10.1 * np.sqrt(3) / (2 * np.sin(np.pi / 12))) and np.allclose(cam.eye / far, np.array([2, 1, 3]) / np.sqrt(14))
+    turned = cam.rotated(200, 0).rotated(0, 30)  # 200 pixels are a quarter turn, here about the picture's upward axis
+    assert np.isclose(np.linalg.norm(turned.eye), far) and np.allclose(turned.matrix[:3, :3] @ turned.matrix[:3, :3].T, np.eye(3))
+    assert abs(cam.rotated(200, 0).eye @ cam.eye) < 1e-6 + far**2 * 0.2
+    assert np.isclose(np.linalg.norm(turned.zoomed(1.0).eye), far / np.e) and np.allclose(turned.zoomed(1.0).zoomed(-1.0).matrix, turned.matrix)
+    moved = cam.panned(200, 0)  # the picture's half height at the centre's distance
+    assert np.isclose(np.linalg.norm(moved.centre), far * np.tan(np.pi / 12)) and np.allclose(moved.eye - moved.centre, cam.eye)
+    tilted = view.Camera(turned.matrix).upright()
+    assert np.allclose(tilted.eye, turned.eye) and abs(tilted.matrix[0, 1]) < 1e-9 and tilted.matrix[1, 1] > 0
+    mouse = view.Mouse(cam)
+    for s in [(0, 10, 10, 1), (40, 30, 10, 1), (80, 30, 10, 0)]:  # dragged with the left button
+        mouse.state(*s)
+    assert np.allclose(mouse.camera.matrix, cam.rotated(20, 0).matrix)
+    mouse.state(90, 30, 10, 0, 120)
+    assert np.isclose(np.linalg.norm(mouse.camera.eye), far / np.e)
+    mouse.state(100, 30, 10, 8, 120)
+    assert np.isclose(np.linalg.norm(mouse.camera.eye), far / np.exp(1.1))
+    for s in [(4900, 0, 0, 0), (5000, 0, 0, 1), (5050, 0, 0, 0), (5100, 0, 0, 1), (5150, 0, 0, 0)]:  # a double click
+        mouse.state(*s)
+    assert np.allclose(mouse.camera.matrix, cam.matrix)
     s = view.samples(spark.createDataFrame([(0, 1.0, 3.0)], "pixel int, enter double, leave double"), view.sample_count(F.lit(2.0), 1.0, 2.0)).orderBy("step").collect()
     assert [r.t for r in s] == [1, 1.5, 2, 2.5, 3]
     table = colors.transfer_table([(0, 0, 0, 0, 0), (1, 1, 0.5, 0, 1)], 5)
