@@ -107,15 +107,9 @@ def build(light: DataFrame, full: DataFrame, id_col: str) -> Store:
     recipes = keep(light, "recipes")
     payload = recipes.groupBy("root").agg(F.min(id_col).alias("keeper"), F.count("*").alias("copies"), F.first("digests").alias("digests"))
     refs = payload.select("root", F.explode(F.array_distinct("digests")).alias("digest"))
-    refs = keep(refs, "refs")
-    owners = keep(refs.groupBy("digest").agg(F.min("root").alias("owner"), F.count("*").alias("users")).where("users > 1"), "owners")
-    # a hot chunk's owner goes to all tasks: there are at most a HOT-th of them; the others have few rows each
-    hot = owners.where(F.col("users") >= HOT)
-    n = hot.count()
-    few = refs.join(sized(hot.select("digest"), n), "digest", "left_anti") if n else refs
-    found = few.join(owners.where(F.col("users") < HOT), "digest")
-    found = found.unionByName(refs.join(sized(hot, n), "digest")) if n else found
-    borrowed = keep(found.where("owner <> root").drop("owner"), "borrowed")
+    owners = refs.groupBy("digest").agg(F.min("root").alias("owner"), F.count("*").alias("users")).where("users > 1")
+    # a hot chunk's payloads are split between tasks as the join runs (adaptive skew join): digests and roots alone
+    borrowed = keep(refs.join(owners, "digest").where("owner <> root").drop("owner"), "borrowed")
     lists = borrowed.groupBy("root").agg(F.collect_list("digest").alias("foreign"))
     # Only payloads with copies or borrowed chunks need a mark; all others are written by the one document that has them.
     marks = payload.select("root", "keeper", "copies").join(lists, "root", "left").where("copies > 1 or foreign is not null")

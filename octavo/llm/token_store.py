@@ -87,6 +87,27 @@ def pieces(raw: np.ndarray, offs: np.ndarray, added: Iterable[tuple[bytes, bool]
     return starts, np.append(starts[1:], n)
 
 
+class Growing:
+    """A flat array that values are added to; its room doubles, so that adding does not copy all of it each time."""
+
+    def __init__(self, first: np.ndarray):
+        self.room, self.n = first, len(first)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.n + len(more)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
 class Encoder:
     """Encodes columns of texts; ids of pieces seen before are looked up by hash.
 
@@ -109,8 +130,8 @@ class Encoder:
     def clear(self) -> None:
         self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.latest: dict[int, int] = {}
-        self.pool = np.array([self.end_id], self.kind)
-        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int32)
+        self.pool = Growing(np.array([self.end_id], self.kind))
+        self.start, self.length = Growing(np.zeros(1, np.int64)), Growing(np.ones(1, np.int32))
 
     def merge(self) -> None:
         h = np.concatenate([self.hashes, np.fromiter(self.latest.keys(), np.uint64, len(self.latest))])
@@ -140,9 +161,10 @@ class Encoder:
                 lengths.append(np.fromiter(map(len, ids), np.int32, len(ids)))
                 flats.append(np.fromiter(chain.from_iterable(ids), self.kind, int(lengths[-1].sum())))
             length, base = np.concatenate(lengths), len(self.start)
-            self.start = np.append(self.start, len(self.pool) + np.cumsum(length, dtype=np.int64) - length)
-            self.length = np.append(self.length, length)
-            self.pool = np.concatenate([self.pool, *flats])
+            self.start.add(len(self.pool) + np.cumsum(length, dtype=np.int64) - length)
+            self.length.add(length)
+            for flat in flats:
+                self.pool.add(flat)
             slot[new] = np.arange(base, base + len(new))
             self.latest.update(zip(unique[new].tolist(), range(base, base + len(new)), strict=True))
         return slot
