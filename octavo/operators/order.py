@@ -163,6 +163,12 @@ def worker_eye(eye: tuple[float, ...], half: float = 5.0) -> tuple[float, ...]:
     return tuple((e + half) / (2 * half) for e in eye)
 
 
+def index_box_bounds(level: int, lo: tuple[int, ...], hi: tuple[int, ...], half: float = 5.0) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The place of an index box (hi exclusive) of a level in the cube [-half, half]."""
+    size = 2 * half / (1 << level)
+    return tuple(size * i - half for i in lo), tuple(size * i - half for i in hi)
+
+
 def sorted_levels(levels: list[float], most: int = 50) -> list[float]:
     """Distinct levels in order, at most so many."""
     return sorted(set(levels))[:most]

@@ -95,10 +95,12 @@ def rank_index(masks: DataFrame, dim: int, depth: int) -> DataFrame:
     return rows.withColumn("first_child", F.when(F.col("children") > 0, F.col("earlier") + 1)).drop("earlier")
 
 
-def block_at(keys: DataFrame, blocks: DataFrame, dim: int) -> DataFrame:
-    """Exact lookup; a key without a block is an error."""
+def block_at(keys: DataFrame, blocks: DataFrame, dim: int, strict: bool = True) -> DataFrame:
+    """Exact lookup; a key without a block is an error, or has a false ``found`` if not ``strict``."""
     marked = blocks.withColumn("_found", F.lit(True))
     out = keys.join(marked, key_names(dim), "left")
+    if not strict:
+        return out.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
     return out.where(F.when(F.col("_found"), True).otherwise(F.raise_error(F.lit("no such block")))).drop("_found")
 
 
@@ -144,6 +146,11 @@ def walk(blocks: DataFrame, root: tuple[int, ...], dim: int, depth: int | None =
     return rows if depth is None else rows.where(F.col("level") <= level + depth)
 
 
+def is_deeper(blocks: DataFrame, root: tuple[int, ...], dim: int, depth: int) -> DataFrame:
+    """One row: whether a walk of so many levels from the root leaves out blocks below."""
+    return walk(blocks, root, dim).agg(F.coalesce(F.max(F.col("level") > root[0] + depth), F.lit(False)).alias("deeper"))
+
+
 def child_counts(blocks: DataFrame, dim: int) -> DataFrame:
     """Blocks with their number of children and whether they have all, none or a part of them."""
     n = F.bit_count("mask").cast("int")

@@ -291,20 +291,43 @@ def padded_split(spark, d):
     return spark.createDataFrame([(i, a[0], b[0], a[1], b[1], a[2], b[2]) for i, (a, b) in enumerate(found)], "n int, x0 int, x1 int, y0 int, y1 int, z0 int, z1 int")
 
 
-@query("""WITH b AS (SELECT CAST(x * 4 AS INT) AS x0, CAST(y * 4 AS INT) AS y0, CAST(z * 4 AS INT) AS z0, x, y, z FROM (SELECT unnest([0, 1]) AS x) a, (SELECT unnest([0, 1]) AS y) c, (SELECT unnest([0, 1]) AS z) d)
-SELECT x0, y0, z0, x = 0 AND y = 0 AND z = 0 AS last, x = 1 AND y = 1 AND z = 1 AS first FROM b WHERE z = 0 AND y = 0 OR x = 1 AND y = 1 AND z = 1""")
+@query("""WITH b AS (SELECT CAST(x AS INT) AS x0, CAST(y AS INT) AS y0, CAST(z AS INT) AS z0 FROM (SELECT unnest([0, 1]) AS x) a, (SELECT unnest([0, 1]) AS y) c, (SELECT unnest([0, 1]) AS z) d)
+SELECT CAST(row_number() OVER (ORDER BY 3 - x0 - y0 - z0, 1 - z0, 1 - y0) - 1 AS INT) AS n, x0, y0, z0 FROM b""")
 def sorted_split(spark, d):
-    """The level-3 cube in eight boxes, seen from beyond its lowest corner: the farthest box first, the nearest last."""
-    found = _eight()
-    rows = [(*a, i == len(found) - 1, i == 0) for i, (a, _) in enumerate(found)]
-    return spark.createDataFrame([r for r in rows if r[1] == r[2] == 0 or r[:3] == (4, 4, 4)], "x0 int, y0 int, z0 int, last boolean, first boolean")
+    """The level-1 cube in eight boxes, seen from beyond its lowest corner: the farthest box first, the nearest last."""
+    found = order.sorted_boxes(1, 8, (-1.0, -1.0, -1.0))
+    return spark.createDataFrame([(i, *a) for i, (a, _) in enumerate(found)], "n int, x0 int, y0 int, z0 int")
 
 
-def _eight() -> list:
-    half = [((x * 4, y * 4, z * 4), (x * 4 + 4, y * 4 + 4, z * 4 + 4)) for z in (0, 1) for y in (0, 1) for x in (0, 1)]
-    key = {(box[0][0] // 4, box[0][1] // 4, box[0][2] // 4): box for box in half}
-    far = sorted(key, key=lambda c: (-sum(c), c))
-    return [key[c] for c in far]
+@query("SELECT CAST(i AS INT) AS n, -5 + 10.0::DOUBLE / 8 * i AS lo, -5 + 10.0::DOUBLE / 8 * (i + 2) AS hi FROM (SELECT unnest(generate_series(0, 5)) AS i) t")
+def index_boxes(spark, d):
+    """Where index boxes of two cells lie in the cube that workers see."""
+    rows = [(i, *(x[0] for x in order.index_box_bounds(3, (i, 0, 0), (i + 2, 1, 1)))) for i in range(6)]
+    return spark.createDataFrame(rows, "n int, lo double, hi double")
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    p = pts2(spark, d)
+    return tree.with_ancestors(tree.occupied(p, cells.cube_of(p, 2), 4), 2)
+
+
+@query("WITH r AS (SELECT unnest(generate_series(1, 4)) AS depth) SELECT CAST(depth AS INT) AS depth, depth < 4 AS deeper FROM r")
+def walk_is_deeper_pts2(spark, d):
+    """Whether a walk of so many levels from the root leaves blocks out: the tree has four."""
+    blocks, out = _blocks(spark, d), None
+    for depth in (1, 2, 3, 4):
+        row = tree.is_deeper(blocks, (0, 0, 0), 2, depth).select(F.lit(depth).alias("depth"), "deeper")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(with_views("pts2", "cube2", body="""+c AS (SELECT DISTINCT CAST(greatest(least(ceil((x - mx) / s * 16) - 1, 15), 0) AS INT) AS ix, CAST(greatest(least(ceil((y - my) / s * 16) - 1, 15), 0) AS INT) AS iy FROM pts2, cube2),
+k AS (SELECT CAST(i AS INT) AS ix, CAST(j AS INT) AS iy FROM (SELECT unnest(generate_series(0, 15)) AS i) p, (SELECT unnest(generate_series(0, 15)) AS j) q)
+SELECT 4 AS level, k.ix, k.iy, c.ix IS NOT NULL AS found FROM k LEFT JOIN c USING (ix, iy)"""))
+def maybe_lookup_pts2(spark, d):
+    """Every cell of a level, and whether the tree has it."""
+    keys = mesh.odometer(spark, [16, 16], ["ix", "iy"]).select(F.lit(4).alias("level"), "ix", "iy")
+    return tree.block_at(keys, _blocks(spark, d), 2, strict=False).select("level", "ix", "iy", "found")
 
 
 @query(with_views("emb3", body="SELECT id, round((x + 5) / 10, 5) AS ex, round((y + 5) / 10, 5) AS ey FROM emb3"))

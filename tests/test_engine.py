@@ -79,6 +79,8 @@ def test_stored_subtrees_by_the_recursive_rule(points, full, depth):
 def test_constant_fields_stay_constant(points):
     made = prepare.points_problem(points, 3, "one", 3, 2)
     assert made.sparse.where("abs(value - 7) > 1e-9").count() == 0 and made.sparse.count() > 0
+    two = prepare.generated(made, lambda made, field, frame: tree.subtree_nodes(made.subtrees, made.blocks, 3).withColumn("value", F.lit(2.0 + frame)), "p", 1, 3)
+    assert {r.value for r in two.select("value").distinct().collect()} == {3.0} and two.count() >= made.sparse.count()
     mean = fields.corner_mean(points, made.cube, 3, "x").collect()
     assert all(-1e-9 <= r.value <= 1 + 1e-9 for r in mean)
 
