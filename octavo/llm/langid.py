@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from octavo.llm.blocks import LETTERS, U8, column_bytes, mix, shards, span_hash, word_spans
+from octavo.llm.blocks import LETTERS, U8, column_bytes, mix, release, shards, span_hash, word_spans
 
 #: Labelled documents from which the model is learned.
 SAMPLE = 1500
@@ -30,6 +30,8 @@ DIM = 1 << 16
 #: A word of the lexicons occurs so often in the sample; each lexicon has at most so many words.
 LEXICON_COUNT, LEXICON_SIZE = 4, 20_000
 EPOCHS, PARTS, RATE = 5, 6, 0.08
+#: Bytes of text labelled at a time, and distinct words whose features are made at a time.
+SHARD, AT_ONCE = 1 << 20, 1 << 13
 UNDETERMINED = "und"
 _K = [U8(0x9E3779B97F4A7C15), U8(0xC2B2AE3D27D4EB4F), U8(0x165667B19E3779F9), U8(0x27D4EB2F165667C5)]
 
@@ -93,9 +95,9 @@ class Model:
     def emissions(self, m: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Scores of each distinct word for each language."""
         out = np.empty((len(starts), len(self.languages)), np.float32)
-        for a in range(0, len(starts), 1 << 15):
-            f, offs = word_features(m, starts[a : a + (1 << 15)], ends[a : a + (1 << 15)])
-            out[a : a + (1 << 15)] = np.add.reduceat(self.weights[f], offs[:-1], axis=0)
+        for a in range(0, len(starts), AT_ONCE):
+            f, offs = word_features(m, starts[a : a + AT_ONCE], ends[a : a + AT_ONCE])
+            out[a : a + AT_ONCE] = np.add.reduceat(self.weights[f], offs[:-1], axis=0)
         return out + self.lexical(hashes) @ self.lexicon_weights
 
 
@@ -190,9 +192,12 @@ def train(texts: list[str], labels: list[str]) -> Model:
             sizes = np.array([len(made[i]) for i in part])
             at = np.cumsum(sizes) - sizes
             local, types = pd.factorize(codes[words])
-            f, fo = word_features(m, starts[where[types]], ends[where[types]])
             lexical = model.lexical(unique[types])
-            emission = np.add.reduceat(params[0][f], fo[:-1], axis=0) + lexical @ params[1]
+            emission, made_of = lexical @ params[1], []  # the features of some words at a time, in two bytes each
+            for a in range(0, len(types), AT_ONCE):
+                f, fo = word_features(m, starts[where[types[a : a + AT_ONCE]]], ends[where[types[a : a + AT_ONCE]]])
+                emission[a : a + AT_ONCE] += np.add.reduceat(params[0][f], fo[:-1], axis=0)
+                made_of.append((f.astype(np.uint16), np.diff(fo)))
             post, expected, began = marginals(emission[local], at, sizes, params[2], params[3], pairs=True)
             truth = label[words]
             inside = np.ones(len(words), bool)
@@ -201,9 +206,13 @@ def train(texts: list[str], labels: list[str]) -> Model:
             seen = np.bincount(truth[to - 1] * size + truth[to], minlength=size * size).reshape(size, size)
             post[np.arange(len(words)), truth] -= 1
             by_type = np.stack([np.bincount(local, weights=post[:, k], minlength=len(types)) for k in range(size)], 1)
-            per_feature = np.repeat(by_type, np.diff(fo), axis=0)
+            by_feature = np.zeros((DIM, size))
+            for i, (f, count) in enumerate(made_of):
+                own = by_type[i * AT_ONCE : (i + 1) * AT_ONCE]
+                for k in range(size):
+                    by_feature[:, k] += np.bincount(f, weights=np.repeat(own[:, k], count), minlength=DIM)
             grads = [
-                np.stack([np.bincount(f, weights=per_feature[:, k], minlength=DIM) for k in range(size)], 1),
+                by_feature,
                 lexical.T @ by_type,
                 expected - seen,
                 began - np.bincount(truth[at], minlength=size),
@@ -253,7 +262,10 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     share = int(min(1.0, sample / max(1, n)) * (1 << 30))
     rows = known.where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)) < share).select(text, lang, id_col).toPandas()
     rows = rows.sort_values([id_col, text])
-    return train(rows[text].tolist(), rows[lang].tolist())
+    try:
+        return train(rows[text].tolist(), rows[lang].tolist())
+    finally:
+        release()
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", least: float | None = None) -> DataFrame:
@@ -269,7 +281,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", least: float | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for shard in shards(batches, text):
+        for shard in shards(batches, text, SHARD):
             column = shard.column(shard.schema.get_field_index(text))
             _, _, doc, post = word_posteriors(model, column)
             n = shard.num_rows
@@ -294,7 +306,7 @@ def label_words(docs: DataFrame, model: Model, text: str = "text", id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for shard in shards(batches, text):
+        for shard in shards(batches, text, SHARD):
             _, offs = column_bytes(shard.column(1))
             starts, ends, doc, post = word_posteriors(model, shard.column(1))
             out: list[list[dict]] = [[] for _ in range(shard.num_rows)]
