@@ -1012,10 +1012,10 @@ def adaptive_quality_stream_tele(spark, d):
     folder, _, name = source.rpartition("/")
     raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     order = F.expr("datediff(cast(ts as date), date'1970-01-01') * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L + cast(extract(second from ts) * 1000000 as bigint)")
-    stream = raw.select(F.col("user_id").alias("thread"), (F.col("value") / 100).alias("v"), order.alias("order"))
+    stream = raw.select(F.col("user_id").alias("thread"), (F.col("value") / 100).alias("v"), order.alias("order"), F.col("event_id").alias("n"))
     at = new_path(spark, "quality")
     keep_batch = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/out/part={batch}")
-    q = stateful.adaptive_quality_stream(stream, "thread", "v").writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(keep_batch).trigger(availableNow=True).start()
+    q = stateful.adaptive_quality_stream(stream, "thread", "v", order=("order", "n")).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(keep_batch).trigger(availableNow=True).start()
     q.awaitTermination()
     # the last that each batch said of a thread
     return spark.read.parquet(f"{at}/out").groupBy("thread").agg(F.max_by("quality", "batch").alias("quality"))

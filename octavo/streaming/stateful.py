@@ -120,24 +120,33 @@ def adaptive_quality(rows: DataFrame, key: list[str], order: list[str], value: s
     return by.select(*key, after.alias("quality"))
 
 
-def adaptive_quality_stream(stream: DataFrame, key: str, value: str, start: int = 50) -> DataFrame:
-    """The same kept as state between micro-batches: the ring of values and the quality. Each batch's samples count in their order."""
+def adaptive_quality_stream(stream: DataFrame, key: str, value: str, start: int = 50, order: tuple[str, ...] = ("order",)) -> DataFrame:
+    """The same kept as state between micro-batches: the last values and the quality. Each batch's samples count in their order.
+
+    An average near a limit hangs on the order of addition: values are added from the oldest on, as the window adds them.
+    """
+    before = AVERAGED - 1
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ring, at, quality = state.get if state.exists else ([0.0] * AVERAGED, 0, start)
-        ring = list(ring)
+        last, quality = state.get if state.exists else ([None] * before, start)
         # a key's rows of one micro-batch come in any number of frames, and only together in their order
-        for v in pd.concat(list(frames)).sort_values("order", kind="stable")[value].to_numpy(float):
-            ring[at] = float(v)
-            at = (at + 1) % AVERAGED
-            average = sum(ring) / AVERAGED
-            quality += -1 if average > LOWER_ABOVE else 1 if average < RAISE_BELOW else 0
-            quality = max(QUALITY[0], min(QUALITY[1], quality))
-        state.update((ring, at, quality))
+        df = pd.concat(list(frames)).sort_values(list(order), kind="stable")
+        none = np.concatenate([[v is None for v in last], df["_none"].to_numpy(bool)])
+        x = np.where(none, 0.0, np.concatenate([[0.0 if v is None else v for v in last], df[value].to_numpy(float)]))
+        total, some = np.zeros(len(df)), np.zeros(len(df), bool)
+        for j in range(AVERAGED):
+            total += x[j : j + len(df)]
+            some |= ~none[j : j + len(df)]
+        average = total / AVERAGED
+        # no value at all is no average, and NaN is above all
+        for d in np.where(~some, 0, np.where(average < RAISE_BELOW, 1, np.where(average <= LOWER_ABOVE, 0, -1))).tolist():
+            quality = max(QUALITY[0], min(QUALITY[1], quality + d))
+        state.update(([None if n else v for n, v in zip(none[-before:].tolist(), x[-before:].tolist(), strict=True)], quality))
         yield pd.DataFrame({key: [k[0]], "quality": [quality]})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, quality int", "ring array<double>, at int, quality int", "update", "NoTimeout")
+    rows = stream.select(key, *order, value, F.col(value).isNull().alias("_none"))
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, quality int", "last array<double>, quality int", "update", "NoTimeout")
 
 
 def changed_only(rows: DataFrame, key: list[str], order: list[str], number: str) -> DataFrame:

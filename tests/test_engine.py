@@ -385,6 +385,27 @@ def test_folds_do_not_depend_on_batches(spark):
         shutil.rmtree(path, ignore_errors=True)
 
 
+def test_stream_adds_from_the_oldest(spark):
+    """Averages at a limit hang on the order of addition, samples of one time on the next column; a null counts nothing."""
+    v = [None, *np.round(np.random.default_rng(62).random(27), 2).tolist()]
+    want, values = 50, [x or 0.0 for x in v]
+    for n in range(1, len(v)):
+        total = 0.0
+        for x in values[max(0, n - 19) : n + 1]:
+            total += x
+        want += -1 if total / 20 > 0.5 else 1 if total / 20 < 0.4 else 0
+    df = spark.createDataFrame([(1, i // 5, i, x) for i, x in enumerate(v)], "k int, order long, n long, v double")
+    path = tempfile.mkdtemp()
+    try:
+        df.coalesce(1).orderBy(F.desc("n")).write.mode("overwrite").parquet(f"{path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{path}/in")
+        made = stateful.adaptive_quality_stream(stream, "k", "v", order=("order", "n"))
+        made.writeStream.outputMode("update").format("memory").queryName("oldest_test").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        assert [r.quality for r in spark.table("oldest_test").collect()] == [want] == [r.quality for r in stateful.adaptive_quality(df, ["k"], ["order", "n"], "v").collect()]
+    finally:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def test_hot_root(spark, points):
     """Every point lies below the root; what meets it are the sums of its blocks, not the points."""
     many = points.drop("id").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50))))
