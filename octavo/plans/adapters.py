@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded as SQL rounds doubles: half up after scaling in binary. ``F.round`` goes by the decimal digits, so that ties differ."""
+    return F.round(c * 10**digits) / 10**digits
+
+
 def pts2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") - 900).alias("y"), F.col("p_retailprice").alias("v"), F.col("p_brand").alias("zone"))
 

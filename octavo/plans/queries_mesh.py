@@ -10,7 +10,7 @@ from octavo.functions.cells import Cube
 from octavo.operators import dense, fields, interpolate, mesh, order, tree, view
 from octavo.plans import prepare
 from octavo.plans import view as plan
-from octavo.plans.adapters import emb3, grid2, img2, pts2, pts3, rays, with_views
+from octavo.plans.adapters import emb3, grid2, img2, pts2, pts3, rays, rounded, with_views
 from octavo.plans.registry import query
 
 
@@ -114,7 +114,7 @@ def mesh_fields_grid2(spark, d):
     each = F.explode(F.array(F.struct(F.lit("v").alias("field"), F.col("v").alias("v")), F.struct(F.lit("w").alias("field"), (2 * F.col("v") + 1).alias("v"))))
     values = grid2(spark, d).select("zone_id", "node_id", each.alias("_f")).select("zone_id", "node_id", "_f.field", F.lit(0).alias("frame"), "_f.v")
     out = prepare.mesh_fields(made, values, 2)
-    return out.select("field", "level", "ix", "iy", "nx", "ny", F.round(F.col("value") / 100, 3).alias("value"))
+    return out.select("field", "level", "ix", "iy", "nx", "ny", rounded(F.col("value") / 100, 3).alias("value"))
 
 
 @query(with_views("grid2", body=f"""+{TREE}, pt AS (SELECT row_number() OVER () AS id, * FROM bp),

@@ -3,6 +3,7 @@
 import shutil
 import tempfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from octavo.functions.cells import Cube, cube_of
 from octavo.operators import dense, fields, interpolate, mesh, telemetry, tree, view
 from octavo.plans import prepare
 from octavo.plans import view as plan
+from octavo.plans.adapters import rounded
 from octavo.streaming import stateful
 
 
@@ -351,6 +353,14 @@ def test_unpacked_alpha(spark):
     assert tuple(signed) == (0, 2, 3, 255)
 
 
+def test_rounded_as_sql(spark):
+    """Ties of decimal digits that are none in binary, and the other way round."""
+    values = [520.2475, 1047.0075, 523.6225, -1039.1325, 1.0005, 2.5, 0.0, 1e-9]
+    want = [x for (x,) in duckdb.sql(f"SELECT round(x, 3) FROM (SELECT unnest({values}::DOUBLE[]) AS x)").fetchall()]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", rounded(F.col("x"), 3).alias("r"))
+    assert [r.r for r in sorted(rows.collect())] == want
+
+
 def test_clicks(spark):
     """Press, release, press, a long hold, release: no click, but a double click; another button makes both presses void."""
     states = [(0, 1), (50, 0), (100, 1), (480, 0), (600, 1), (700, 0), (720, 1), (740, 4), (760, 0), (800, 1), (850, 0)]
