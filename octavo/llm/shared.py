@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame
 
-from octavo.storage import BROADCAST_ROWS, cleared, keep, new_path, remove, scratch, shared_dir, sized
+from octavo.storage import BROADCAST_ROWS, cleared, give_back, keep, new_path, remove, scratch, shared_dir, sized
 
-__all__ = ["BROADCAST_ROWS", "cleared", "keep", "new_path", "remove", "scratch", "shared_dir", "sized", "unused"]
+__all__ = ["BROADCAST_ROWS", "cleared", "give_back", "keep", "new_path", "remove", "scratch", "shared_dir", "sized", "unused"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an error,
     as the executors would not see each other's files."""
@@ -21,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='octavo-')}")
         at = spark.sparkContext.getCheckpointDir()
@@ -63,6 +68,19 @@ def cleared(spark: SparkSession) -> int:
     return n
 
 
+def give_back(spark: SparkSession, tasks: int | None = None) -> None:
+    """Let the driver and the executors collect garbage, which gives freed heap back to the system.
+
+    A heap that one step has grown otherwise stays so, and the Python workers of the next share an executor's allowance
+    with it. A few tasks without input do it, one for each core; in local mode the driver is the only JVM.
+    """
+    if tasks is None:
+        tasks = 0 if local(spark) else spark.sparkContext.defaultParallelism
+    if tasks:
+        spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+    spark._jvm.java.lang.System.gc()
+
+
 #: While a table is written: Spark drops a query's shuffle files at its end rather than when their plan is garbage, and
 #: Python workers get batches of a few megabytes, as JVM and workers share an executor's allowance.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(6 << 20)}

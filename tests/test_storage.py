@@ -32,6 +32,28 @@ def test_scratch(spark):
     assert storage.cleared(spark) >= 1 and not folders(spark) - before
 
 
+def test_heap_is_given_back(spark):
+    """Tasks collect garbage where they run, and the driver does; each stage of the pipeline begins with that."""
+    import corpus_pipeline
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = beans()
+    storage.give_back(spark, tasks=2)
+    assert beans() - before >= 3
+
+    class Begun(Exception):
+        pass
+
+    def begun(_):
+        raise Begun
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "give_back", begun)
+        for _, stage in corpus_pipeline.STAGES:
+            with pytest.raises(Begun):
+                stage(spark, spark.range(1), "/nowhere")
+
+
 def test_settings_are_put_back(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 12345)
     try:
